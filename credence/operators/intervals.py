@@ -40,6 +40,6 @@ def gap_to_next(df: DataFrame, key: str, at: str, tie: list[str],
                 gap: Column | None = None) -> DataFrame:
     """Seconds from each row to the following row of the same key; null for the last one."""
     paired = with_next(df, [key], [F.asc(at), *[F.asc(t) for t in tie]], [at])
-    between = gap if gap is not None else (
-        F.unix_micros(f"next_{at}") - F.unix_micros(at)) / F.lit(1e6)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    between = gap if gap is not None else (micros(f"next_{at}") - micros(at)) / F.lit(1e6)
     return paired.withColumn("gap", between)

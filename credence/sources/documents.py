@@ -30,15 +30,22 @@ def find_signals_key(lines: DataFrame, suffix: str = "signals") -> str:
 
 
 def parse_lines(lines: DataFrame, signals_key: str = "signals") -> DataFrame:
-    """Parse the `value` column.  Adds `reject_reason`, null for a usable document."""
+    """Parse the `value` column.  Adds `reject_reason`, null for a usable document.
+
+    The parsed fields leave a generator (`inline` over one struct).  Filters on them cannot be
+    pushed below it, which would parse the text again for every field they mention.
+    """
     doc = F.from_json("value", S.raw_schema(signals_key), JSON_OPTIONS)
     others = [c for c in lines.columns if c != "value"]
-    parsed = lines.select(*others, "value", doc.alias("doc")).select(*others, "value", "doc.*")
+    parsed = lines.select(*others, "value", F.inline(F.array(doc)))
     return parsed.withColumn("reject_reason", reject_reason(signals_key))
 
 
 def reject_reason(signals_key: str = "signals") -> Column:
-    return (F.when(F.col("candidate_id").isNull() & F.col(S.CORRUPT).isNotNull(), "bad_json")
+    # The parser also fills the corrupt slot for a wrong type somewhere, which is no syntax
+    # error, and keeps the readable part of a cut text; only such texts are tokenised again.
+    malformed = F.col(S.CORRUPT).isNotNull() & F.json_object_keys(S.CORRUPT).isNull()
+    return (F.when(malformed, "bad_json")
             .when(F.col("candidate_id").isNull(), "missing_id")
             .when(untypable(signals_key), "bad_value"))
 
