@@ -326,7 +326,9 @@ def _corr_profile() -> str:
     columns = P.CORRELATED
     fixed = ", ".join(f"nullif(CAST({c} AS DOUBLE), -1) AS {c}" for c in columns)
     pairs = [(b, a) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    cells = ", ".join(f"{{'field_a': '{a}', 'field_b': '{b}', 'corr': round(corr({a}, {b}), 6)}}"
+    value = lambda a, b: (f"CASE WHEN isfinite(corr({a}, {b})) "
+                          f"THEN round(corr({a}, {b}), 6) END")
+    cells = ", ".join(f"{{'field_a': '{a}', 'field_b': '{b}', 'corr': {value(a, b)}}}"
                       for a, b in pairs)
     return (B.with_tables(B.VIEW, FLAT, f"num AS (SELECT {fixed} FROM flat)",
                           f"one AS (SELECT [{cells}] AS cells FROM num)")

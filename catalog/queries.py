@@ -226,9 +226,9 @@ def keyword_evidence(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     low = docs.select("doc_id", F.lower("text").alias("low"))
     return low.select("doc_id", *[
-        whole(T.keyword_count(F.col("low"), w)).alias(f"n_{g}") for g, w in
+        whole(T.keyword_count("low", w)).alias(f"n_{g}") for g, w in
         DOCUMENT_WORDS.items()], *[
-        r6(T.evidence(F.col("low"), w)).alias(f"evidence_{g}") for g, w in
+        r6(T.evidence("low", w)).alias(f"evidence_{g}") for g, w in
         DOCUMENT_WORDS.items()])
 
 
@@ -248,9 +248,9 @@ GROUP_WORDS = {"capability": settings.CAPABILITY_GROUPS,
 def _group_flags(table: DataFrame, keys: list[str]) -> DataFrame:
     low = table.select(*keys, F.lower("text").alias("low"))
     return low.select(*keys, *[
-        T.contains_any(F.col("low"), words).alias(f"{kind}_{name}")
+        T.contains_any("low", words).alias(f"{kind}_{name}")
         for kind, groups in GROUP_WORDS.items() for name, words in groups.items()], *[
-        r6(X.category_share(F.col("low"), groups)).alias(f"{kind}_share")
+        r6(X.category_share("low", groups)).alias(f"{kind}_share")
         for kind, groups in GROUP_WORDS.items()])
 
 
@@ -463,14 +463,14 @@ def reasoning_all(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def archetypes(spark: SparkSession, sf: str) -> DataFrame:
     scored = C.score_records(cand(spark, sf), keep=("profile",))
-    summary = P.archetype_summary(scored, explain.archetype(F.col("profile.current_title")))
+    summary = P.archetype_summary(scored, explain.archetype())
     return summary.select("archetype", "n", *[r6(c).alias(c) for c in summary.columns[2:]])
 
 
 @register
 def archetypes_top(spark: SparkSession, sf: str) -> DataFrame:
     top = rank_records.select_top(cand(spark, sf), keep=("profile",))
-    return P.archetype_summary(top, explain.archetype(F.col("profile.current_title"))).select(
+    return P.archetype_summary(top, explain.archetype()).select(
         "archetype", "n")
 
 

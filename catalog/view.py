@@ -43,14 +43,13 @@ MODES = ("remote", "hybrid", "onsite", "flexible")
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]),
-                        (index % len(values) + 1).cast("int"))
+    choices = F.split(F.lit("|".join(values)), "[|]")     # folded to one literal by Spark
+    return F.element_at(choices, (index % len(values) + 1).cast("int"))
 
 
 def _upto(n: Column, most: int) -> Column:
     """0, 1, ... n-1 as bigint."""
-    return F.slice(F.array(*[F.lit(i).cast("bigint") for i in range(most)]), F.lit(1),
-                   n.cast("int"))
+    return F.slice(F.expr(f"sequence(0L, {most - 1}L)"), F.lit(1), n.cast("int"))
 
 
 def padded_id(k: Column, prefix: str = "CAND_") -> Column:

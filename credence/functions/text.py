@@ -1,37 +1,42 @@
-"""Keyword search in text.  Matching is by substring unless `whole_words` is asked for."""
+"""Keyword search in text.  Matching is by substring unless `whole_words` is asked for.
+
+Functions over whole dictionaries take the text as a SQL expression, usually a column name, and
+hand Spark one SQL string: a dictionary makes hundreds of small expressions, and building them
+one call at a time would take the driver longer than planning the query.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
-from operator import add, or_
 
 from pyspark.sql import Column, functions as F
 
 from credence.functions.coerce import strip
 
 
-def _whole_word(keyword: str) -> str:
-    # Java pattern syntax; \\Q..\\E keeps the keyword literal.
-    return rf"(?<![\w])\Q{keyword}\E(?![\w])"
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def occurs(text: Column, keyword: str, whole_words: bool = False) -> Column:
-    found = text.rlike(_whole_word(keyword)) if whole_words else \
-        F.contains(text, F.lit(keyword))
-    return F.coalesce(found, F.lit(False))
+def _whole_word(keyword: str) -> str:
+    # Java pattern syntax: \\Q..\\E keeps the keyword literal.
+    return sql_text(rf"(?<!\w)\Q{keyword}\E(?!\w)")
 
 
-def occurrences(text: Column, keyword: str, whole_words: bool = False) -> Column:
-    """Number of non-overlapping occurrences of one keyword in a text that may hold it.
+def _occurs(text: str, keyword: str, whole_words: bool) -> str:
+    if whole_words:
+        return f"rlike({text}, {_whole_word(keyword)})"
+    return f"contains({text}, {sql_text(keyword)})"
 
-    Byte lengths are stored with the value while character lengths are counted, hence
-    `octet_length`.
-    """
+
+def _occurrences(text: str, keyword: str, whole_words: bool) -> str:
+    """Number of non-overlapping occurrences.  Byte lengths are stored with the value while
+    character lengths would be counted, hence octet_length."""
     if whole_words:
-        return F.regexp_count(text, F.lit(_whole_word(keyword)))
-    removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(keyword), F.lit("")))
-    return (removed / F.lit(len(keyword.encode()))).cast("int")
+        return f"regexp_count({text}, {_whole_word(keyword)})"
+    return (f"((octet_length({text}) - octet_length(replace({text}, {sql_text(keyword)}, ''))) "
+            f"div {len(keyword.encode())})")
 
 
 def nested_keywords(keywords: Iterable[str]) -> dict[str, list[str]]:
@@ -46,52 +51,61 @@ def nested_keywords(keywords: Iterable[str]) -> dict[str, list[str]]:
     return groups
 
 
-def keyword_count(text: Column, keywords: Iterable[str], whole_words: bool = False) -> Column:
+def keyword_count(text: str, keywords: Iterable[str], whole_words: bool = False) -> Column:
     """Occurrences of all keywords, each counted on its own.
 
     Most keywords do not occur.  A cheap containment test comes before the count, and keywords
     that contain another one ("vector search" contains "search") are only looked at when that
     one is there.
     """
-    def guarded(word: str, more: list[str]) -> Column:
-        inner = [F.when(occurs(text, m, whole_words), occurrences(text, m, whole_words))
-                 .otherwise(0) for m in more]
-        return F.when(occurs(text, word, whole_words), reduce(
-            add, inner, occurrences(text, word, whole_words))).otherwise(0)
+    def guarded(word: str, more: Iterable[str]) -> str:
+        inside = [_occurrences(text, word, whole_words), *[guarded(m, ()) for m in more]]
+        return f"if({_occurs(text, word, whole_words)}, {' + '.join(inside)}, 0)"
 
-    if whole_words:
-        return reduce(add, [guarded(k, []) for k in sorted(set(keywords))])
-    return reduce(add, [guarded(k, more) for k, more in nested_keywords(keywords).items()])
+    tree = {k: [] for k in sorted(set(keywords))} if whole_words else nested_keywords(keywords)
+    return F.expr(f"coalesce({' + '.join(guarded(k, more) for k, more in tree.items())}, 0)")
 
 
-def evidence(text: Column, keywords: Iterable[str], whole_words: bool = False) -> Column:
+def evidence(text: str, keywords: Iterable[str], whole_words: bool = False) -> Column:
     """ln(1 + occurrences), which damps texts that repeat a word."""
-    return F.log1p(F.coalesce(keyword_count(text, keywords, whole_words), F.lit(0))
-                   .cast("double"))
+    return F.log1p(keyword_count(text, keywords, whole_words).cast("double"))
 
 
-def contains_any(text: Column, keywords: Iterable[str], whole_words: bool = False) -> Column:
-    """Any of the keywords; one that contains another listed keyword needs no test."""
+def any_of(text: str, keywords: Iterable[str], whole_words: bool = False) -> str:
+    """SQL condition: any of the keywords occurs.
+
+    A keyword that contains another listed keyword needs no test of its own.
+    """
     tested = sorted(set(keywords)) if whole_words else nested_keywords(keywords)
-    return reduce(or_, [occurs(text, k, whole_words) for k in tested])
+    return f"coalesce({' OR '.join(_occurs(text, k, whole_words) for k in tested)}, false)"
+
 
+def contains_any(text: str, keywords: Iterable[str], whole_words: bool = False) -> Column:
+    return F.expr(any_of(text, keywords, whole_words))
 
-def matched_share(matches: Iterable[Column]) -> Column:
-    """Share of the given conditions that hold."""
-    matches = list(matches)
-    if not matches:
+
+def matched_share(conditions: Iterable[str]) -> Column:
+    """Share of the given SQL conditions that hold."""
+    conditions = list(conditions)
+    if not conditions:
         return F.lit(0.0)
-    return reduce(add, [m.cast("int") for m in matches]) / F.lit(float(len(matches)))
+    held = " + ".join(f"int({c})" for c in conditions)
+    return F.expr(f"({held}) / double({len(conditions)})")
+
+
+def sql_array(values: Iterable[str]) -> str:
+    return f"array({', '.join(sql_text(v) for v in values)})"
 
 
 def literal_list(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(sql_array(values))
 
 
 def keyword_table(groups: Mapping[str, Iterable[str]]) -> Column:
     """A keyword dictionary as an array<struct<domain, keyword>> literal."""
-    return F.array(*[F.struct(F.lit(g).alias("domain"), F.lit(k).alias("keyword"))
-                     for g, keywords in groups.items() for k in keywords])
+    return F.expr("array(" + ", ".join(
+        f"named_struct('domain', {sql_text(g)}, 'keyword', {sql_text(k)})"
+        for g, keywords in groups.items() for k in keywords) + ")")
 
 
 def snippet(text: Column, keyword: Column, window: int = 40) -> Column:

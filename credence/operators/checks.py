@@ -33,17 +33,17 @@ def check_table(df: DataFrame, expected_rows: int = 100,
         F.count_if(ids.isNull() | rank.isNull() | score.isNull() | text.isNull())
         .alias("n_null"))
     n = F.col("n")
+    fault = lambda check, detail: F.struct(F.lit(check).alias("check"), detail.alias("detail"))
     wrong = F.array_compact(F.array(
-        F.when(n != expected_rows, F.struct(F.lit("row_count").alias("check"), F.format_string(
-            f"Row count is %d, expected {expected_rows}.", n).alias("detail"))),
-        F.when(F.col("n_ids") != n, F.struct(
-            F.lit("duplicate_id"), F.lit("Duplicate candidate_ids found."))),
-        F.when((F.col("n_ranks") != expected_rows) | (n != expected_rows), F.struct(
-            F.lit("ranks"), F.lit(f"Ranks are not exactly 1 to {expected_rows} in order."))),
-        F.when(F.col("n_blank") > 0, F.struct(
-            F.lit("empty_reasoning"), F.lit("Empty reasoning strings found."))),
-        F.when(F.col("n_null") > 0, F.struct(
-            F.lit("nulls"), F.lit("Null values found in dataframe.")))))
+        F.when(n != expected_rows, fault("row_count", F.format_string(
+            f"Row count is %d, expected {expected_rows}.", n))),
+        F.when(F.col("n_ids") != n, fault("duplicate_id", F.lit(
+            "Duplicate candidate_ids found."))),
+        F.when((F.col("n_ranks") != expected_rows) | (n != expected_rows), fault(
+            "ranks", F.lit(f"Ranks are not exactly 1 to {expected_rows} in order."))),
+        F.when(F.col("n_blank") > 0, fault("empty_reasoning", F.lit(
+            "Empty reasoning strings found."))),
+        F.when(F.col("n_null") > 0, fault("nulls", F.lit("Null values found in dataframe.")))))
     summary = (totals.select(F.explode(wrong).alias("w"))
                .select("w.check", F.lit(None).cast("bigint").alias("place"), "w.detail"))
     steps = with_next(df.select(rank, score, ids), [], [F.asc(columns[1]), F.asc(columns[0])],

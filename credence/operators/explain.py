@@ -17,11 +17,11 @@ KEEP = ("career_text", "skill_names_lower", "groups", "profile")
 
 def matched_tools(taxonomy: Taxonomy = Taxonomy(), limit: int = 3) -> Column:
     """Display names of the first tools found as a skill name or in the text."""
-    found = F.array(*[
-        F.when(F.array_contains("skill_names_lower", F.lit(key))
-               | F.contains("career_text", F.lit(key)), F.lit(shown))
-        for key, shown in taxonomy.tools.items()])
-    return F.slice(F.array_compact(found), 1, limit)
+    found = ", ".join(
+        f"if(contains(career_text, {T.sql_text(key)}) OR "
+        f"array_contains(skill_names_lower, {T.sql_text(key)}), {T.sql_text(shown)}, null)"
+        for key, shown in taxonomy.tools.items())
+    return F.slice(F.expr(f"array_compact(array({found}))"), 1, limit)
 
 
 def primary_capability(tools: Column) -> Column:
@@ -95,11 +95,11 @@ def why_ranked() -> Column:
         F.when(F.col("production_score") >= 0.5, "Production ML maturity"))
 
 
-def archetype(title: Column) -> Column:
-    lowered = F.lower(title)
+def archetype(title: str = "profile.current_title") -> Column:
+    """Kind of role by the words of a title column."""
     chain = F
     for words, name in ARCHETYPES:
-        chain = chain.when(T.contains_any(lowered, words), F.lit(name))
+        chain = chain.when(T.contains_any(f"lower({title})", words), F.lit(name))
     return chain.otherwise(F.lit(ARCHETYPE_DEFAULT))
 
 

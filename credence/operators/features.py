@@ -70,14 +70,14 @@ def skill_features(taxonomy: Taxonomy = Taxonomy()) -> dict[str, Column]:
 
 def evidence_features(taxonomy: Taxonomy = Taxonomy(), column: str = "career_text"
                       ) -> dict[str, Column]:
-    return {f"evidence_{name}": T.evidence(F.col(column), words, taxonomy.whole_words)
+    return {f"evidence_{name}": T.evidence(column, words, taxonomy.whole_words)
             for name, words in taxonomy.evidence.items()}
 
 
 def education_features() -> dict[str, Column]:
     education = F.col("education")
-    studied = F.lower(F.array_join(F.transform(
-        education, lambda e: F.concat_ws(" ", e["degree"], e["field_of_study"])), " "))
+    studied = ("lower(array_join(transform(education, "
+               "e -> concat_ws(' ', e.degree, e.field_of_study)), ' '))")
     return {
         "education_count": F.size(education),
         "highest_education_tier": F.col("highest_education_tier"),
@@ -157,17 +157,16 @@ def trust_features() -> dict[str, Column]:
 def group_matches(taxonomy: Taxonomy = Taxonomy(), column: str = "career_text",
                   names: str | None = "skill_names_lower") -> dict[str, Column]:
     """Per capability group: any keyword equal to a skill name or contained in the text."""
-    matches = {}
-    for group, words in taxonomy.capability.items():
-        hit = T.contains_any(F.col(column), words, taxonomy.whole_words)
-        if names is not None:
-            hit = hit | F.arrays_overlap(F.col(names), T.literal_list(words))
-        matches[group] = hit
-    return matches
+    def condition(words) -> str:
+        in_text = T.any_of(column, words, taxonomy.whole_words)
+        return in_text if names is None else \
+            f"{in_text} OR arrays_overlap({names}, {T.sql_array(words)})"
 
+    return {group: F.expr(condition(words)) for group, words in taxonomy.capability.items()}
 
-def category_share(text: Column, categories, whole_words: bool = False) -> Column:
-    return T.matched_share(T.contains_any(text, words, whole_words)
+
+def category_share(text: str, categories, whole_words: bool = False) -> Column:
+    return T.matched_share(T.any_of(text, words, whole_words)
                            for words in categories.values())
 
 
@@ -181,12 +180,11 @@ def confidence(trust: Column, n_flags: Column, completeness: Column, capability:
 
 def composite_features(taxonomy: Taxonomy = Taxonomy()) -> dict[str, Column]:
     """Needs `groups`, `career_text`, trust and signals."""
-    groups = F.col("groups")
-    text = F.col("career_text")
+    text = "career_text"
     return {
-        "capability_score": T.matched_share(groups[g] for g in taxonomy.capability),
+        "capability_score": T.matched_share(f"groups.`{g}`" for g in taxonomy.capability),
         "pipeline_score": T.matched_share(
-            groups[s] if s in taxonomy.capability else F.lit(False) for s in taxonomy.stages),
+            f"groups.`{s}`" if s in taxonomy.capability else "false" for s in taxonomy.stages),
         "production_score": category_share(text, taxonomy.production, taxonomy.whole_words),
         "experience_quality_score": category_share(text, taxonomy.quality,
                                                    taxonomy.whole_words),

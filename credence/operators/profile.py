@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from credence.functions.numeric import sentinel_to_null
@@ -186,13 +188,47 @@ def distinct_counts(df: DataFrame, columns: list[str], exact: bool = True) -> Da
     return df.agg(*[F.count_distinct(c).alias(c) for c in columns])
 
 
+_WIDE = 10      # more columns than this make too many aggregates for one generated method
+_PAIR_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _pair_sums(values: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Sums over the rows where both columns are known: one row per pair.
+
+    Values are centred on the column means first, which keeps the sums small.  Each task turns
+    its rows into one matrix product per batch and emits one row per pair.
+    """
+    means = values.agg(*[F.avg(c).alias(c) for c in columns]).head()
+    centre = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
+    place = [(columns.index(a), columns.index(b)) for a, b in pairs]
+
+    def partial(batches):
+        total = None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float)
+                                 for c in batch.columns])
+            known = ~np.isnan(x)
+            x, m = np.where(known, x - centre, 0.0), known.astype(float)
+            sums = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            total = sums if total is None else total + sums
+        if total is not None:
+            i, j = np.array(place).T
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(place)), pa.int32()),
+                 *[pa.array(t[i, j]) for t in total]], ["pair", *_PAIR_SUMS])
+
+    ddl = "pair int, " + ", ".join(f"{s} double" for s in _PAIR_SUMS)
+    return (values.mapInArrow(partial, ddl).groupBy("pair")
+            .agg(*[F.sum(s).alias(s) for s in _PAIR_SUMS]))
+
+
 def correlation(df: DataFrame, columns: list[str], sentinel: float | None = -1,
                 part: str = "full") -> DataFrame:
     """Pearson correlation of each pair over the rows where both are known.
 
-    All pairs come from one aggregation.  The sentinel counts as missing in every column, and so
-    does NaN, which would spoil the sums.  `part` is 'full' (with both triangles and the
-    diagonal) or 'lower' (each pair once, first column after the second).
+    The sentinel counts as missing in every column, and so does NaN.  Null when a column does
+    not vary over those rows.  `part` is 'full' (both triangles and the diagonal) or 'lower'
+    (each pair once, first column after the second).
     """
     def known(c: str) -> Column:
         value = F.col(c).cast("double")
@@ -201,14 +237,30 @@ def correlation(df: DataFrame, columns: list[str], sentinel: float | None = -1,
 
     values = df.select(*[known(c).alias(c) for c in columns])
     pairs = list(combinations(columns, 2))
-    wide = values.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    row = lambda x, y, v: F.struct(F.lit(x).alias("field_a"), F.lit(y).alias("field_b"),
-                                   v.alias("corr"))
-    rows = [row(b, a, F.col(f"`{i}`")) for i, (a, b) in enumerate(pairs)]
-    if part == "full":
-        rows += [row(a, b, F.col(f"`{i}`")) for i, (a, b) in enumerate(pairs)]
-        rows += [row(c, c, F.lit(1.0)) for c in columns]
-    return wide.select(F.inline(F.array(*rows)))
+    names = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs])
+    if len(columns) > _WIDE:
+        covariance = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+        spread = lambda ss, s: F.when(
+            F.col(ss) - F.col(s) * F.col(s) / F.col("n") > F.col(ss) * 1e-12,
+            F.col(ss) - F.col(s) * F.col(s) / F.col("n"))
+        known_pairs = _pair_sums(values, columns, pairs).withColumn("corr", F.when(
+            F.col("n") > 1, covariance / F.sqrt(spread("sxx", "sx") * spread("syy", "sy"))))
+        table = known_pairs.select(F.get(names, F.col("pair")).alias("p"), "corr")
+    else:
+        both = lambda a, b: F.when(F.col(b).isNotNull(), F.col(a))
+        wide = values.agg(*[
+            F.try_divide(F.covar_pop(a, b), F.stddev_pop(both(a, b)) * F.stddev_pop(both(b, a)))
+            .alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+        table = wide.select(F.explode(F.arrays_zip(
+            names.alias("p"), F.array(*[F.col(f"`{i}`") for i in range(len(pairs))])
+            .alias("corr"))).alias("z")).select("z.p", "z.corr")
+    lower = table.select(F.col("p.y").alias("field_a"), F.col("p.x").alias("field_b"), "corr")
+    if part == "lower":
+        return lower
+    rows = F.array(F.struct("field_a", "field_b", "corr"), F.struct(
+        F.col("field_b").alias("field_a"), F.col("field_a").alias("field_b"), "corr"))
+    diagonal = df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], lower.schema)
+    return lower.select(F.inline(rows)).unionByName(diagonal)
 
 
 # --- flags --------------------------------------------------------------------------------------

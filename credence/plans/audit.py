@@ -59,7 +59,7 @@ def run(records: DataFrame, target: str, k: int = 100) -> None:
         sinks.write_table_csv(evidence.deep_audit(top), f"{target}/deep_audit")
         sinks.write_table_csv(evidence.evidence_audit(top), f"{target}/evidence_audit")
         sinks.write_table_csv(profile.archetype_summary(
-            top, explain.archetype(F.col("profile.current_title"))), f"{target}/archetypes")
+            top, explain.archetype()), f"{target}/archetypes")
         sinks.write_table_csv(scenario_overlaps(scored), f"{target}/sensitivity")
         sinks.write_metrics(diagnostics(scored, top, k), f"{target}/diagnostics")
     finally:
