@@ -66,10 +66,11 @@ def deduplicated(df: DataFrame, key: str, how: str = "keep", order: list[Column]
             raise ValueError("how='first' needs an order")
         return top_k_per_group(df, [key], 1, *order, name="_rank").drop("_rank")
     if how == "fail":
-        repeated = df.groupBy(key).count().filter("count > 1")
+        # The message depends on the count, so the check cannot move below the grouping.
         message = F.concat(F.lit("repeated id: "), F.col(key).cast("string"))
-        raised = repeated.select(F.col(key), F.raise_error(message).cast("string").alias("_x"))
-        return df.join(raised.filter(F.col("_x").isNull()), key, "left_anti")
+        checked = df.groupBy(key).agg(F.count("*").alias("_n")).filter(
+            F.when(F.col("_n") > 1, F.raise_error(message).cast("boolean")).otherwise(False))
+        return df.join(checked, key, "left_anti")
     raise ValueError(f"how is 'keep', 'first' or 'fail', not {how!r}")
 
 

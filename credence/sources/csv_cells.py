@@ -2,30 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_ABSENT = "\x00absent"
+# A comma with an even number of quotes behind it is outside quoted cells.
+_SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
-def read_csv_cells(spark: SparkSession, path: str, max_cells: int = 32) -> DataFrame:
-    """(source_file, block, locator, is_header, cells).
+def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, block, locator, is_header, cells), one row per line.
 
-    A row has as many cells as the file gives it (up to `max_cells`); an empty cell is ''.
-    The first row of each file is its header.
+    A row has exactly the cells its line has, empty ones included; a typed CSV reader would fill
+    up or cut rows to its schema.  The first line of each file is its header.
     """
-    names = [f"c{i}" for i in range(max_cells)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
-            .option("nullValue", _ABSENT).option("emptyValue", "").option("escape", '"')
-            .option("encoding", "UTF-8").csv(path)
-            .select(F.col("_metadata.file_path").alias("source_file"),
-                    F.col("_metadata.file_block_start").alias("block"), *names)
-            .withColumn("locator", F.monotonically_increasing_id()))
-    first = F.col("block") == 0
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block"), "value",
+        F.monotonically_increasing_id().alias("locator"))
     # The header is the smallest locator of the block that starts the file: one row per file.
-    headers = (rows.filter(first).groupBy("source_file").agg(F.min("locator").alias("locator"))
-               .withColumn("is_header", F.lit(True)))
-    cells = F.filter(F.array(*names), lambda c: c.isNotNull())
-    return (rows.select("source_file", "block", "locator", cells.alias("cells"))
+    headers = (lines.filter("block = 0").groupBy("source_file")
+               .agg(F.min("locator").alias("locator")).withColumn("is_header", F.lit(True)))
+    quoted = lambda c: F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) > 1)
+    plain = lambda c: F.when(quoted(c), F.replace(
+        c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    cells = F.transform(F.split("value", _SEPARATOR), plain)
+    return (lines.select("source_file", "block", "locator", cells.alias("cells"))
             .join(headers, ["source_file", "locator"], "left")
             .withColumn("is_header", F.coalesce("is_header", F.lit(False))))
