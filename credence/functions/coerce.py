@@ -53,7 +53,7 @@ def boolean(leaf: Column) -> Column:
 
 def unusable_number(leaf: Column) -> Column:
     """A leaf that is there but is not a number: the record cannot be typed."""
-    return F.coalesce((strip(leaf) != "") & number_or_null(leaf).isNull(), F.lit(False))
+    return F.coalesce(number_or_null(leaf).isNull() & (strip(leaf) != ""), F.lit(False))
 
 
 def iso_date(value: Column) -> Column:

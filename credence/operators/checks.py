@@ -88,23 +88,34 @@ def check_cells(rows: DataFrame, expected_rows: int = 100, id_pattern: str = ID_
              .select(F.lit("row_count").alias("check"), F.lit(None).cast("bigint").alias("place"),
                      F.format_string(f"there must be exactly {expected_rows} data rows; "
                                      "found %d.", F.col("n")).alias("detail")))
-    cells = _violation(rows, "cells", F.size("cells") != width, place, F.format_string(
-        f"expected {width} columns, got %d.", F.size("cells")))
     cell = lambda i: strip(F.get(F.col("cells"), F.lit(i)))
-    whole = rows.filter(F.size("cells") == width).select(
-        "row_num", cell(0).alias("id"), cell(1).alias("rank_text"), cell(2).alias("score_text"))
-    typed = whole.withColumns({
-        # Text is canonical when printing the number gives the same text again.
-        "rank": F.when(F.col("rank_text").try_cast("bigint").cast("string")
-                       == F.col("rank_text"), F.col("rank_text").try_cast("bigint")),
-        "score": F.col("score_text").try_cast("double"),
-        "id_ok": F.col("id").rlike(id_pattern),
-    }).withColumn("rank_ok", F.coalesce(F.col("rank").between(1, expected_rows), F.lit(False)))
-    ids = typed.select("row_num", "id", "id_ok")
-    required = _violation(ids, "id_required", F.col("id") == "", place,
-                          F.lit("candidate_id is required."))
-    pattern = _violation(ids, "id_format", (F.col("id") != "") & ~F.col("id_ok"), place,
-                         F.lit("candidate_id must be CAND_XXXXXXX (7 digits)."))
+    typed = rows.select(
+        "row_num", F.size("cells").alias("n_cells"), cell(0).alias("id"),
+        cell(1).alias("rank_text"), cell(2).try_cast("double").alias("score")).withColumns({
+            # Text is canonical when printing the number gives the same text again.
+            "rank": F.when(F.col("rank_text").try_cast("bigint").cast("string")
+                           == F.col("rank_text"), F.col("rank_text").try_cast("bigint")),
+            "id_ok": F.col("id").rlike(id_pattern),
+        }).withColumn("rank_ok", F.coalesce(F.col("rank").between(1, expected_rows),
+                                            F.lit(False)))
+
+    fault = lambda condition, check, detail: F.when(condition, F.struct(
+        F.lit(check).alias("check"), place.cast("bigint").alias("place"),
+        detail.alias("detail")))
+    id_, rank, whole = F.col("id"), F.col("rank"), F.col("n_cells") == width
+    # One pass for everything that concerns a single row.
+    per_row = typed.select(F.inline(F.array_compact(F.array(
+        fault(~whole, "cells", F.format_string(f"expected {width} columns, got %d.",
+                                               F.col("n_cells"))),
+        fault(whole & (id_ == ""), "id_required", F.lit("candidate_id is required.")),
+        fault(whole & (id_ != "") & ~F.col("id_ok"), "id_format",
+              F.lit("candidate_id must be CAND_XXXXXXX (7 digits).")),
+        fault(whole & rank.isNull(), "rank_integer",
+              F.lit(f"rank must be an integer (1–{expected_rows}).")),
+        fault(whole & rank.isNotNull() & ~F.col("rank_ok"), "rank_range",
+              F.lit(f"rank must be between 1 and {expected_rows}.")),
+        fault(whole & F.col("score").isNull(), "score_number",
+              F.lit("score must be a float."))))))
 
     def repeats(accepted: DataFrame, column: str, check: str) -> DataFrame:
         firsts = accepted.groupBy(column).agg(F.min("row_num").alias("first"),
@@ -113,22 +124,15 @@ def check_cells(rows: DataFrame, expected_rows: int = 100, id_pattern: str = ID_
         return _violation(later, check, F.lit(True), place,
                           F.format_string("duplicate %s", F.col(column).cast("string")))
 
-    same_id = repeats(ids.filter("id_ok"), "id", "id_duplicate")
-    numbers = typed.select("row_num", "rank", "rank_ok", "score", "id")
-    no_int = _violation(numbers, "rank_integer", F.col("rank").isNull(), place,
-                        F.lit(f"rank must be an integer (1–{expected_rows})."))
-    outside = _violation(numbers, "rank_range", F.col("rank").isNotNull() & ~F.col("rank_ok"),
-                         place, F.lit(f"rank must be between 1 and {expected_rows}."))
-    same_rank = repeats(numbers.filter("rank_ok"), "rank", "rank_duplicate")
-    no_score = _violation(numbers, "score_number", F.col("score").isNull(), place,
-                          F.lit("score must be a float."))
-    gone = missing_ranks(numbers.filter("rank_ok"), expected_rows)
-    missing = _violation(gone, "rank_missing", F.lit(True), F.col("rank"),
-                         F.format_string("missing rank %d", F.col("rank")))
-    return _union([count, cells, required, pattern, same_id, no_int, outside, same_rank,
-                   no_score, missing, order_violations(numbers.filter(
-                       F.col("rank").isNotNull() & F.col("score").isNotNull()
-                       & (F.col("id") != "")))])
+    full = typed.filter(whole)
+    ranks = full.filter("rank_ok").select("row_num", "rank")
+    missing = _violation(missing_ranks(ranks, expected_rows), "rank_missing", F.lit(True), rank,
+                         F.format_string("missing rank %d", rank))
+    complete = full.filter("rank is not null and score is not null and id <> ''")
+    return _union([count, per_row,
+                   repeats(full.filter("id_ok").select("row_num", "id"), "id", "id_duplicate"),
+                   repeats(ranks, "rank", "rank_duplicate"), missing,
+                   order_violations(complete.select("rank", "row_num", "score", "id"))])
 
 
 def missing_ranks(rows: DataFrame, expected_rows: int) -> DataFrame:
