@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from credence.llm import decontaminate, quality, simhash
+from credence.llm import decontaminate, packing, pii, quality, simhash
 from credence.sources.tables import read_table
 
 
@@ -28,8 +29,29 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, folder, "documents"),
+                          public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+                         "offset")
+
+
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents")
+    found = pii.personal_data(documents, pii.train(documents), carry=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "row.doc_id",
+        *[F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("bigint")
+          .alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
+    "op7_packing": op7_packing,
+    "op9_pii": op9_pii,
 }
