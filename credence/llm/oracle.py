@@ -67,7 +67,94 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
 """
 
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
+SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes,
+    (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        (((('0x' || substr(h, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)
+         + 1)::BIGINT, 1), '' ORDER BY k) FROM range(32) AS r(k)) AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM p JOIN f ON p.html = f.html
+"""
+
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
+        replace(coalesce(text, ''), '<|', '<\|') AS said, coalesce(text, '') AS raw,
+        floor(turn / 128)::BIGINT AS win FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, win ORDER BY turn NULLS FIRST, role, raw)
+        AS n FROM c),
+t AS (SELECT *, coalesce(win, -1) * 1048576 + (n - 1) // 128 AS part FROM r),
+s AS (SELECT DISTINCT conv_id, part, role AS speaker FROM t WHERE role <> 'system'),
+e AS (SELECT s.conv_id, s.part, speaker, n, role = speaker AS own,
+        CASE WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
+             WHEN role = speaker THEN '<|im_start|>assistant' || chr(10)
+             ELSE '<|im_start|>user name=' || regexp_replace(replace(role, '<|', '<\|'),
+                '[\r\n]+', ' ', 'g') || chr(10) END AS head,
+        said || '<|im_end|>' || chr(10) AS body
+        FROM s JOIN t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.part = t.part),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker
+        ORDER BY n)::BIGINT AS upto FROM e)
+SELECT conv_id, part::BIGINT AS part, speaker, count(*)::BIGINT AS n_turns,
+    (count(*) FILTER (own))::BIGINT AS n_own, string_agg(head || body, '' ORDER BY n) AS text,
+    coalesce(string_agg((upto - length(body))::VARCHAR || ':' || upto::VARCHAR, ',' ORDER BY n)
+        FILTER (own), '') AS mask
+FROM o GROUP BY conv_id, part, speaker
+"""
+
+
+def _licenses() -> str:
+    from credence.llm.licenses import TEMPLATES
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    templates = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in TEMPLATES)
+    return rf"""
+WITH b AS (SELECT doc_id, text, coalesce(doc_id, 0) AS n, concat_ws('/', coalesce(source, 'none'),
+        coalesce(lang, 'xx'), 'd' || (coalesce(doc_id, 0) // 1000)) AS upper FROM documents),
+f AS (SELECT CASE WHEN n % 1000 = 0 THEN upper || '/LICENSE.' || doc_id
+        WHEN n % 10 = 0 THEN upper || '/e' || (n // 10) || '/LICENSE.' || doc_id
+        ELSE upper || '/e' || (n // 10) || '/f' || doc_id END AS path, text FROM b),
+l AS (SELECT path, unnest(string_split(text, chr(10))) AS unit FROM f),
+units AS (SELECT DISTINCT path, unit FROM (
+        SELECT * FROM l WHERE regexp_matches(unit, '(?i)licen[cs]|copyright|spdx|rights reserved|'
+            || 'all copyright|creative commons')
+        UNION ALL SELECT path, text FROM f WHERE contains(path, '/LICENSE.')) WHERE unit IS NOT NULL),
+t AS (SELECT * FROM (VALUES {templates}) AS v(license, text)),
+ut AS (SELECT unit, term, count(*) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit),
+        '[a-z0-9]+(?:[.-][0-9]+)*')) AS term FROM (SELECT DISTINCT unit FROM units))
+        GROUP BY unit, term),
+tt AS (SELECT license, text, term, count(*) AS tf FROM (SELECT license, text,
+        unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.-][0-9]+)*')) AS term FROM t)
+        GROUP BY ALL),
+total AS (SELECT (SELECT count(DISTINCT unit) FROM units) + (SELECT count(*) FROM t) AS n),
+idf AS (SELECT term, ln((any_value(n) + 1.0::DOUBLE) / (count(*) + 1)) + 1 AS idf FROM (
+        SELECT term FROM ut UNION ALL SELECT term FROM tt), total GROUP BY term),
+uw AS (SELECT unit, term, tf * idf AS w FROM ut JOIN idf USING (term)),
+tw AS (SELECT license, text, term, tf * idf AS v FROM tt JOIN idf USING (term)),
+un AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY unit),
+tn AS (SELECT license, text, sqrt(sum(v * v)) AS size FROM tw GROUP BY license, text),
+score AS (SELECT unit, license, round(sum(w * v) / (any_value(norm) * any_value(size)), 6) AS score
+        FROM uw JOIN tw USING (term) JOIN un USING (unit) JOIN tn USING (license, text)
+        GROUP BY unit, license, text),
+own AS (SELECT path, arg_min(license, (-score, license)) AS own_license, max(score) AS own_score
+        FROM units JOIN score USING (unit) WHERE score >= 0.7 GROUP BY path),
+dirs AS (SELECT regexp_replace(path, '[^/]*$', '') AS directory, min(own_license) AS found
+        FROM own WHERE contains(path, '/LICENSE.') GROUP BY 1),
+near AS (SELECT path, arg_max(directory, length(directory)) AS directory,
+        arg_max(found, length(directory)) AS found
+        FROM (SELECT DISTINCT path FROM f) f JOIN dirs ON starts_with(f.path, directory)
+        GROUP BY path)
+SELECT f.path, own_license, round(own_score, 4) AS own_score,
+    coalesce(own_license, found) AS license,
+    CASE WHEN own_license IS NULL THEN directory END AS inherited_from
+FROM (SELECT DISTINCT path FROM f) f LEFT JOIN own USING (path) LEFT JOIN near USING (path)
+"""
+
+
 ORACLE = {
     "op2_quality": QUALITY,
     "op3_decontaminate": DECONTAMINATE,
+    "op4_licenses": _licenses(),
+    "op8_warc": WARC,
+    "op10_chat": CHAT,
 }

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from credence.llm import decontaminate, packing, pii, quality, simhash
+from credence.llm import (chat, decontaminate, html_text, licenses, packing, pii, quality,
+                          sharding, simhash, warc)
+from credence.session import fresh_path
 from credence.sources.tables import read_table
 
 
@@ -29,6 +31,40 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as files of a tree: source/language/thousands/tens/name.
+
+    The first document of each ten is the licence file of its directory, the first of each
+    thousand that of the directory above.
+    """
+    n = F.coalesce("doc_id", F.lit(0))
+    upper = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("xx")),
+                        F.concat(F.lit("d"), F.floor(n / 1000).cast("string")))
+    lower = F.concat(upper, F.lit("/e"), F.floor(n / 10).cast("string"))
+    name = F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))
+    return read_table(spark, folder, "documents").select(
+        F.when(n % 1000 == 0, F.concat_ws("/", upper, name)).when(
+            n % 10 == 0, F.concat_ws("/", lower, name)).otherwise(F.concat_ws(
+                "/", lower, F.concat(F.lit("f"), F.col("doc_id").cast("string")))).alias("path"),
+        "text")
+
+
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_files(spark, folder)).withColumn(
+        "own_score", F.round("own_score", 4))
+
+
+def op5_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(read_table(spark, folder, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(read_table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, folder, "documents"),
                           public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
@@ -36,6 +72,12 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
                          "offset")
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "archives")
+    warc.write_archives(warc.resolved(read_table(spark, folder, "pages")), path)
+    return warc.listing(warc.read_archives(spark, path))
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     found = pii.personal_data(documents, pii.train(documents), carry=["doc_id"])
@@ -48,10 +90,20 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
         pii.listed(F.col("spans")).alias("spans"))
 
 
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rendered(read_table(spark, folder, "conversations")).withColumn(
+        "mask", chat.listed(F.col("mask")))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
+    "op4_licenses": op4_licenses,
+    "op5_html": op5_html,
+    "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
     "op9_pii": op9_pii,
+    "op10_chat": op10_chat,
 }
