@@ -33,7 +33,7 @@ def rank_documents(spark, folder: str) -> tuple[float, int, int]:
     size = sum(os.path.getsize(f"{source}/{f}") for f in os.listdir(source)
                if f.endswith(".txt"))
     begin = time.perf_counter()
-    assert rank_job(spark, source, f"{work}/out").count() == 0
+    assert rank_job(spark, source, f"{work}/out", "signals").count() == 0
     seconds = time.perf_counter() - begin
     return seconds, spark.read.text(source).count(), size
 

@@ -56,7 +56,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 def normalize_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     lines = view.as_json(view.load(spark, sf, raw=True), "platform_signals")
     parsed = D.parse_lines(lines, "platform_signals")
-    d = N.derive(N.normalize(D.accepted(parsed), "platform_signals"))
+    d = N.derive(N.normalize(D.accepted(parsed)))
     return d.select(
         "candidate_id", F.col("profile.current_title").alias("title"),
         F.col("profile.headline").alias("headline"), whole("total_career_months").alias("months"),
@@ -104,7 +104,7 @@ def quarantine_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def load_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return D.load_stats(D.parse_lines(_damaged(spark, sf)))
+    return D.load_stats(D.parse_lines(_damaged(spark, sf))).drop("missing_signals")
 
 
 @register
@@ -789,7 +789,7 @@ def scenario_semi_join(spark: SparkSession, sf: str) -> DataFrame:
     customers = read_table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
     best = R.top_by(customers, "c_acctbal", 50, "c_custkey").withColumnRenamed(
         "c_custkey", "o_custkey")
-    picked = R.matching(orders, best, "o_custkey", 50)
+    picked = R.matching(orders, best, "o_custkey")
     return picked.join(F.broadcast(best.select("o_custkey", "c_name")), "o_custkey")
 
 

@@ -24,8 +24,14 @@ def lower_text(leaf: Column, default: str = "") -> Column:
     return F.coalesce(strip(F.lower(leaf)), F.lit(default))
 
 
+# What a number looks like as text.  The cast alone would also take suffixes such as 1d or 30f.
+NUMBER = (r"^\s*[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?"
+          r"|(?i:inf|infinity|nan))\s*$")
+
+
 def number_or_null(leaf: Column) -> Column:
-    return leaf.try_cast("double")
+    """The text as double; null if it is no number."""
+    return F.when(leaf.rlike(NUMBER), leaf.try_cast("double"))
 
 
 def number(leaf: Column, default: float = 0.0) -> Column:
@@ -34,7 +40,7 @@ def number(leaf: Column, default: float = 0.0) -> Column:
 
 def integer_or_null(leaf: Column) -> Column:
     """Whole text stays exact; a fraction is cut off."""
-    return F.coalesce(leaf.try_cast("bigint"), leaf.try_cast("double").try_cast("bigint"))
+    return F.coalesce(leaf.try_cast("bigint"), number_or_null(leaf).try_cast("bigint"))
 
 
 def integer(leaf: Column, default: int = 0) -> Column:

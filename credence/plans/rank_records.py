@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from credence.operators import explain
@@ -16,14 +18,17 @@ from credence.sources.documents import read_records
 def select_top(records: DataFrame, k: int = 100, job: JobSpec = JobSpec(),
                weights: ScoreWeights = ScoreWeights(), taxonomy: Taxonomy = Taxonomy(),
                rules: RuleConfig = RuleConfig(), where: Column | str | None = None,
-               keep: tuple[str, ...] = explain.KEEP) -> DataFrame:
+               keep: tuple[str, ...] = explain.KEEP, dedupe: str = "keep") -> DataFrame:
     """Top k by published score, with features, components and the columns in `keep`.
 
+    `dedupe` says what happens to repeated ids: "keep" lists them, "best" lists the best scored
+    row of each id, "fail" stops the job if one would be listed twice.
+
     One pass: what the explanation needs rides along through the top-k instead of being
     fetched again by id.
     """
     scored = score_records(records, job, weights, taxonomy, rules, where=where, keep=keep)
-    return top_ranked(scored, k)
+    return top_ranked(scored, k, dedupe=dedupe)
 
 
 def ranked_list(records: DataFrame, k: int = 100, **options) -> DataFrame:
@@ -31,13 +36,13 @@ def ranked_list(records: DataFrame, k: int = 100, **options) -> DataFrame:
     return explain.explain(select_top(records, k, **options))
 
 
-def run(spark: SparkSession, source: str, target: str, k: int = 100,
-        signals_key: str | None = None) -> DataFrame:
+def run(spark: SparkSession, source: str, target: str, signals_keys: str | Sequence[str],
+        k: int = 100, dedupe: str = "keep") -> DataFrame:
     """Read, rank, explain, write list, preview and audit; returns the violations (none if ok).
 
     Only the k selected rows are kept between the writes.
     """
-    top = select_top(read_records(spark, source, signals_key), k).persist()
+    top = select_top(read_records(spark, source, signals_keys), k, dedupe=dedupe).persist()
     try:
         listed = explain.explain(top)
         sinks.write_ranked_csv(listed, f"{target}/ranked")

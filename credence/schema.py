@@ -31,7 +31,7 @@ def _texts(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]
 
 
-def raw_schema(signals_key: str = "signals") -> T.StructType:
+def raw_schema(*signals_keys: str) -> T.StructType:
     """JSON shape with text leaves, plus the slot that receives an unparsable document."""
     array = lambda *names: T.ArrayType(T.StructType(_texts(*names)))
     signals = T.StructType(
@@ -49,7 +49,7 @@ def raw_schema(signals_key: str = "signals") -> T.StructType:
         T.StructField("skills", array("name", "proficiency", "endorsements", "duration_months")),
         T.StructField("certifications", array("name", "issuer", "year")),
         T.StructField("languages", array("language", "proficiency")),
-        T.StructField(signals_key, signals),
+        *[T.StructField(key, signals) for key in signals_keys or ("signals",)],
         T.StructField(CORRUPT, T.StringType()),
     ])
 

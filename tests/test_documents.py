@@ -5,6 +5,7 @@ from pyspark.sql import Observation, functions as F
 
 from conftest import CLEAN, DROP, changed
 from credence import settings
+from credence.functions.coerce import number_or_null
 from credence.operators import normalize as N
 from credence.sources import documents as D, sinks
 
@@ -68,13 +69,50 @@ def test_files(spark, tmp_path):
     source = tmp_path / "in.jsonl"
     renamed = changed(x_signals=CLEAN["signals"], signals=DROP)
     source.write_text("\n".join([json.dumps(renamed), "", "   ", "{oops"]))
-    assert D.read_records(spark, str(source)).head().signals.connection_count == 100
-    assert D.read_records(spark, str(source), limit=1).count() == 1
+    keys = ("signals", "x_signals")
+    assert D.read_records(spark, str(source), keys).head().signals.connection_count == 100
+    assert D.read_records(spark, str(source), keys, limit=1).count() == 1
+    unread = D.parse_lines(D.read_lines(spark, str(source)), "signals")
+    assert sorted(r.reject_reason for r in D.quarantine(unread).collect()) == [
+        "bad_json", "missing_signals"]
     (tmp_path / "list.json").write_text(json.dumps([CLEAN, changed(candidate_id="B")], indent=1))
     assert D.read_json_array(spark, str(tmp_path / "list.json")).count() == 2
+
+
+def test_mixed_layouts_keep_their_signals(spark, lines):
+    other = changed(candidate_id="B", x_signals={**CLEAN["signals"], "connection_count": 7},
+                    signals=DROP)
+    bare = {"candidate_id": "C"}
+    parsed = D.parse_lines(lines(CLEAN, other, bare), ("x_signals", "signals"))
+    rows = {r.candidate_id: r.signals.connection_count
+            for r in N.normalize(D.accepted(parsed)).collect()}
+    assert rows == {"CAND_0000001": 100, "B": 7, "C": 0}
+
+
+def test_json_lists(spark, tmp_path):
+    renamed = changed(candidate_id="D", x_signals=CLEAN["signals"], signals=DROP)
+    elements = [CLEAN, changed(candidate_id="B"), "oops", None, changed(candidate_id=DROP),
+                changed(candidate_id="C", skills__0__endorsements="many"), renamed]
+    (tmp_path / "list.json").write_text(json.dumps(elements, indent=1))
     (tmp_path / "one.json").write_text(json.dumps(CLEAN))
-    with pytest.raises(ValueError):
-        D.read_json_array(spark, str(tmp_path / "one.json"))
+    (tmp_path / "cut.json").write_text(json.dumps([CLEAN])[:-5])
+    (tmp_path / "none.json").write_text("[]")
+    parsed = D.parse_lines(D.array_lines(spark, str(tmp_path)), ("signals", "x_signals"))
+    assert {r.candidate_id for r in D.accepted(parsed).collect()} == {"CAND_0000001", "B", "D"}
+    assert sorted(r.reject_reason for r in D.quarantine(parsed).collect()) == [
+        "bad_json"] * 4 + ["bad_value", "missing_id"]
+    assert D.read_json_array(spark, str(tmp_path / "list.json"),
+                             ("signals", "x_signals")).count() == 3
+    with pytest.raises(Exception, match="unusable document"):
+        D.read_json_array(spark, str(tmp_path / "one.json"), on_error="fail").collect()
+
+
+def test_number_text(spark):
+    texts = ["1", "-2.5", ".5", "1e3", " 7 ", "1d", "30f", "0x10", "1_0", "", "abc", "5.", "inf"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.n for r in df.withColumn("n", number_or_null(F.col("t"))).collect()}
+    assert [t for t in texts if got[t] is None] == ["1d", "30f", "0x10", "1_0", "", "abc"]
+    assert (got[" 7 "], got["5."], got["1e3"]) == (7, 5, 1000)
 
 
 def test_job_and_table_round_trip(spark, records, tmp_path):
