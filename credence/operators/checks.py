@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from credence.functions.coerce import strip
+from credence.functions.coerce import number_or_null, strip
 from credence.operators.ordered import ranked, with_next
 from credence.settings import ID_PATTERN, RANKED_COLUMNS
 
@@ -66,16 +66,30 @@ def numbered_rows(raw: DataFrame) -> DataFrame:
     Rows that hold only blanks are left out and take no number.
     """
     used = raw.filter(~F.col("is_header") & F.exists("cells", lambda c: strip(c) != ""))
-    rows = ranked(used, F.asc("source_file"), F.asc("block"), F.asc("locator"), name="row_num")
+    rows = ranked(used.drop("fault"), F.asc("source_file"), F.asc("locator"), name="row_num")
     return rows.withColumn("row_num", F.col("row_num") + 1)
 
 
+def check_encoding(raw: DataFrame) -> DataFrame:
+    """What is wrong with a file as a whole."""
+    detail = F.when(F.col("fault") == "utf8", "the file is not UTF-8.").otherwise(
+        "a quoted cell is not closed.")
+    # A file without a byte gives no row at all.
+    rows = raw.agg(F.count("*").alias("n"))
+    return _violation(raw, "encoding", F.col("fault").isNotNull(),
+                      F.when(F.col("fault") == "quotes", F.col("locator") + 1), detail).unionByName(
+        _violation(rows, "encoding", F.col("n") == 0, F.lit(None), F.lit("the file is empty.")))
+
+
 def check_header(raw: DataFrame, columns: tuple[str, ...] = RANKED_COLUMNS) -> DataFrame:
-    header = raw.filter("is_header")
-    return _violation(header, "header",
-                      ~(F.col("cells") == F.array(*[F.lit(c) for c in columns])), F.lit(1),
-                      F.concat(F.lit(f"Row 1 (header) must be exactly: {','.join(columns)}; "
-                                     "found: "), F.array_join("cells", ",")))
+    wanted = F.array(*[F.lit(c) for c in columns])
+    # One row, also for a file that has none.
+    header = raw.filter("is_header").agg(F.count("*").alias("n"), F.collect_list("cells").alias(
+        "found"), F.count_if(F.col("cells") == wanted).alias("good"))
+    found = F.array_join(F.transform("found", lambda c: F.array_join(c, ",")), " | ")
+    return _violation(header, "header", (F.col("n") == 0) | (F.col("good") < F.col("n")),
+                      F.lit(1), F.concat(F.lit(
+                          f"Row 1 (header) must be exactly: {','.join(columns)}; found: "), found))
 
 
 def check_cells(rows: DataFrame, expected_rows: int = 100, id_pattern: str = ID_PATTERN,
@@ -91,7 +105,7 @@ def check_cells(rows: DataFrame, expected_rows: int = 100, id_pattern: str = ID_
     cell = lambda i: strip(F.get(F.col("cells"), F.lit(i)))
     typed = rows.select(
         "row_num", F.size("cells").alias("n_cells"), cell(0).alias("id"),
-        cell(1).alias("rank_text"), cell(2).try_cast("double").alias("score")).withColumns({
+        cell(1).alias("rank_text"), number_or_null(cell(2)).alias("score")).withColumns({
             # Text is canonical when printing the number gives the same text again.
             "rank": F.when(F.col("rank_text").try_cast("bigint").cast("string")
                            == F.col("rank_text"), F.col("rank_text").try_cast("bigint")),
@@ -165,7 +179,8 @@ def check_file(spark: SparkSession, path: str, expected_rows: int = 100,
     named = [] if path.lower().endswith(".csv") else [
         ("suffix", None, "Filename must use a .csv extension.")]
     raw = read_csv_cells(spark, path)
-    return _union([spark.createDataFrame(named, _EMPTY), check_header(raw, columns),
+    return _union([spark.createDataFrame(named, _EMPTY), check_encoding(raw),
+                   check_header(raw, columns),
                    check_cells(numbered_rows(raw), expected_rows, columns=columns)])
 
 

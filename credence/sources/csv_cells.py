@@ -2,29 +2,62 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A comma with an even number of quotes behind it is outside quoted cells.
-_SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+_ROWS = pa.schema([("source_file", pa.string()), ("locator", pa.int64()),
+                   ("is_header", pa.bool_()), ("cells", pa.list_(pa.string())),
+                   ("fault", pa.string())])
+_BATCH = 4096
+
+
+def _rows(name: str, content: bytes) -> Iterator[tuple]:
+    fault = None
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        fault, text = "utf8", content.decode("utf-8-sig", errors="replace")
+    csv.field_size_limit(sys.maxsize)
+    number = -1
+    try:
+        for number, cells in enumerate(csv.reader(io.StringIO(text, newline=""), strict=True)):
+            yield name, number, number == 0, cells, fault if number == 0 else None
+    except csv.Error:       # quotes that do not fit: the rest of the file has no rows
+        yield name, number + 1, False, None, "quotes"
+
+
+def _parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for i in range(part.num_rows):
+            held = []
+            for row in _rows(part.column(0)[i].as_py(), part.column(1)[i].as_py()):
+                held.append(row)
+                if len(held) == _BATCH:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, f.type) for c, f in zip(zip(*held), _ROWS)], schema=_ROWS)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*held), _ROWS)], schema=_ROWS)
 
 
 def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, block, locator, is_header, cells), one row per line.
+    """(source_file, locator, is_header, cells, fault), one row per row of the files.
+
+    A row has exactly the cells its text has, empty ones included, and quoted cells may hold line
+    breaks; a typed CSV reader would fill up or cut rows to its schema.  The first row of each file
+    is its header.  fault names what is wrong with a file as a whole: utf8 (its bytes are no
+    UTF-8), quotes (a quoted cell that is not closed, the row has no cells).
 
-    A row has exactly the cells its line has, empty ones included; a typed CSV reader would fill
-    up or cut rows to its schema.  The first line of each file is its header.
+    A quoted line break can only be told from a row end by reading from the start, so each file is
+    one task.  Ranked lists are one file of k rows; tables of many files are read side by side.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block"), "value",
-        F.monotonically_increasing_id().alias("locator"))
-    # The header is the smallest locator of the block that starts the file: one row per file.
-    headers = (lines.filter("block = 0").groupBy("source_file")
-               .agg(F.min("locator").alias("locator")).withColumn("is_header", F.lit(True)))
-    quoted = lambda c: F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) > 1)
-    plain = lambda c: F.when(quoted(c), F.replace(
-        c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
-    cells = F.transform(F.split("value", _SEPARATOR), plain)
-    return (lines.select("source_file", "block", "locator", cells.alias("cells"))
-            .join(headers, ["source_file", "locator"], "left")
-            .withColumn("is_header", F.coalesce("is_header", F.lit(False))))
+    return (spark.read.format("binaryFile").load(path)
+            .select(F.col("path"), "content").mapInArrow(
+                _parse, "source_file string, locator bigint, is_header boolean, "
+                        "cells array<string>, fault string"))

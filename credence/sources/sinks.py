@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from credence.functions.numeric import fixed
 from credence.settings import JobSpec
 
 
 def write_ranked_csv(ranked: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The ranked list (k rows) as one CSV file in rank order, scores with plain digits."""
-    (ranked.select("candidate_id", "rank", "score", "reasoning").orderBy("rank").coalesce(1)
+    """The ranked list (k rows) as one CSV file in rank order, scores with four decimals."""
+    (ranked.select("candidate_id", "rank", fixed(F.col("score"), 4).alias("score"), "reasoning")
+     .orderBy("rank").coalesce(1)
      .write.mode(mode).option("header", True).option("escape", '"').csv(path))
 
 

@@ -8,7 +8,8 @@ from credence import settings
 from credence.operators import checks
 from credence.operators.scoring import score_records
 from credence.plans import audit, profile_report, rank_records
-from credence.sources import documents as D
+from credence.sources import documents as D, sinks
+from credence.sources.csv_cells import read_csv_cells
 from credence.streaming import scoring as stream
 
 
@@ -62,12 +63,49 @@ def test_file_checks(spark, tmp_path):
     assert short == [("rank_missing", 100), ("row_count", None)]
 
 
+def test_file_as_a_whole(spark, tmp_path):
+    good = [f"CAND_{i:07d},{i},{1 - i / 200:.4f},\"a,\n {'x' * 6000}\"\"b\"" for i in range(1, 101)]
+    assert codes(checks.check_file(spark, write(tmp_path / "ok.csv", good))) == []
+    (tmp_path / "latin.csv").write_bytes("candidate_id,rank,score,reasoning\n".encode()
+                                         + "CAND_0000001,1,0.5,\xe9\n".encode("latin-1"))
+    assert ("encoding", None) in codes(checks.check_file(spark, str(tmp_path / "latin.csv")))
+    (tmp_path / "empty.csv").write_text("")
+    assert {("encoding", None), ("header", 1)} <= set(
+        codes(checks.check_file(spark, str(tmp_path / "empty.csv"))))
+    (tmp_path / "open.csv").write_text("candidate_id,rank,score,reasoning\nCAND_0000001,1,1d,\"x")
+    assert {("encoding", 2)} <= set(codes(checks.check_file(spark, str(tmp_path / "open.csv"))))
+    suffix = ["CAND_0000001,1,1d,x"]
+    assert ("score_number", 2) in codes(checks.check_file(spark, write(tmp_path / "s.csv", suffix)))
+    quoted = "CAND_0000001,1,0.5,\"" + '""' * 3000 + '"'
+    assert "cells" not in {c for c, _ in codes(checks.check_file(
+        spark, write(tmp_path / "q.csv", [quoted])))}
+
+
+def test_repeated_ids_in_the_list(many):
+    twice = many.unionByName(many.filter("candidate_id = 'CAND_0000119'"))
+    ids = lambda df: [r.candidate_id for r in df.collect()]
+    kept = ids(rank_records.ranked_list(twice))
+    best = ids(rank_records.ranked_list(twice, dedupe="best"))
+    assert len(set(kept)) == 99 and len(set(best)) == 100
+    with pytest.raises(Exception, match="repeated id"):
+        rank_records.ranked_list(twice, dedupe="fail").collect()
+    assert ids(rank_records.ranked_list(many, dedupe="fail")) == best
+
+
+def test_scores_are_written_with_plain_digits(spark, tmp_path):
+    df = spark.createDataFrame([("A", 1, 0.0005, "x, \"y\"\nz")],
+                               "candidate_id string, rank int, score double, reasoning string")
+    sinks.write_ranked_csv(df, str(tmp_path / "list"))
+    rows = read_csv_cells(spark, str(tmp_path / "list")).filter("not is_header").head()
+    assert rows.cells == ["A", "1", "0.0005", "x, \"y\"\nz"]
+
+
 def test_whole_job(spark, tmp_path):
     source = tmp_path / "in.jsonl"
     source.write_text("\n".join(json.dumps(changed(
         candidate_id=f"CAND_{i:07d}", signals__recruiter_response_rate=i / 200))
         for i in range(130)) + "\n{broken\n")
-    violations = rank_records.run(spark, str(source), str(tmp_path / "out"), signals_key="signals")
+    violations = rank_records.run(spark, str(source), str(tmp_path / "out"), "signals")
     assert violations.count() == 0
     listed = spark.read.option("header", True).csv(str(tmp_path / "out/ranked"))
     assert listed.count() == 100 and listed.columns == list(settings.RANKED_COLUMNS)
