@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from credence.functions.numeric import round_exact
 from credence.operators.ordered import ranked
-from credence.operators.scoring import COMPONENTS, scenario_scores
+from credence.operators.scoring import COMPONENTS, weighted_sum
+from credence.session import fresh_path
 from credence.settings import SCENARIOS, ScoreWeights
 
 SCORE_DIGITS = 4
@@ -22,10 +25,26 @@ def top_k(df: DataFrame, k: int, *order: Column, name: str = "rank") -> DataFram
     return numbered(df.orderBy(*order).limit(k), *order, name=name)
 
 
-def top_ranked(scored: DataFrame, k: int = 100, key: str = "candidate_id") -> DataFrame:
-    """Published order: score rounded to four decimals, then id.  Fewer rows if there are fewer."""
+def top_ranked(scored: DataFrame, k: int = 100, key: str = "candidate_id",
+               dedupe: str = "keep") -> DataFrame:
+    """Published order: score rounded to four decimals, then id.  Fewer rows if there are fewer.
+
+    Repeated ids are all listed ("keep"), listed once with their best row ("best": one shuffle by
+    id before the top-k), or stop the job if one is listed twice ("fail").
+    """
     rounded = scored.withColumn("score", round_exact(F.col("final_score"), SCORE_DIGITS))
-    return top_k(rounded, k, F.desc("score"), F.asc(key))
+    if dedupe == "best":
+        rounded = deduplicated(rounded, key, "first", [F.desc("score"), F.desc("final_score")])
+    elif dedupe not in ("keep", "fail"):
+        raise ValueError(f"dedupe is 'keep', 'best' or 'fail', not {dedupe!r}")
+    top = top_k(rounded, k, F.desc("score"), F.asc(key))
+    if dedupe == "fail":        # k rows
+        message = F.concat(F.lit("repeated id: "), F.col(key).cast("string"))
+        times = F.count("*").over(Window.partitionBy(key))
+        top = top.withColumn("_times", times).filter(F.when(
+            F.col("_times") > 1, F.raise_error(message).cast("boolean")).otherwise(True)).drop(
+            "_times").orderBy("rank")
+    return top
 
 
 def top_by(scored: DataFrame, column: str, k: int = 100, key: str = "candidate_id") -> DataFrame:
@@ -77,11 +96,22 @@ def deduplicated(df: DataFrame, key: str, how: str = "keep", order: list[Column]
 def scenario_overlaps(scored: DataFrame, scenarios: dict[str, ScoreWeights] | None = None,
                       cuts: tuple[int, ...] = (20, 50, 100), baseline: str = "A",
                       key: str = "candidate_id") -> DataFrame:
-    """How many of the baseline's top-n each other scenario keeps."""
+    """How many of the baseline's top-n each other scenario keeps.
+
+    The components are stored once, as a narrow table.  Each scenario is then one top-k over it:
+    every task keeps k rows, and neither all rows are sorted nor any row is repeated.
+    """
     scenarios = scenarios or SCENARIOS
     deepest = max(cuts)
-    tops = top_k_per_group(scenario_scores(scored, scenarios, key), ["scenario"], deepest,
-                           F.desc("score"), F.asc(key))
+    spark = scored.sparkSession
+    path = fresh_path(spark, "components")
+    narrow = scored.select(key, "trust_score", *[f"{c}_score" for c in COMPONENTS])
+    narrow.write.parquet(path)
+    stored = spark.read.schema(narrow.schema).parquet(path)
+    tops = reduce(DataFrame.unionByName, [
+        top_k(stored.select(key, (weighted_sum(w) * F.col("trust_score")).alias("score")),
+              deepest, F.desc("score"), F.asc(key)).select(
+            key, F.lit(name).alias("scenario"), "rank") for name, w in scenarios.items()])
     # At most `deepest` rows per scenario from here on.
     ranks = tops.groupBy(key).pivot("scenario", list(scenarios)).agg(F.first("rank"))
     others = [s for s in scenarios if s != baseline]
@@ -114,9 +144,12 @@ def fell_out(scored: DataFrame, k: int = 100, show: int = 5, key: str = "candida
     return top_k(lost, show, F.desc("raw_score"), F.asc(key))
 
 
-def matching(df: DataFrame, selected: DataFrame, key: str, max_rows: int) -> DataFrame:
-    """Rows whose key was selected.  `selected` is a top-k result of at most `max_rows` rows."""
-    return df.join(F.broadcast(selected.select(key).limit(max_rows)), key, "left_semi")
+def matching(df: DataFrame, selected: DataFrame, key: str) -> DataFrame:
+    """Rows whose key was selected, however many were.
+
+    Spark broadcasts the keys if they are few, as those of a top-k result are.
+    """
+    return df.join(selected.select(key), key, "left_semi")
 
 
 def ndcg_at_k(df: DataFrame, group: str, order: list[Column], gain: str, k: int) -> DataFrame:
