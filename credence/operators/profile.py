@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from credence.functions.numeric import sentinel_to_null
 from credence.operators.ordered import running_total
+from credence.session import fresh_path
 
 # --- missing values, keys ---------------------------------------------------------------------
 
@@ -58,8 +60,10 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n, share) over all non-null values."""
     counts = (df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
               .agg(F.count("*").alias("n")))
-    total = df.select(F.count(column).alias("n")).scalar()
-    return counts.withColumn("share", F.col("n") / total)
+    # The total is the sum of the counts: the exchange below them is used twice, the input once.
+    total = counts.select("n").agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(total)).select(
+        "value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
@@ -79,6 +83,12 @@ def domain_counts(df: DataFrame, column: str, domain: Iterable[str]) -> DataFram
     return counts.select(F.inline(rows))
 
 
+def known(value: Column | str) -> Column:
+    """The value as double; NaN counts as missing."""
+    number = (F.col(value) if isinstance(value, str) else value).cast("double")
+    return F.when(~F.isnan(number), number)
+
+
 # --- distributions ------------------------------------------------------------------------------
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -86,7 +96,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
     (bin, low, high, n) with all bins, from one pass for the range and one for the counts.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    values = df.select(known(column).alias("v")).filter("v is not null")
     ends = values.agg(F.min("v").alias("low"), F.max("v").alias("high")).head()
     if ends.low is None:
         return df.sparkSession.createDataFrame([], "bin int, low double, high double, n bigint")
@@ -112,7 +122,7 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
     sketches of bounded size.
     """
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v"))
+        F.struct(F.lit(c).alias("field"), known(c).alias("v"))
         for c in columns])).alias("x")).select("x.*").filter("v is not null")
     if not exact:
         sketch = F.percentile_approx("v", probabilities, 10000)
@@ -143,7 +153,7 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """(field, count, mean, std, min, max) of several columns in one pass."""
     stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    wide = df.agg(*[F.struct(*[f(F.col(c).cast("double")).alias(n) for n, f in stats.items()])
+    wide = df.agg(*[F.struct(*[f(known(c)).alias(n) for n, f in stats.items()])
                     .alias(c) for c in columns])
     rows = F.array(*[F.struct(F.lit(c).alias("field"), *[F.col(c)[n].alias(n) for n in stats])
                      for c in columns])
@@ -180,46 +190,91 @@ def conditional_means(df: DataFrame, columns: list[str], sentinel: float = -1) -
 def distinct_counts(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """One row of distinct non-null values per column.
 
-    The exact form counts one column after another on its own keys, so the input is not
-    multiplied by the number of columns.
+    The exact form counts one column after another on its own keys: each is a narrow scan and
+    a shuffle of that column's distinct values, and no row is multiplied.
     """
     if not exact:
         return df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns])
-    return df.agg(*[F.count_distinct(c).alias(c) for c in columns])
-
-
-_WIDE = 10      # more columns than this make too many aggregates for one generated method
-_PAIR_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
-
-def _pair_sums(values: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """Sums over the rows where both columns are known: one row per pair.
-
-    Values are centred on the column means first, which keeps the sums small.  Each task turns
-    its rows into one matrix product per batch and emits one row per pair.
+    parts = [df.select(F.col(c).alias("value")).distinct().agg(
+        F.count("value").alias("n")).select(F.lit(c).alias("field"), "n") for c in columns]
+    return reduce(DataFrame.unionByName, parts).agg(*[
+        F.max(F.when(F.col("field") == c, F.col("n"))).alias(c) for c in columns])
+
+
+_MOMENTS = ("n", "mx", "my", "xx", "yy", "xy")
+_ENDS = ("x0", "x1", "y0", "y1")
+
+
+def _merged(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    """Moments of two sets of rows together; columns as in _MOMENTS and _ENDS, a row per pair."""
+    if a is None:
+        return b
+    n = a[:, 0] + b[:, 0]
+    some = np.maximum(n, 1)
+    dx, dy = b[:, 1] - a[:, 1], b[:, 2] - a[:, 2]
+    dx, dy = np.where(a[:, 0] * b[:, 0] > 0, dx, 0), np.where(a[:, 0] * b[:, 0] > 0, dy, 0)
+    both = a[:, 0] * b[:, 0] / some
+    first = a[:, :1] > 0
+    mean = np.where(first, a[:, 1:3], b[:, 1:3]) + np.column_stack([dx, dy]) * (
+        np.where(first[:, 0], b[:, 0], 0) / some)[:, None]
+    return np.column_stack([
+        n, mean, a[:, 3] + b[:, 3] + dx * dx * both, a[:, 4] + b[:, 4] + dy * dy * both,
+        a[:, 5] + b[:, 5] + dx * dy * both, np.fmin(a[:, 6], b[:, 6]),
+        np.fmax(a[:, 7], b[:, 7]), np.fmin(a[:, 8], b[:, 8]), np.fmax(a[:, 9], b[:, 9])])
+
+
+def _batch_moments(x: np.ndarray, places: list[tuple[int, int]]) -> np.ndarray:
+    """Moments of each pair of columns over its own rows, centred on the means of those rows."""
+    there = ~np.isnan(x)
+    out = np.zeros((len(places), 10))
+    out[:, 6:] = np.nan
+    for k, (i, j) in enumerate(places):
+        rows = there[:, i] & there[:, j]
+        if rows.any():
+            a, b = x[rows, i], x[rows, j]
+            ma, mb = a.mean(), b.mean()
+            da, db = a - ma, b - mb
+            out[k] = (len(a), ma, mb, da @ da, db @ db, da @ db, a.min(), a.max(), b.min(),
+                      b.max())
+    return out
+
+
+def _pair_moments(values: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Moments of every pair over the rows where both are known: one row per pair.
+
+    One pass over the rows and the same method for any number of columns.  Each task merges its
+    batches and puts out one row per pair; those rows are stored, and merged around the mean of
+    the pair.
     """
-    means = values.agg(*[F.avg(c).alias(c) for c in columns]).head()
-    centre = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
-    place = [(columns.index(a), columns.index(b)) for a, b in pairs]
+    columns = values.columns
+    places = [(columns.index(a), columns.index(b)) for a, b in pairs]
 
     def partial(batches):
         total = None
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float)
                                  for c in batch.columns])
-            known = ~np.isnan(x)
-            x, m = np.where(known, x - centre, 0.0), known.astype(float)
-            sums = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-            total = sums if total is None else total + sums
+            total = _merged(total, _batch_moments(x, places))
         if total is not None:
-            i, j = np.array(place).T
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(place)), pa.int32()),
-                 *[pa.array(t[i, j]) for t in total]], ["pair", *_PAIR_SUMS])
-
-    ddl = "pair int, " + ", ".join(f"{s} double" for s in _PAIR_SUMS)
-    return (values.mapInArrow(partial, ddl).groupBy("pair")
-            .agg(*[F.sum(s).alias(s) for s in _PAIR_SUMS]))
+                [pa.array(range(len(places)), pa.int32()), *[pa.array(c) for c in total.T]],
+                ["pair", *_MOMENTS, *_ENDS])
+
+    spark = values.sparkSession
+    ddl = "pair int, " + ", ".join(f"{s} double" for s in (*_MOMENTS, *_ENDS))
+    path = fresh_path(spark, "moments")
+    values.mapInArrow(partial, ddl).where("n > 0").write.parquet(path)
+    parts = spark.read.schema(ddl).parquet(path)
+    means = parts.groupBy("pair").agg(*[
+        (F.sum(F.col("n") * F.col(m)) / F.sum("n")).alias(f"all_{m}") for m in ("mx", "my")])
+    dx, dy = F.col("mx") - F.col("all_mx"), F.col("my") - F.col("all_my")
+    # One row per pair of columns.
+    return parts.join(F.broadcast(means), "pair").groupBy("pair").agg(
+        F.sum("n").alias("n"), F.sum(F.col("xx") + F.col("n") * dx * dx).alias("xx"),
+        F.sum(F.col("yy") + F.col("n") * dy * dy).alias("yy"),
+        F.sum(F.col("xy") + F.col("n") * dx * dy).alias("xy"),
+        (F.min("x0") < F.max("x1")).alias("x_varies"),
+        (F.min("y0") < F.max("y1")).alias("y_varies"))
 
 
 def correlation(df: DataFrame, columns: list[str], sentinel: float | None = -1,
@@ -230,30 +285,19 @@ def correlation(df: DataFrame, columns: list[str], sentinel: float | None = -1,
     not vary over those rows.  `part` is 'full' (both triangles and the diagonal) or 'lower'
     (each pair once, first column after the second).
     """
-    def known(c: str) -> Column:
-        value = F.col(c).cast("double")
-        value = F.when(~F.isnan(value), value)
-        return value if sentinel is None else sentinel_to_null(value, sentinel)
+    def value(c: str) -> Column:
+        number = known(c)
+        return number if sentinel is None else sentinel_to_null(number, sentinel)
 
-    values = df.select(*[known(c).alias(c) for c in columns])
     pairs = list(combinations(columns, 2))
-    names = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs])
-    if len(columns) > _WIDE:
-        covariance = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-        spread = lambda ss, s: F.when(
-            F.col(ss) - F.col(s) * F.col(s) / F.col("n") > F.col(ss) * 1e-12,
-            F.col(ss) - F.col(s) * F.col(s) / F.col("n"))
-        known_pairs = _pair_sums(values, columns, pairs).withColumn("corr", F.when(
-            F.col("n") > 1, covariance / F.sqrt(spread("sxx", "sx") * spread("syy", "sy"))))
-        table = known_pairs.select(F.get(names, F.col("pair")).alias("p"), "corr")
-    else:
-        both = lambda a, b: F.when(F.col(b).isNotNull(), F.col(a))
-        wide = values.agg(*[
-            F.try_divide(F.covar_pop(a, b), F.stddev_pop(both(a, b)) * F.stddev_pop(both(b, a)))
-            .alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-        table = wide.select(F.explode(F.arrays_zip(
-            names.alias("p"), F.array(*[F.col(f"`{i}`") for i in range(len(pairs))])
-            .alias("corr"))).alias("z")).select("z.p", "z.corr")
+    places = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(a).alias("x"), F.lit(b).alias("y"))
+                       for i, (a, b) in enumerate(pairs)])
+    moments_ = _pair_moments(df.select(*[value(c).alias(c) for c in columns]), pairs)
+    # The plan has one literal row per pair; pairs without a row in common have no moments.
+    table = df.sparkSession.range(1).select(F.inline(places)).join(moments_, "pair", "left").select(
+        F.struct("x", "y").alias("p"), F.when(
+            (F.col("n") > 1) & F.col("x_varies") & F.col("y_varies"),
+            F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy"))).alias("corr"))
     lower = table.select(F.col("p.y").alias("field_a"), F.col("p.x").alias("field_b"), "corr")
     if part == "lower":
         return lower
