@@ -9,7 +9,9 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    """The training-data operators are tested on their own where SQL cannot express them."""
+    others = {q for q in entry.queries() if q not in entry.LLM_QUERIES}
+    assert others <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", [
