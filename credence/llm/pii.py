@@ -390,6 +390,10 @@ def listed(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def counted(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def redact_text(text: str, spans: Sequence) -> str:
     """Overlapping spans are replaced together, by the kind that begins first."""
     out, at, last = [], 0, -1

@@ -128,7 +128,8 @@ def test_rows_and_redaction(spark):
     model = P.train(df)
     assert len(model.index) > 50
     rows = P.personal_data(df, model, carry=["doc_id"]).withColumn(
-        "listed", P.listed(P.F.col("spans"))).collect()
+        "listed", P.listed(P.F.col("spans"))).withColumn(
+        "ips", P.counted(P.F.col("spans"), "ip")).collect()
     assert len(rows) == len(docs)
     expected = sorted((str(d[0]), [(s[0], s[1], P.KINDS[s[2]]) for s in P.base_spans(d[1] or "")])
                       for d in docs)
@@ -136,6 +137,7 @@ def test_rows_and_redaction(spark):
                   for r in rows) == expected
     for r in rows:
         assert r.listed == ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans)
+        assert r.ips == sum(s.kind == "ip" for s in r.spans)
         taken = [s for s in r.spans if s.base]
         for s in r.spans:
             assert s.base or not any(s.start < b.end and b.start < s.end for b in taken)
