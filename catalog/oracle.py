@@ -362,6 +362,15 @@ cust2 AS (SELECT *, CASE WHEN quality = 0 AND production = 0 THEN e0
     ELSE CAST(0.5 AS DOUBLE) * e0 + CAST(0.3 AS DOUBLE) * quality
          + CAST(0.2 AS DOUBLE) * production END AS ex FROM cust)""")
 
+# Records of which every tenth arrives again with two changed signals.
+_UPDATED = B.ON_SCORES.replace(
+    "k % 3 = 1 AS open_to_work", "k % 3 = 1 AND k % 10 <> 3 AS open_to_work").replace(
+    "CAST(k % 101 AS DOUBLE) / 100 + CASE WHEN k % 401 = 3 THEN 1 ELSE 0 END AS response",
+    "CASE WHEN k % 10 = 3 THEN 0 ELSE CAST(k % 101 AS DOUBLE) / 100 "
+    "+ CASE WHEN k % 401 = 3 THEN 1 ELSE 0 END END AS response")
+_PRICES = """WITH p AS (SELECT CASE WHEN o_orderkey % 7 <> 3 AND o_orderkey % 11 <> 5
+  THEN CAST(o_totalprice AS DOUBLE) END AS price FROM orders) """
+
 ORACLE: dict[str, str] = {
     "normalize_jsonl": B.with_tables(B.VIEW, B.ANOMALIES, B.FEATURES) + f"""
       SELECT candidate_id, title, headline, {big('months', 'months')}, {r6('implied', 'implied')},
@@ -831,4 +840,47 @@ ORACLE: dict[str, str] = {
     "stream_quality": B.ON_FLAGS + """
       SELECT code, count(*) AS n_flags, count(DISTINCT k) AS n_records FROM anomaly
       GROUP BY code""",
+    "stream_topk_updates": _UPDATED + f"""
+      SELECT candidate_id, {r6('final', 'final_score')} FROM scored
+      ORDER BY final DESC, candidate_id LIMIT 100""",
+    "stream_arrivals": B.with_tables(B.VIEW, _DAMAGE) + """
+      SELECT coalesce(why, 'accepted') AS outcome, count(*) AS n FROM dmg GROUP BY 1""",
+    "mixed_layout_rejects": B.ON_VIEW + f"""
+      SELECT CASE WHEN k % 5 = 1 THEN 'missing_signals' ELSE 'accepted' END AS outcome,
+        count(*) AS n, {big('sum(CASE WHEN k % 5 = 1 THEN 0 ELSE connections END)',
+                            'connections')} FROM person GROUP BY 1""",
+    "json_array_records": B.ON_VIEW + f"""
+      SELECT candidate_id, {big('connections', 'connections')}, {big('ns', 'n_skills')}
+      FROM person""",
+    "read_limit": """
+      SELECT least(count(*), 100) AS n, least(count(DISTINCT o_orderkey), 100) AS n_ids
+      FROM orders""",
+    "ranked_csv_round_trip": ON_RANKED + """
+      SELECT candidate_id, CAST(rank AS VARCHAR) AS rank, printf('%.4f', published) AS score,
+        reasoning FROM ranked WHERE rank <= 100""",
+    "ranked_deduplicated": B.ON_SCORES + """
+      SELECT candidate_id, row_number() OVER (ORDER BY published DESC, candidate_id) AS rank,
+        published AS score FROM scored ORDER BY rank LIMIT 100""",
+    "score_breakdown": B.ON_SCORES + f"""
+      SELECT candidate_id, {', '.join(r6(c, f'{n}_score') for n, c in COMPONENT_COLUMNS.items())},
+        {r6('trust', 'trust_score')} FROM scored""",
+    "feature_cache": B.ON_SCORES + f"""
+      SELECT candidate_id, {r6('final', 'final_score')} FROM scored
+      ORDER BY final DESC, candidate_id LIMIT 50""",
+    "metrics_file": B.ON_SCORES + f"""
+      SELECT 'score_distribution' AS metric, {_BANDS} AS key, count(*) AS value
+      FROM scored GROUP BY 2""",
+    "corr_same_for_any_width": """
+      SELECT CAST(w AS BIGINT) AS width, round(corr(CAST(l_quantity AS DOUBLE),
+        l_quantity * CAST(2 AS DOUBLE) + l_discount), 6) AS corr
+      FROM lineitem, unnest([2, 14]) t(w) WHERE l_linenumber = 1 GROUP BY w""",
+    "describe_nan": _PRICES + describe_sql("p", "price"),
+    "histogram_nan": _PRICES.rstrip() + f""",
+      r AS (SELECT min(price) AS lo, max(price) AS hi FROM p),
+      b AS (SELECT least(14, floor((price - lo) / ((hi - lo) / 15))) AS bin, count(*) AS n
+            FROM p, r WHERE price IS NOT NULL GROUP BY 1)
+      SELECT i AS bin, {r6('lo + i * ((hi - lo) / 15)', 'low')}, coalesce(n, 0) AS n
+      FROM range(0, 15) t(i) CROSS JOIN r LEFT JOIN b ON b.bin = i""",
 }
+ORACLE["csv_file_checks"] = ORACLE["output_checks"].replace("o_orderkey % 229 = 8 AS short",
+                                                            "false AS short")

@@ -15,7 +15,8 @@ from credence.operators import (checks, evidence, explain, features as X, interv
                                 scoring as C)
 from credence.plans import audit, rank_records
 from credence.session import fresh_path
-from credence.sources import documents as D
+from credence.sources import documents as D, sinks
+from credence.sources.csv_cells import read_csv_cells
 from credence.sources.tables import read_table, spread
 from credence.streaming import scoring as stream
 
@@ -107,6 +108,50 @@ def load_stats(spark: SparkSession, sf: str) -> DataFrame:
     return D.load_stats(D.parse_lines(_damaged(spark, sf))).drop("missing_signals")
 
 
+def _number(column: str = "candidate_id") -> Column:
+    return F.regexp_extract(column, "([0-9]+)$", 1).cast("bigint")
+
+
+@register
+def mixed_layout_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of three layouts: two that are asked for, and one that is not."""
+    raw = view.load(spark, sf, raw=True)
+    layouts = {0: "platform_signals", 1: "other_signals"}
+    parts = [view.as_json(raw.filter(_number() % 5 == r), key) for r, key in layouts.items()]
+    lines = parts[0].unionByName(parts[1]).unionByName(view.as_json(
+        raw.filter(_number() % 5 > 1)))
+    parsed = D.parse_lines(lines, ("signals", "platform_signals"))
+    return parsed.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(
+        F.count("*").alias("n"), F.sum(F.coalesce(integer_or_null(
+            F.col("signals.connection_count")), F.lit(0))).alias("connections"))
+
+
+@register
+def json_array_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists of up to 4 000 documents in two layouts, each with an element that is none."""
+    raw = view.load(spark, sf, raw=True)
+    lines = view.as_json(raw.filter(_number() % 2 == 0)).unionByName(
+        view.as_json(raw.filter(_number() % 2 == 1), "platform_signals"))
+    folder = fresh_path(spark, "lists")
+    bucket = F.floor(F.regexp_extract("value", '"candidate_id":"[A-Z]+_([0-9]+)"', 1)
+                     .cast("bigint") / 4000).alias("bucket")
+    (lines.groupBy(bucket).agg(F.array_join(F.collect_list("value"), ",\n").alias("l"))
+     .select("bucket", F.concat(F.lit('["oops",\n'), "l", F.lit("]")).alias("value"))
+     .write.partitionBy("bucket").text(folder))
+    records = D.read_json_array(spark, folder, ("signals", "platform_signals"))
+    return records.select("candidate_id", whole("signals.connection_count").alias("connections"),
+                          whole(F.size("skills")).alias("n_skills"))
+
+
+@register
+def read_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """The sampling form of the reader: which rows it takes is open, how many is not."""
+    folder = fresh_path(spark, "lines")
+    view.as_json(view.load(spark, sf, raw=True)).write.text(folder)
+    some = D.read_records(spark, folder, "signals", limit=100)
+    return some.agg(F.count("*").alias("n"), F.count_distinct("candidate_id").alias("n_ids"))
+
+
 @register
 def key_presence(spark: SparkSession, sf: str) -> DataFrame:
     presence = D.key_presence(_damaged(spark, sf),
@@ -545,6 +590,65 @@ def rank_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return checks.missing_ranks(taken, 100)
 
 
+@register
+def csv_file_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The planted defects again, as CSV files with quoted line breaks, commas and quotes."""
+    cells = _submission(spark, sf).select("row_num", F.slice("cells", 1, 3).alias("c"))
+    rows = cells.orderBy("row_num").select(
+        *[F.col("c")[i].alias(n) for i, n in enumerate(settings.RANKED_COLUMNS[:3])],
+        F.lit('some "text",\nin two lines').alias(settings.RANKED_COLUMNS[3]))
+    folder = fresh_path(spark, "submission")
+    sinks.write_table_csv(rows, folder)
+    return checks.check_file(spark, folder, 150).filter("check <> 'suffix'").select(
+        "check", "place")
+
+
+@register
+def ranked_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    folder = fresh_path(spark, "ranked")
+    sinks.write_ranked_csv(rank_records.ranked_list(cand(spark, sf)), folder)
+    rows = read_csv_cells(spark, folder).filter("not is_header")
+    return rows.select(*[F.col("cells")[i].alias(n)
+                         for i, n in enumerate(settings.RANKED_COLUMNS)])
+
+
+@register
+def ranked_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
+    """All records twice, the second time with less trust: each id is listed once."""
+    scored = scores(spark, sf).select("candidate_id", "final_score")
+    worse = scored.select("candidate_id", (F.col("final_score") * 0.5).alias("final_score"))
+    return R.top_ranked(worse.unionByName(scored), dedupe="best").select(
+        "candidate_id", whole("rank").alias("rank"), "score")
+
+
+@register
+def score_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    parts = scores(spark, sf).select("candidate_id", C.breakdown().alias("b"))
+    return parts.select("candidate_id", *[r6(f"b.{c}_score").alias(f"{c}_score")
+                                          for c in C.COMPONENTS],
+                        r6("b.trust_score").alias("trust_score"))
+
+
+@register
+def feature_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores written as parquet, read back and ranked."""
+    folder = fresh_path(spark, "features")
+    sinks.write_features(scores(spark, sf).select("candidate_id", "final_score"), folder)
+    return R.top_by(sinks.read_features(spark, folder), "final_score", 50).select(
+        "candidate_id", r6("final_score").alias("final_score"))
+
+
+@register
+def metrics_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The score bands as a long table of metrics, written and read back."""
+    folder = fresh_path(spark, "metrics")
+    bands = P.score_bands(scores(spark, sf))
+    sinks.write_metrics(bands.select(
+        F.lit("score_distribution").alias("metric"), F.col("band").alias("key"),
+        F.col("n").cast("double").alias("value")), folder)
+    return spark.read.json(folder).select("metric", "key", whole("value").alias("value"))
+
+
 # --- sensitivity --------------------------------------------------------------------------------
 
 @register
@@ -700,6 +804,42 @@ def corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return table.select("field_a", "field_b", r6("corr").alias("corr"))
 
 
+@register
+def corr_same_for_any_width(spark: SparkSession, sf: str) -> DataFrame:
+    """One pair among 2 and among 14 columns.  The rows of the pair lie far from the mean that x
+    has over all rows."""
+    near = F.col("l_linenumber") == 1
+    x = F.when(near, F.col("l_quantity").cast("double")).otherwise(
+        F.lit(1e9) + F.col("l_extendedprice"))
+    items = read_table(spark, sf, "lineitem").select(
+        x.alias("x"), F.when(near, F.col("l_quantity") * 2.0 + F.col("l_discount")).alias("y"),
+        *[(F.col("l_tax") + F.lit(float(i)) * F.col("l_discount")).alias(f"z{i}")
+          for i in range(12)])
+    pair = lambda columns: P.correlation(items, columns, None, "lower").filter(
+        "field_a = 'y' and field_b = 'x'")
+    return pair(["x", "y"]).withColumn("width", F.lit(2)).unionByName(
+        pair(items.columns).withColumn("width", F.lit(14))).select(
+        whole("width").alias("width"), r6("corr").alias("corr"))
+
+
+def _with_nan(spark: SparkSession, sf: str) -> DataFrame:
+    price = F.when(F.col("o_orderkey") % 7 == 3, F.lit(float("nan"))).when(
+        F.col("o_orderkey") % 11 != 5, F.col("o_totalprice").cast("double"))
+    return read_table(spark, sf, "orders").select(price.alias("price"))
+
+
+@register
+def describe_nan(spark: SparkSession, sf: str) -> DataFrame:
+    table = P.describe(_with_nan(spark, sf), ["price"])
+    return table.select("field", "count", *[r6(c).alias(c) for c in table.columns[2:]])
+
+
+@register
+def histogram_nan(spark: SparkSession, sf: str) -> DataFrame:
+    table = P.histogram(_with_nan(spark, sf), "price", 15)
+    return table.select(whole("bin").alias("bin"), r6("low").alias("low"), "n")
+
+
 @register
 def corr_profile(spark: SparkSession, sf: str) -> DataFrame:
     """All 378 pairs of the 28 profile columns, each pair once."""
@@ -811,11 +951,13 @@ def running_total(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- streams ------------------------------------------------------------------------------------
 
-def _order_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = read_table(spark, sf, "orders").schema
-    orders = (spark.readStream.schema(schema).format("parquet")
-              .load(f"{sf}/orders.parquet*"))
-    return view.records(orders)
+def _order_stream(spark: SparkSession, sf: str, parts: int = 5) -> DataFrame:
+    """All orders as files that arrive one after another: a micro-batch each."""
+    orders = read_table(spark, sf, "orders")
+    folder = fresh_path(spark, "arriving")
+    orders.repartition(parts, "o_orderkey").write.parquet(folder)
+    return view.records(spark.readStream.schema(orders.schema).format("parquet")
+                        .option("maxFilesPerTrigger", 1).load(folder))
 
 
 @register
@@ -830,16 +972,48 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def stream_topk(spark: SparkSession, sf: str) -> DataFrame:
     target = fresh_path(spark, "stream-topk")
-    query = stream.topk_stream(_order_stream(spark, sf), f"{target}/lists", f"{target}/state")
-    query.awaitTermination()
-    top = stream.current_topk(spark, f"{target}/lists", stream.last_batch(query))
+    stream.topk_stream(_order_stream(spark, sf), f"{target}/scores",
+                       f"{target}/state").awaitTermination()
+    top = stream.current_topk(spark, f"{target}/scores")
+    return top.select("candidate_id", r6("final_score").alias("final_score"))
+
+
+@register
+def stream_topk_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth record arrives a second time, without a flag to be open to work; some fall
+    out of the list, others move up."""
+    target = fresh_path(spark, "stream-updates")
+    folder = fresh_path(spark, "arriving")
+    records = cand(spark, sf)
+    again = records.filter(F.regexp_extract("candidate_id", "([0-9]+)$", 1).cast("bigint") % 10
+                           == 3).withColumn("signals", F.col("signals").withField(
+                               "open_to_work_flag", F.lit(False)).withField(
+                               "recruiter_response_rate", F.lit(0.0)))
+    records.repartition(4, "candidate_id").write.parquet(f"{folder}")
+    arriving = lambda: (spark.readStream.schema(records.schema).format("parquet")
+                        .option("maxFilesPerTrigger", 1).load(folder))
+    stream.topk_stream(arriving(), f"{target}/scores", f"{target}/state").awaitTermination()
+    again.write.mode("append").parquet(folder)
+    stream.topk_stream(arriving(), f"{target}/scores", f"{target}/state").awaitTermination()
+    top = stream.current_topk(spark, f"{target}/scores")
     return top.select("candidate_id", r6("final_score").alias("final_score"))
 
 
 @register
 def stream_quality(spark: SparkSession, sf: str) -> DataFrame:
     target = fresh_path(spark, "stream-quality")
-    query = stream.quality_stream(_order_stream(spark, sf), f"{target}/counts",
-                                  f"{target}/state")
-    query.awaitTermination()
-    return spark.read.parquet(f"{target}/counts/batch={stream.last_batch(query)}")
+    stream.quality_stream(_order_stream(spark, sf), f"{target}/counts",
+                          f"{target}/state").awaitTermination()
+    return stream.last_counts(spark, f"{target}/counts")
+
+
+@register
+def stream_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """Running totals of the damaged documents, in five micro-batches."""
+    target = fresh_path(spark, "stream-arrivals")
+    folder = fresh_path(spark, "arriving")
+    _damaged(spark, sf).repartition(5).write.text(folder)
+    lines = D.read_line_stream(spark, folder, files_per_batch=1)
+    stream.arrival_stream(D.parse_lines(lines), f"{target}/counts",
+                          f"{target}/state").awaitTermination()
+    return stream.last_counts(spark, f"{target}/counts")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from credence.operators import normalize as N
-from credence.operators.ranking import deduplicated
 from credence.operators.rules import anomaly_rules, rule_hits
 from credence.operators.scoring import score_records
 
@@ -25,39 +24,40 @@ def score_stream(records: DataFrame, target: str, checkpoint: str,
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def topk_stream(records: DataFrame, state: str, checkpoint: str, k: int = 100
-                ) -> StreamingQuery:
-    """Keep the current top k of everything seen.
+def topk_stream(records: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
+    """Keep the scores of everything seen, one folder for each batch.
 
-    Each batch merges its own top k with the list of the batch before and writes a new list;
-    a batch that is run again after a failure overwrites its own list only.  A record that
-    arrives again replaces its earlier score; exact for records that arrive once, since a
-    record that leaves the list is not kept for later.
+    A batch is scored and written once, whatever was seen before, so its cost does not grow.  A
+    batch that is run again after a failure overwrites its own folder only.  `current_topk` reads
+    the list at any time.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        scored = score_records(batch).select(*SCORE_COLUMNS)
-        best = (deduplicated(scored, "candidate_id", "first", [F.desc("final_score")])
-                .orderBy(F.desc("final_score"), F.asc("candidate_id")).limit(k)
-                .withColumn("batch", F.lit(batch_id).cast("bigint")))
-        if batch_id > 0:
-            before = spark.read.parquet(f"{state}/batch={batch_id - 1}")
-            arrived = scored.select("candidate_id")
-            # At most k rows on the left, so the arriving ids are only probed.
-            kept = before.join(arrived.join(F.broadcast(before.select("candidate_id").limit(k)),
-                                            "candidate_id", "left_semi").distinct(),
-                               "candidate_id", "left_anti")
-            best = (best.unionByName(kept)
-                    .orderBy(F.desc("final_score"), F.asc("candidate_id")).limit(k))
-        best.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-
-    return (records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        (score_records(batch).select(*SCORE_COLUMNS)
+         .withColumn("place", F.monotonically_increasing_id())
+         .write.mode("overwrite").parquet(f"{state}/batch={batch_id}"))
+
+    return (records.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def current_topk(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
-    """The list after a given batch."""
-    return spark.read.parquet(f"{state}/batch={batch_id}")
+def latest_scores(spark: SparkSession, state: str, upto: int | None = None) -> DataFrame:
+    """The latest arrival of every id, by batch and place within it.
+
+    One shuffle of narrow rows, combined first: an id that arrives ever again is one row a task.
+    """
+    seen = spark.read.option("basePath", state).parquet(state)
+    if upto is not None:
+        seen = seen.filter(F.col("batch") <= upto)      # prunes folders
+    values = [c for c in SCORE_COLUMNS if c != "candidate_id"]
+    last = F.max_by(F.struct(*values), F.struct("batch", "place")).alias("s")
+    return seen.groupBy("candidate_id").agg(last).select("candidate_id", "s.*")
+
+
+def current_topk(spark: SparkSession, state: str, k: int = 100, upto: int | None = None
+                 ) -> DataFrame:
+    """The exact top k of the latest scores, after the batch `upto` or after all."""
+    return latest_scores(spark, state, upto).orderBy(
+        F.desc("final_score"), F.asc("candidate_id")).limit(k)
 
 
 def quality_counts(records: DataFrame) -> DataFrame:
@@ -66,15 +66,36 @@ def quality_counts(records: DataFrame) -> DataFrame:
     return hits.groupBy("code").agg(F.sum("n").alias("n_flags"), F.count("*").alias("n_records"))
 
 
+def arrival_counts(parsed: DataFrame) -> DataFrame:
+    """Running number of documents read, by the reason for which they were turned away."""
+    reason = F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")
+    return parsed.groupBy(reason).agg(F.count("*").alias("n"))
+
+
 def quality_stream(records: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Write the running flag counts after each batch (one row per rule)."""
+    return _running(quality_counts(records), target, checkpoint)
+
+
+def arrival_stream(parsed: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Write the running totals of rows and rejects after each batch (one row per outcome)."""
+    return _running(arrival_counts(parsed), target, checkpoint)
+
+
+def _running(counts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Each batch writes its table; the one before the last is then no longer needed."""
     def store(table: DataFrame, batch_id: int) -> None:
         table.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        spark = table.sparkSession
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch={batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
-    return (quality_counts(records).writeStream.outputMode("complete").foreachBatch(store)
+    return (counts.writeStream.outputMode("complete").foreachBatch(store)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def last_batch(query: StreamingQuery) -> int:
-    """Number of the last batch that had input."""
-    return max(p["batchId"] for p in query.recentProgress)
+def last_counts(spark: SparkSession, target: str) -> DataFrame:
+    """The table of the last batch that was written."""
+    rows = spark.read.option("basePath", target).parquet(target)
+    last = rows.agg(F.max("batch").alias("batch"))      # two folders at most
+    return rows.join(F.broadcast(last), "batch", "left_semi").drop("batch")

@@ -161,20 +161,27 @@ def test_streams_equal_batch(spark, records, tmp_path):
     scores = spark.read.parquet(str(tmp_path / "scores"))
     assert scores.exceptAll(batch).count() == batch.exceptAll(scores).count() == 0
 
-    topk = lambda r, t, c: stream.topk_stream(r, t, c, k=5)
-    query = run("lists", topk)
-    query.awaitTermination()
-    best = stream.current_topk(spark, str(tmp_path / "lists"), stream.last_batch(query))
-    assert {r.candidate_id for r in best.collect()} == {f"CAND_{i:07d}" for i in range(55, 60)}
-    # The best one arrives again with less trust: its earlier score is replaced.
+    lists = str(tmp_path / "lists")
+    run("lists", stream.topk_stream).awaitTermination()
+    ids = lambda **o: [r.candidate_id for r in stream.current_topk(spark, lists, **o).collect()]
+    assert ids(k=5) == [f"CAND_{i:07d}" for i in range(59, 54, -1)]
+    assert ids(k=5, upto=0) == [f"CAND_{i:07d}" for i in range(29, 24, -1)]
+    # The best one arrives again with less trust: it falls out, and the next moves up.
     arriving(tmp_path, {"c.jsonl": third})
-    query = run("lists", topk)
-    query.awaitTermination()
-    best = stream.current_topk(spark, str(tmp_path / "lists"), stream.last_batch(query))
-    assert "CAND_0000059" not in {r.candidate_id for r in best.filter("trust_score = 1").collect()}
-
-    query = run("counts", stream.quality_stream)
-    query.awaitTermination()
-    counts = spark.read.parquet(str(tmp_path / f"counts/batch={stream.last_batch(query)}"))
+    run("lists", stream.topk_stream).awaitTermination()
+    assert ids(k=5) == [f"CAND_{i:07d}" for i in range(58, 53, -1)]
+    latest = stream.latest_scores(spark, lists)
+    assert latest.count() == 60
+    assert latest.filter("candidate_id = 'CAND_0000059'").head().trust_score < 1
+
+    run("counts", stream.quality_stream).awaitTermination()
+    counts = stream.last_counts(spark, str(tmp_path / "counts"))
     want = stream.quality_counts(records(*first, *second, *third))
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect()))
+
+    stream.arrival_stream(D.parse_lines(D.read_line_stream(spark, folder, 1)),
+                          str(tmp_path / "arrivals"), str(tmp_path / "arrivals-state")
+                          ).awaitTermination()
+    totals = {r.outcome: r.n for r in stream.last_counts(spark, str(tmp_path / "arrivals")
+                                                         ).collect()}
+    assert totals == {"accepted": 61, "bad_json": 3}
