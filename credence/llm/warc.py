@@ -170,11 +170,16 @@ def listing(records: DataFrame) -> DataFrame:
     """
     narrow = stored(records.select("page_id", "record_type", "digest", "payload_bytes"),
                     "headers")
-    revisit = F.col("record_type") == "revisit"
-    return narrow.join(originals(narrow), "digest", "left").select(
-        "page_id", F.when(revisit, F.col("bytes")).otherwise(F.col("payload_bytes"))
-        .alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type",
-        F.when(revisit, F.col("first_id")).alias("refers_to"))
+    revisits = narrow.where("record_type = 'revisit'")
+    # Only originals that are referred to are looked up, and only revisits are joined.
+    wanted = narrow.join(revisits.select("digest").distinct(), "digest", "left_semi")
+    joined = revisits.join(originals(wanted), "digest", "left").select(
+        "page_id", F.col("bytes").alias("payload_bytes"), "digest", "record_type",
+        F.col("first_id").alias("refers_to"))
+    own = narrow.where("record_type <> 'revisit'").select(
+        "page_id", "payload_bytes", "digest", "record_type",
+        F.lit(None).cast("bigint").alias("refers_to"))
+    return own.unionByName(joined).withColumnRenamed("digest", "payload_digest")
 
 
 def deduplicate(spark: SparkSession, source: str, target: str, date: str | None = None,
