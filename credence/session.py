@@ -16,6 +16,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.driver.memory", memory)
+            .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -28,6 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local-mode session without that setting gets a folder of its own; on a cluster a
     machine-local folder would be lost with its executor, so that is an error.
     """
+    local = spark.sparkContext.master.startswith("local[") or \
+        spark.sparkContext.master == "local"
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -36,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not local:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         current = tempfile.mkdtemp(prefix="credence-")
         spark.sparkContext.setCheckpointDir(current)

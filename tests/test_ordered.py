@@ -50,6 +50,29 @@ def test_next_row_of_the_same_key(skewed):
     assert slices.select(ordered.SLICE).distinct().count() > 1
 
 
+def test_rows_are_shuffled_once(skewed):
+    """After the range sort nothing but one row per slice is exchanged."""
+    _, df = skewed
+    plans = [ordered.with_next(df, ["k"], [F.asc("t"), F.asc("id")], ["id"]),
+             ordered.running_total(df, "k", F.asc("t"), F.asc("id"), name="before")]
+    for plan in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in text and "SortMergeJoin" not in text
+        rows = [line for line in text.split("\n") if "Exchange hashpartitioning" in line
+                or "Exchange rangepartitioning" in line]
+        assert all("_slice" in line for line in rows) and len(rows) <= 1
+
+
+def test_next_row_keeps_types_and_nulls(spark):
+    rows = [(1, None, "a"), (1, None, None), (None, 2.5, "c"), (None, 1.5, "b"), (2, 1.0, "d")]
+    df = spark.createDataFrame(rows, "k long, v double, s string").repartition(3)
+    got = ordered.with_next(df, ["k"], [F.asc("v"), F.asc("s")], ["s", "v"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        (1, None, None, "a", None), (1, None, "a", None, None), (None, 1.5, "b", "c", 2.5),
+        (None, 2.5, "c", None, None), (2, 1.0, "d", None, None)], key=str)
+    assert ordered.with_next(df.limit(0), ["k"], [F.asc("v")], ["s"]).count() == 0
+
+
 def test_top_k_per_group(skewed):
     rows, df = skewed
     frame = pd.DataFrame(rows, columns=["id", "k", "t", "v"]).sort_values(
