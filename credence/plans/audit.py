@@ -44,14 +44,20 @@ def diagnostics(scored: DataFrame, top: DataFrame, k: int = 100) -> DataFrame:
 
 
 def run(records: DataFrame, target: str, k: int = 100) -> None:
-    """Write the audit tables.  Scores are stored once and read back for the metrics."""
+    """Write the audit tables.
+
+    Scores are computed and stored once.  The top k come from the stored scores, and only their
+    records are scored again with everything the audits read.
+    """
     spark = records.sparkSession
     narrow = ("candidate_id", "raw_score", "final_score", "trust_score", "domain_score",
               "skill_score", "experience_score", "behavioral_score", "verification_score",
               "education_score", "availability_score")
     sinks.write_features(score_records(records).select(*narrow), f"{target}/scores")
     scored = sinks.read_features(spark, f"{target}/scores")
-    top = top_by_score(records, k).persist()
+    selected = top_by(scored.select("candidate_id", "final_score"), "final_score", k)
+    top = top_by_score(records.join(F.broadcast(selected.select("candidate_id")),    # k rows
+                                    "candidate_id", "left_semi"), k).persist()
     try:
         sinks.write_table_csv(explain.component_audit(top), f"{target}/component_audit")
         detail = top.filter(F.col("rank") <= 10).drop(*KEEP, "rank")
@@ -62,5 +68,6 @@ def run(records: DataFrame, target: str, k: int = 100) -> None:
             top, explain.archetype()), f"{target}/archetypes")
         sinks.write_table_csv(scenario_overlaps(scored), f"{target}/sensitivity")
         sinks.write_metrics(diagnostics(scored, top, k), f"{target}/diagnostics")
+        sinks.write_metrics(profile.cohort_summary(top), f"{target}/cohort")
     finally:
         top.unpersist()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from credence import settings
+from credence import schema as S, settings
 from credence.operators import normalize as N
 from credence.operators import profile as P
 from credence.operators.intervals import education_overlaps
 from credence.operators.rules import forensic_rules, rule_hits, total_count
+from credence.sources import documents as D
 
 
 def forensic_counts(records: DataFrame) -> DataFrame:
@@ -17,9 +18,14 @@ def forensic_counts(records: DataFrame) -> DataFrame:
                                     total_count(forensic_rules()).alias("n_flags"))
 
 
+HISTOGRAMS = {"experience": ("years_of_experience", 20), "skills": ("n_skills", 20),
+              "response": ("recruiter_response_rate", 20), "salary": ("salary_max", 30),
+              "completeness": ("profile_completeness", 20), "connections": ("connection_count", 30)}
+
+
 def tables(records: DataFrame, flat: DataFrame, k: int = 10) -> dict[str, DataFrame]:
-    """All sections, lazily.  `flat` is `normalize.flatten(records)`, best stored or persisted,
-    because most sections read it."""
+    """All sections.  `records` and `flat` (`normalize.flatten(records)`) should be stored, for
+    every section reads one of them; exact quantiles run a job while their section is built."""
     jobs, education = P.entries(records, "career_history"), P.entries(records, "education")
     skills = P.entries(records, "skills")
     flags = forensic_counts(records)
@@ -69,13 +75,30 @@ def tables(records: DataFrame, flat: DataFrame, k: int = 10) -> dict[str, DataFr
         "connections_p99": P.quantiles(flat, ["connection_count"], [0.99]),
         "outliers": P.outliers(flat),
         "dashboard": P.dashboard(flat),
+        **{f"histogram_{name}": P.histogram(flat, column, bins)
+           for name, (column, bins) in HISTOGRAMS.items()},
     }
 
 
-def run(records: DataFrame, target: str) -> None:
-    """Store the flat table, then write every section below `target`."""
+def document_tables(parsed: DataFrame) -> dict[str, DataFrame]:
+    """Sections about the documents themselves: top-level keys, and what was turned away."""
+    return {"key_presence": D.key_presence(parsed, S.RECORD_KEYS),
+            "load_stats": D.load_stats(parsed)}
+
+
+def run(records: DataFrame, target: str, parsed: DataFrame | None = None) -> None:
+    """Write every section below `target`.
+
+    The typed records and the flat table are stored first, so the documents are parsed once
+    whatever the number of sections.  `parsed` adds the sections about the documents.
+    """
     spark = records.sparkSession
-    N.flatten(records).write.mode("overwrite").parquet(f"{target}/flat")
+    records.write.mode("overwrite").parquet(f"{target}/records")
+    stored = spark.read.schema(records.schema).parquet(f"{target}/records")
+    N.flatten(stored).write.mode("overwrite").parquet(f"{target}/flat")
     flat = spark.read.parquet(f"{target}/flat")
-    for name, table in tables(records, flat).items():
+    sections = tables(stored, flat)
+    if parsed is not None:
+        sections |= document_tables(parsed)
+    for name, table in sections.items():
         table.write.mode("overwrite").json(f"{target}/{name}")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import CLEAN, changed
 from credence import settings
-from credence.operators import checks
+from credence.operators import checks, normalize as N
 from credence.operators.scoring import score_records
 from credence.plans import audit, profile_report, rank_records
 from credence.sources import documents as D, sinks
@@ -125,18 +125,49 @@ def test_audits(spark, many, tmp_path):
     metrics = spark.read.json(str(tmp_path / "diagnostics"))
     assert metrics.filter("metric = 'score_distribution'").agg(F.sum("value")).head()[0] == 120
     assert metrics.filter("metric = 'trust_distribution' and key = 'reduced'").head().value == 60
+    assert spark.read.json(str(tmp_path / "cohort")).head().n == 100
 
 
-def test_profile_tables(spark, records, tmp_path):
+def test_profile_tables(spark, records, lines, tmp_path):
     table = records(CLEAN, changed(candidate_id="CAND_0000005"), changed(candidate_id="X",
                     signals__expected_salary_range_inr_lpa=None), defaults=False)
-    profile_report.run(table, str(tmp_path))
+    profile_report.run(table, str(tmp_path), D.parse_lines(lines(
+        CLEAN, changed(candidate_id="CAND_0000005"), changed(candidate_id="X"))))
     read = lambda name: spark.read.json(str(tmp_path / name))
     assert read("dashboard").head().n_records == 3
     assert {r.field for r in read("missing").collect()} == {"salary_min", "salary_max"}
     assert read("malformed_ids").head().candidate_id == "X"
     assert read("jobs").head().n_jobs == 6
     assert read("tiers").filter("value = 'tier_1'").head().n == 3
+    assert read("histogram_experience").agg(F.sum("n")).head()[0] == 3
+    assert read("key_presence").filter("field = 'skills'").head().n_present == 3
+
+
+def test_profile_parses_each_document_once(spark, lines, tmp_path):
+    """However many sections there are, the text is read by one job."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(part.num_rows)
+            yield part
+    source = lines(CLEAN, changed(candidate_id="B"))
+    counted = source.mapInArrow(count, source.schema)
+    profile_report.run(N.normalize(D.accepted(D.parse_lines(counted)), defaults=False),
+                       str(tmp_path))
+    assert seen.value == 2
+
+
+def test_audit_scores_all_records_once(spark, many, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(part.num_rows)
+            yield part
+    audit.run(many.mapInArrow(count, many.schema), str(tmp_path))
+    # Once for the scores, and once to pick out the records of the top k.
+    assert seen.value == 240
 
 
 def arriving(tmp_path, batches):
