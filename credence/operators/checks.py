@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from credence.functions.coerce import number_or_null, strip
 from credence.operators.ordered import ranked, with_next
+from credence.session import fresh_path
 from credence.settings import ID_PATTERN, RANKED_COLUMNS
 
 _EMPTY = "check string, place bigint, detail string"
@@ -98,10 +99,6 @@ def check_cells(rows: DataFrame, expected_rows: int = 100, id_pattern: str = ID_
     later ones are reported; order is checked between neighbouring ranks."""
     width = len(columns)
     place = F.col("row_num")
-    count = (rows.agg(F.count("*").alias("n")).filter(F.col("n") != expected_rows)
-             .select(F.lit("row_count").alias("check"), F.lit(None).cast("bigint").alias("place"),
-                     F.format_string(f"there must be exactly {expected_rows} data rows; "
-                                     "found %d.", F.col("n")).alias("detail")))
     cell = lambda i: strip(F.get(F.col("cells"), F.lit(i)))
     typed = rows.select(
         "row_num", F.size("cells").alias("n_cells"), cell(0).alias("id"),
@@ -113,6 +110,15 @@ def check_cells(rows: DataFrame, expected_rows: int = 100, id_pattern: str = ID_
         }).withColumn("rank_ok", F.coalesce(F.col("rank").between(1, expected_rows),
                                             F.lit(False)))
 
+    # The typed cells are narrow and read by every check below: the rows are cast once.
+    spark, path = rows.sparkSession, fresh_path(rows.sparkSession, "cells")
+    typed.write.parquet(path)
+    typed = spark.read.schema(typed.schema).parquet(path)
+    count = (typed.agg(F.count("*").alias("n")).filter(F.col("n") != expected_rows)
+             .select(F.lit("row_count").alias("check"), F.lit(None).cast("bigint").alias("place"),
+                     F.format_string(f"there must be exactly {expected_rows} data rows; "
+                                     "found %d.", F.col("n")).alias("detail")))
+
     fault = lambda condition, check, detail: F.when(condition, F.struct(
         F.lit(check).alias("check"), place.cast("bigint").alias("place"),
         detail.alias("detail")))
@@ -131,10 +137,12 @@ def check_cells(rows: DataFrame, expected_rows: int = 100, id_pattern: str = ID_
         fault(whole & F.col("score").isNull(), "score_number",
               F.lit("score must be a float."))))))
 
-    def repeats(accepted: DataFrame, column: str, check: str) -> DataFrame:
+    def repeats(accepted: DataFrame, column: str, check: str, few: bool = False) -> DataFrame:
+        """Rows after the first use of a value; `few` says the values are a bounded number."""
         firsts = accepted.groupBy(column).agg(F.min("row_num").alias("first"),
                                               F.count("*").alias("n")).filter("n > 1")
-        later = accepted.join(firsts, column).filter(F.col("row_num") > F.col("first"))
+        later = accepted.join(F.broadcast(firsts) if few else firsts, column).filter(
+            F.col("row_num") > F.col("first"))
         return _violation(later, check, F.lit(True), place,
                           F.format_string("duplicate %s", F.col(column).cast("string")))
 
@@ -145,7 +153,7 @@ def check_cells(rows: DataFrame, expected_rows: int = 100, id_pattern: str = ID_
     complete = full.filter("rank is not null and score is not null and id <> ''")
     return _union([count, per_row,
                    repeats(full.filter("id_ok").select("row_num", "id"), "id", "id_duplicate"),
-                   repeats(ranks, "rank", "rank_duplicate"), missing,
+                   repeats(ranks, "rank", "rank_duplicate", few=True), missing,
                    order_violations(complete.select("rank", "row_num", "score", "id"))])
 
 
