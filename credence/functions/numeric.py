@@ -50,8 +50,3 @@ def sentinel_to_null(value: Column, sentinel: float = -1) -> Column:
 def fixed(value: Column, digits: int) -> Column:
     """Text with a fixed number of decimals, rounded half to even."""
     return F.format_string(f"%.{digits}f", round_exact(value, digits))
-
-
-def share(condition: Column) -> Column:
-    """Fraction of rows (nulls left out) for which the condition holds."""
-    return F.avg(condition.cast("double"))

@@ -143,7 +143,7 @@ EDUCATION_TIERS = ("tier_1", "tier_2", "tier_3", "tier_4", "unknown")
 RANKED_COLUMNS = ("candidate_id", "rank", "score", "reasoning")
 ID_PATTERN = r"^CAND_[0-9]{7}$"
 REFERENCE_DATE = "2026-06-23"
-# --------------------------------------------------------------------------------------------
+# --- fixed values: the defaults of the classes below, to the end of the file ------------------
 
 
 @dataclass(frozen=True)
