@@ -26,12 +26,19 @@ def unpacked(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col("row").getField(n).alias(n) for n in names])
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+ROWS_PER_FILE = 50_000
+
+
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write `df` once below the shared folder and read it from there.
 
     Lost executors cannot change what is written, nothing is computed twice, and later plans know
-    the size.  The files go when the session's JVM ends.
+    the size.  The files go when the session's JVM ends.  `rows` is an upper bound of the number
+    of narrow rows, where one is known: a small table behind a shuffle then is a few files, not
+    one for each shuffle partition.
     """
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_PER_FILE)
     spark = df.sparkSession
     path = fresh_path(spark, label)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

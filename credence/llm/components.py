@@ -39,10 +39,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     do no harm; rows with a null end are no links.  Empty input gives an empty table.
     """
     now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"),
-                                              F.least("a", "b").alias("b")).distinct(), "links")
+                                              F.least("a", "b").alias("b")).distinct(), "links",
+                 links.count())
     before, state = None, _state(now)
     while state[0] and state != before:
         before = state
-        now = stored(_small_star(_large_star(now)), "links")
+        # Neither step makes more links than there are.
+        now = stored(_small_star(_large_star(now)), "links", state[0])
         state = _state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

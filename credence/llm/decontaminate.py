@@ -101,10 +101,9 @@ def _scan_with(df: DataFrame, held, window: int) -> DataFrame:
         for part in parts:
             hits, items = [], []
             for text, spans, ids in records(part, "text", "hits", "items"):
-                found, owners = automaton.scan(normal_words(text or b""))
-                before = [(s["start"], s["end"]) for s in spans]
-                hits.append([{"start": a, "end": b} for a, b in merged(before + found)])
-                items.append(ids + sorted(i for i in owners if i is not None))
+                found, owners = _together(automaton, normal_words(text or b""), spans, ids)
+                hits.append([{"start": a, "end": b} for a, b in found])
+                items.append(owners)
             yield pa.RecordBatch.from_arrays(
                 [part.column(part.schema.get_field_index(n)) for n in names]
                 + [pa.array(hits, _HITS[0].type), pa.array(items, _HITS[1].type)],
@@ -114,17 +113,29 @@ def _scan_with(df: DataFrame, held, window: int) -> DataFrame:
     return df.mapInArrow(run, T.StructType(kept.fields + _HITS_TYPE.fields))
 
 
-def _finish(with_spans: bool):
+def _together(automaton: Automaton, words: list[bytes], spans: list[dict], ids: list[str]
+              ) -> tuple[list[tuple[int, int]], list[str]]:
+    """The hits of this automaton and of those before it."""
+    found, owners = automaton.scan(words)
+    before = [(s["start"], s["end"]) for s in spans]
+    return merged(before + found), ids + [i for i in owners if i is not None]
+
+
+def _finish(held, window: int, with_spans: bool):
+    """Scan with the last automaton and put out what is asked for."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(held.value, window)
         for part in parts:
             out = []
             for text, spans, ids in records(part, "text", "hits", "items"):
-                words, listed = normal_words(text or b""), sorted(set(ids))
-                offsets = word_offsets(text, words) if spans and with_spans else []
-                out.append((len(words), sum(s["end"] - s["start"] for s in spans), len(listed),
+                words = normal_words(text or b"")
+                found, owners = _together(automaton, words, spans, ids)
+                listed = sorted(set(owners))
+                offsets = word_offsets(text, words) if found and with_spans else []
+                out.append((len(words), sum(b - a for a, b in found), len(listed),
                             hashlib.sha256(",".join(listed).encode()).hexdigest(),
-                            [{"start": offsets[s["start"]][0], "end": offsets[s["end"] - 1][1]}
-                             for s in spans if with_spans]))
+                            [{"start": offsets[a][0], "end": offsets[b - 1][1]}
+                             for a, b in found if with_spans]))
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [part.column(part.schema.get_field_index("row"))]
@@ -160,8 +171,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, text_column: str = "text"
         of = F.pmod(F.xxhash64("item"), F.lit(shards)) == shard
         held = spark.sparkContext.broadcast(
             [(r["item"], bytes(r["text"])) for r in items.where(of).collect()])
-        carried = _scan_with(carried, held, window)
-    return carried.mapInArrow(_finish(with_spans),
+        if shard + 1 < shards:
+            carried = _scan_with(carried, held, window)
+    return carried.mapInArrow(_finish(held, window, with_spans),
                               T.StructType([carried.schema["row"]] + _OUT_TYPE.fields))
 
 

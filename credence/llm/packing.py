@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from credence.llm.common import column, stored
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 TEXT_BYTES = 4 << 20
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: How a byte-level model writes the bytes of a word: as themselves, or from U+0100 on.
@@ -237,7 +237,8 @@ def pack(df: DataFrame, tokenizer: str, targets: Mapping[str | None, float] | No
     total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, -(-total // partition_tokens))
     dealt = tokens.withColumn("part", F.pmod("spread", F.lit(parts)))
-    counts = stored(dealt.groupBy("part", "source").agg(F.sum("n").alias("n")), "counts")
+    counts = stored(dealt.groupBy("part", "source").agg(F.sum("n").alias("n")), "counts",
+                    tokens.count())
     plan = _carried(counts, total, targets, size)
 
     def run(key: tuple, rows: pa.Table, plan: pa.Table) -> pa.Table:

@@ -6,12 +6,14 @@ shape, digits, separators, checksum, borders), and a dynamic program over segmen
 borders and kinds of a passage together.  Base spans are held fixed in that choice.
 
 The weights are fitted to a bounded sample of passages of the corpus (`SAMPLE_PASSAGES`, those with
-the smallest hash).  The base spans are their labels; variants of each span that the patterns
-miss keep its label, and variants that break a checksum or a range lose it.
+the smallest hash) and to `MADE_PASSAGES` made ones, in which spans follow each other as the
+patterns cannot tell them apart.  The base spans are the labels of the corpus; variants of each
+span that the patterns miss keep its label, and variants that break a checksum or a range lose it.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -22,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from credence.llm.common import column, records
+from credence.llm.common import column, packed, records
+from credence.llm.quality import with_text
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 24
-SAMPLE_PASSAGES = 1500
+SAMPLE_PASSAGES = 1200
+MADE_PASSAGES = 150
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A match begins at the first digit of a run, so the look-behind only saves time.
@@ -252,6 +256,34 @@ def variants(text: str, spans: Sequence[Span]) -> Iterator[tuple[str, list[Span]
             yield changed(f"{rest[:3]}-{rest[3:5]}", False)
 
 
+def made_passages(n: int = MADE_PASSAGES, seed: int = 0) -> list[tuple[str, list[Span]]]:
+    """Passages of one to three labelled spans with a space between."""
+    rng = random.Random(seed)
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(
+        rng.randint(2, 8)))
+
+    def card() -> str:
+        digits = rng.choice("3456") + number(rng.choice([13, 14, 14, 14]))
+        digits += next(c for c in "0123456789" if luhn(digits + c))
+        return digits if rng.random() < 0.7 else " ".join(
+            digits[i:i + 4] for i in range(0, len(digits), 4))
+
+    make = [lambda: f"{name()}{rng.choice(['.', '_', ''])}{number(2)}@{name()}.{name()}.com",
+            lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), card,
+            lambda: f"+{rng.randint(1, 99)} ({number(3)}) {number(3)}-{number(4)}"]
+    out = []
+    for _ in range(n):
+        text, spans = "", []
+        for kind in rng.choices(range(len(KINDS)), k=rng.randint(1, 3)):
+            text += " " * bool(text)
+            spans.append((len(text), 0, kind))
+            text += make[kind]()
+            spans[-1] = (spans[-1][0], len(text), kind)
+        out.append((text, spans))
+    return out
+
+
 def fit(sample: Sequence[tuple[str, Sequence[Span]]], epochs: int = 6, rate: float = 0.5,
         decay: float = 1e-4) -> Model:
     """Maximise the likelihood of the labelled passages; the same sample gives the same model."""
@@ -331,9 +363,9 @@ def labelled_passages(df: DataFrame, text_column: str = "text",
 
 
 def train(df: DataFrame, text_column: str = "text", most: int = SAMPLE_PASSAGES) -> Model:
-    """A model of this corpus; one without any passage adds nothing."""
+    """A model of this corpus."""
     return fit([(text, _disjoint(spans)) for text, spans in
-                labelled_passages(df, text_column, most)])
+                labelled_passages(df, text_column, most)] + made_passages())
 
 
 def _disjoint(spans: list[Span]) -> list[Span]:
@@ -394,23 +426,20 @@ def counted(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
 
 
-def redact_text(text: str, spans: Sequence) -> str:
-    """Overlapping spans are replaced together, by the kind that begins first."""
-    out, at, last = [], 0, -1
-    for s in spans:
-        if s["start"] >= last:
-            if last >= 0:
-                at = last
-            out += [text[at:s["start"]], f"[{s['kind'].upper()}]"]
-            at = last = s["end"]
-        else:
-            at = last = max(last, s["end"])
-    return "".join(out) + text[max(at, 0):]
+def redact_text(text: str, spans: Sequence[tuple]) -> str:
+    """Spans (start, end, kind, ...) in order; overlapping ones are replaced together, by the kind
+    that begins first."""
+    out, at = [], 0
+    for begin, end, kind, *_ in spans:
+        if begin >= at:
+            out += [text[at:begin], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
 
 
 def redacted(df: DataFrame, model: Model, text_column: str = "text",
              length_column: str | None = "n_chars") -> DataFrame:
     """All rows and columns of `df`, each span replaced by its kind in brackets."""
-    from credence.llm.quality import with_text
-    return with_text(personal_data(df, model, text_column), df, text_column, length_column,
-                     "spans", redact_text)
+    held = df.sparkSession.sparkContext.broadcast(model)
+    return with_text(packed(df), df, text_column, length_column,
+                     lambda text: redact_text(text, all_spans(text, held.value)))

@@ -106,6 +106,7 @@ def quality(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         column(id_column).cast("bigint").alias("doc_id"), *_keys(text_column, host_column),
         column(text_column).cast("string").cast("binary").alias("text")
     ).mapInArrow(_scan, _SQL), "quality")
+    n = rows.count()
     texts = rows.groupBy("host", "text_key").agg(F.any_value("lines").alias("lines"),
                                                  F.any_value("line_words").alias("words"))
     lines = texts.select("host", "text_key", F.explode(F.arrays_zip("lines", "words"))
@@ -116,11 +117,11 @@ def quality(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     documents = rows.select("host", "text_key").distinct().groupBy("host").agg(
         F.count("*").alias("documents"))
     over = stored(often.join(documents, "host").where(F.col("n") > max_share * F.col("documents"))
-                  .select("host", "lines"), "boilerplate")
+                  .select("host", "lines"), "boilerplate", n)
     removed = stored(join_checked(lines, over, ["host", "lines"], "inner")
                      .groupBy("host", "text_key").agg(
                          F.sum("words").alias("n_removed_words"),
-                         F.collect_set("lines").alias("removed_lines")), "removed")
+                         F.collect_set("lines").alias("removed_lines")), "removed", n)
     judged = join_checked(rows.drop("lines", "line_words"), removed, ["host", "text_key"])
     n_removed = F.coalesce("n_removed_words", F.lit(0).cast("bigint"))
     failed = (F.col("n_words") < min_words) | (
@@ -154,28 +155,36 @@ def clean(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """
     judged = quality(df, id_column, text_column, host_column, **rules)
     kept = stored(judged.where("kept").select("host", "text_key", "removed_lines")
-                  .dropDuplicates(["host", "text_key"]), "kept")
+                  .dropDuplicates(["host", "text_key"]), "kept", df.count())
     keys = df.select(F.struct(*map(column, df.columns)).alias("row"),
                      *_keys(text_column, host_column))
+    # The texts are shuffled once, at every size; the partitions of a hot text are split.
     rows = keys.join(kept, ["host", "text_key"]).select("row", "removed_lines")
-    return with_text(rows, df, text_column, length_column, "removed_lines", _without)
+    return with_text(rows, df, text_column, length_column, _without, "removed_lines")
 
 
 def with_text(rows: DataFrame, like: DataFrame, text_column: str, length_column: str | None,
-              argument: str, change: Callable[[str, list], str]) -> DataFrame:
-    """Columns of `like` from `row`, the text changed by `change(text, argument)` where the
-    argument has elements, and its length."""
+              change: Callable[[str, list], str], argument: str | None = None) -> DataFrame:
+    """Columns of `like` from `row`, the text changed by `change`, and its length.
+
+    With an `argument` column, `change(text, argument)` is called where it has elements; without,
+    `change(text)` for every text.
+    """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = [change(t, a) if t is not None and a else t
-                     for t, a in records(part, "text", argument)]
+            if argument is None:
+                texts = [t if t is None else change(t) for (t,) in records(part, "text")]
+            else:
+                texts = [change(t, a) if t is not None and a else t
+                         for t, a in records(part, "text", argument)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(part.schema.get_field_index("row")), pa.array(texts, pa.string())],
                 names=["row", "text"])
 
     text = F.col("row").getField(text_column).cast("string")
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
-    changed = rows.select("row", text.alias("text"), argument).mapInArrow(run, schema)
+    given = [] if argument is None else [argument]
+    changed = rows.select("row", text.alias("text"), *given).mapInArrow(run, schema)
     out = []
     for f in like.schema:
         value = F.col("row").getField(f.name)
