@@ -92,9 +92,8 @@ def test_dense_ball_across_cut_buckets(spark, monkeypatch, chunk, shard_rows):
                      for _ in range(2)) for _ in range(300)})
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     monkeypatch.setattr(simhash, "_CHUNK", chunk)
-    df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    links = simhash.links(df, shard_rows=shard_rows).collect()
-    assert all(bin((r.a ^ r.b) % 2 ** 64).count("1") <= 64 for r in links)
+    df = spark.createDataFrame([(p, p, None) for p in signed],
+                               "node long, fp long, sketch array<long>")
     root = {r.node: r.root for r in
             connected_components(simhash.links(df, shard_rows=shard_rows)).collect()}
     got = {}
@@ -131,15 +130,67 @@ def test_components(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
+def jaccard(a, b, words=5):
+    sets = [{tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))}
+            for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(rng, base, share, vocabulary):
+    return [rng.choice(vocabulary) if rng.random() < share else w for w in base]
+
+
+@pytest.mark.parametrize("shard_rows", [4096, 8])
+def test_similar_texts_are_found_and_others_left(spark, shard_rows):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, n, of = [], 0, {}
+    for group in range(60):
+        base = [rng.choice(vocabulary[:200] if rng.random() < 0.4 else vocabulary)
+                for _ in range(rng.randint(60, 700))]
+        for k in range(rng.randint(1, 5)):
+            rows.append((n, " ".join(edited(rng, base, 0.012 if k else 0, vocabulary)), "x", 1))
+            of[n] = group
+            n += 1
+    group_of = {}
+    for r in simhash.similar_groups(spark.createDataFrame(rows, SCHEMA).repartition(3),
+                                    shard_rows=shard_rows).collect():
+        group_of.setdefault(r.component_id, set()).add(r.doc_id)
+    texts = {r[0]: r[1] for r in rows}
+    for members in group_of.values():
+        assert len({of[m] for m in members}) == 1
+    together = {m: c for c, ms in group_of.items() for m in ms}
+    close = [(a, b) for a in texts for b in texts if a < b and of[a] == of[b]
+             and jaccard(texts[a], texts[b]) >= 0.85]
+    hit = sum(together[a] == together[b] for a, b in close)
+    assert len(close) > 100 and hit / len(close) > 0.95
+
+
+def test_sketches_estimate_the_similarity():
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    errors = []
+    for share in [0.0, 0.01, 0.02, 0.05, 0.2] * 20:
+        base = [rng.choice(vocabulary) for _ in range(300)]
+        other = edited(rng, base, share, vocabulary)
+        a, b = (np.array(simhash.sketch(" ".join(t).encode()), np.int64).astype(np.uint64)
+                for t in (base, other))
+        differ = int(np.bitwise_count(a ^ b).sum())
+        errors.append(1 - differ / 128 - jaccard(" ".join(base), " ".join(other)))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
 def test_keep_one_keeps_columns_and_one_row_of_each_group(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
-    groups = {}
-    for i, p, c in plain_groups([(i, plain_print(t)) for i, t, *_ in rows]):
-        groups[(c, p if c is None else None)] = c
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(
-        map(str, groups.values()))
+    groups = simhash.similar_groups(df).collect()
+    out = kept.collect()
+    assert len(out) == len({r.root for r in groups})
+    assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted(
+        {r.component_id for r in groups if r.component_id is not None})
+    for repeated in {r[1] for r in rows}:      # of equal texts one stays at most
+        assert sum(r.text == repeated for r in out) <= 1
 
 
 def test_empty_table(spark):
