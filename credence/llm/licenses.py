@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from directories.
 
 Units are the notice lines of a file, anywhere in its text, and the whole text of a licence file.
-Equal units are scored once, so a notice in a third of all files is one row.  Term weights are
+Equal units are scored once under their checksum, so a notice in a third of all files is one row.  Term weights are
 counts times the inverse frequency of the term over all different units and templates.  The dot
 products come from a join on the term; only terms of templates are joined, and the templates
 are broadcast behind a check of their size.
@@ -67,11 +67,13 @@ def scan(files: DataFrame, templates: DataFrame | None = None, path_column: str
                         ).where("path is not null")
     base = F.element_at(F.split("path", "/"), -1)
     found = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(NOTICE))
-    units = stored(rows.select("path", F.explode(F.when(
+    units = rows.select("path", F.explode(F.when(
         base.rlike(LICENSE_FILE), F.array_append(found, F.col("text"))).otherwise(found))
-        .alias("unit")).where("unit is not null").distinct(), "units")
-    scores = stored(_scores(units.select("unit").distinct(), templates, threshold), "scores")
-    best = join_checked(units, scores, ["unit"], "inner").groupBy("path").agg(F.min(F.struct(
+        .alias("text")).where("text is not null").withColumn("unit", F.xxhash64("text"))
+    texts = units.groupBy("unit").agg(F.any_value("text").alias("text"))
+    scores = stored(_scores(texts, templates, threshold), "scores")
+    owners = units.select("path", "unit").distinct()
+    best = join_checked(owners, scores, ["unit"], "inner").groupBy("path").agg(F.min(F.struct(
         (-F.col("score")).alias("s"), "license")).alias("b")).select(
         "path", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
     own = stored(best, "own")
@@ -97,13 +99,14 @@ def scan(files: DataFrame, templates: DataFrame | None = None, path_column: str
 
 
 def _scores(units: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
-    """unit, license, score of all units and templates at the threshold or above."""
-    counts = units.select("unit", F.explode(_terms(F.col("unit"))).alias("term")).groupBy(
-        "unit", "term").agg(F.count("*").alias("tf"))
-    terms = stored(counts, "terms")
+    """unit, license, score of all units (unit, text) and templates at the threshold or above."""
+    # Units come hashed by their number, so counting their terms needs no further shuffle.
+    terms = stored(units.select("unit", F.explode(F.concat(_terms(F.col("text")), F.array(
+        F.lit("")))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf")), "terms")
+    total = terms.where("term = ''").count() + templates.count()    # one empty term a unit
+    terms = terms.where("term <> ''")
     known = stored(templates.select("license", "text", F.explode(_terms(F.col("text"))).alias(
         "term")).groupBy("license", "text", "term").agg(F.count("*").alias("tf")), "known")
-    total = units.count() + templates.count()
     df = stored(terms.select("term").union(known.select("term")).groupBy("term").agg(
         F.count("*").alias("df")), "term-counts")
     weight = F.col("tf") * (F.log((F.lit(float(total)) + 1) / (F.col("df") + 1)) + 1)
