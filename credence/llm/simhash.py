@@ -13,8 +13,10 @@ own, and in a second step every pair of shards of that bucket meets in a task of
 task holds more than two shards.  Tasks put out spanning links only, never all pairs.
 
 `near_duplicates` links fingerprints of word shingles by their distance alone.  `similar_groups` is
-for a similarity of texts: it searches the BK-trees with fingerprints of the different single
-words, which an edit moves least, and confirms each hit by sketches of the shingles.
+for a Jaccard similarity of texts, for which no radius of 64 bits is wide enough: its candidates
+share a band of minimum hashes of the shingles, whatever the kind of edit, and the decision is the
+exact Jaccard similarity of the hashed shingles.  Of the buckets with the same members one is
+taken, and texts without a candidate send no shingles.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from credence.llm.common import column, packed, records, stored, unpacked
+from credence.llm.common import column, join_checked, packed, records, stored, unpacked
 from credence.llm.components import connected_components
 
 _SKETCH_LONGS = 4       # 256 bits
@@ -38,6 +40,7 @@ _FOUND_SQL = "m int, v bigint, shard int, a bigint, b bigint, fp bigint, sketch
 _PAIR_BLOCK = 2_000_000     # (query, node) visits that are held at a time
 _CHUNK = 65_536             # bucket rows per step of a task
 _EDGES = 65                 # distances 0 to 64
+_SHARD_HASHES = 1 << 20     # shingles of a shard of a bucket of similar texts
 
 
 def _hashes(text: bytes, words: int) -> list[int]:
@@ -72,19 +75,61 @@ _MULTIPLY = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 _ADD = np.random.default_rng(8).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
-def sketch(text: bytes, words: int = 5) -> list[int]:
-    """One bit of each of 256 minimum hashes of the shingles.  Of two texts with Jaccard
-    similarity J about (1 + J) / 2 of the bits agree, with a standard error of J below 0.04."""
-    hashes = np.unique(np.array(_hashes(text, words) or [0], np.uint64) >> np.uint64(32)
-                       ).astype(np.uint32)
+def _least(shingles: np.ndarray) -> np.ndarray:
+    """256 minimum hashes of uint64 shingle hashes."""
+    hashes = np.unique(shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(256, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(hashes), 2048):
         mixed = hashes[at:at + 2048, None] * _MULTIPLY + _ADD
         least = np.minimum(least, mixed.min(0))
+    return least
+
+
+def _bits(least: np.ndarray) -> list[int]:
     bits = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
     return np.packbits(bits.astype(np.uint8)).view(">u8").astype(np.int64).tolist()
 
 
+def sketch(text: bytes, words: int = 5) -> list[int]:
+    """One bit of each of 256 minimum hashes of the shingles.  Of two texts with Jaccard
+    similarity J about (1 + J) / 2 of the bits agree, with a standard error of J below 0.04."""
+    return _bits(_least(np.array(_hashes(text, words) or [0], np.uint64)))
+
+
+def _bands(least: np.ndarray, bands: int, band_rows: int) -> list[int]:
+    """One hash of each of `bands` runs of `band_rows` minimum hashes."""
+    runs = least[:bands * band_rows].astype("<u4").reshape(bands, band_rows)
+    return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(runs)]
+
+
+def signatures(df: DataFrame, id_column: str, text_column: str, words: int, bands: int,
+               band_rows: int) -> DataFrame:
+    """One row per row: doc_id, text_key, node (a hash of the set of shingles), size (of that
+    set), sketch and bands.  A null text has no shingles and no bands."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = []
+            for (text,) in records(part, "text"):
+                found = np.unique(np.array(_hashes(text or b"", words), np.uint64))
+                least = _least(found)
+                rows.append((xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), 7) - (1 << 63),
+                             len(found), _bits(least),
+                             _bands(least, bands, band_rows) if len(found) else []))
+            node, size, drawn, keys = zip(*rows) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [part.column(part.schema.get_field_index("doc_id")),
+                 part.column(part.schema.get_field_index("text_key")),
+                 pa.array(node, pa.int64()), pa.array(size, pa.int64()),
+                 pa.array(drawn, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "node", "size", "sketch", "bands"])
+
+    text = column(text_column).cast("string")
+    return df.select(column(id_column).cast("bigint").alias("doc_id"),
+                     F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text")
+                     ).mapInArrow(run, "doc_id bigint, text_key bigint, node bigint, "
+                                       "size bigint, sketch array<bigint>, bands array<bigint>")
+
+
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                  words: int = 3, distinct: bool = False, sketch_words: int | None = None
                  ) -> DataFrame:
@@ -349,21 +394,122 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return _grouped(prints, radius, blocks, shard_rows, 0)
 
 
+def similar_links(hashes: np.ndarray, bounds: np.ndarray, sketches: np.ndarray,
+                  similarity: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span each group of sets with a Jaccard similarity of `similarity` or more.
+
+    Set i is hashes[bounds[i]:bounds[i + 1]], sorted and without repeats.  Sketches that differ in
+    more than `most` bits are not compared.  Each set is compared with those not yet reached.
+    """
+    sizes = np.diff(bounds)
+    left, a, b = np.arange(len(sizes)), [], []
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            at = front.pop()
+            own = hashes[bounds[at]:bounds[at + 1]]
+            far = np.bitwise_count(sketches[left] ^ sketches[at]).sum(1, dtype=np.int64)
+            small, large = np.minimum(sizes[left], sizes[at]), np.maximum(sizes[left], sizes[at])
+            asked = np.flatnonzero((far <= most) & (small / large >= similarity))
+            if not len(asked):
+                continue
+            some = left[asked]
+            other = np.concatenate([hashes[bounds[i]:bounds[i + 1]] for i in some.tolist()])
+            place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            common = np.add.reduceat(own[place] == other, starts, dtype=np.int64)
+            near = common / (len(own) + sizes[some] - common) >= similarity
+            found = some[near]
+            a.append(found)
+            b.append(np.full(len(found), at))
+            front += found.tolist()
+            left = np.delete(left, asked[near])
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
+def _candidates(df: DataFrame, text_column: str, classes: DataFrame, n: int, words: int,
+                shard_rows: int) -> DataFrame:
+    """One row for each text and task that compares it: m, v, i, j, node, sketch, hashes.
+
+    A bucket is the texts with the hash v in band m.  One beyond `shard_rows` texts or
+    _SHARD_HASHES shingles is cut into shards, and tasks compare each pair (i, j) of them.
+    """
+    keyed = classes.select("node", "size", F.posexplode("bands").alias("m", "v"))
+    mixed = F.xxhash64("node")
+    buckets = stored(
+        keyed.groupBy("m", "v").agg(
+            F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(mixed).alias("x"),
+            F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
+        .groupBy("n", "total", "x", "lo", "hi").agg(F.min(F.struct("m", "v")).alias("k"))
+        .select("k.m", "k.v", F.ceil(F.greatest(
+            F.col("n") / shard_rows, F.col("total") / _SHARD_HASHES)).cast("int").alias("shards")),
+        "buckets", n)
+    members = stored(join_checked(keyed, buckets, ["m", "v"], "inner").select(
+        "m", "v", "node", "shards"), "members")
+    wanted = stored(classes.select("node", "text_key", "sketch").join(
+        members.select("node").distinct(), "node", "left_semi"), "wanted", n)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            hashes = [np.unique(np.array(_hashes(text, words), np.uint64)).view(np.int64)
+                      for (text,) in records(part, "text")]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(part.schema.get_field_index("node")),
+                 part.column(part.schema.get_field_index("sketch")),
+                 pa.array(hashes, pa.list_(pa.int64()))], names=["node", "sketch", "hashes"])
+
+    text = column(text_column).cast("string")
+    texts = df.select(F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text"))
+    sets = join_checked(texts, wanted, ["text_key"], "inner").select(
+        "node", "sketch", "text").mapInArrow(
+        run, "node bigint, sketch array<bigint>, hashes array<bigint>").groupBy("node").agg(
+        F.any_value("sketch").alias("sketch"), F.any_value("hashes").alias("hashes"))
+    shard = F.pmod(F.xxhash64("node", "m"), "shards").cast("int")
+    others = F.expr("if(shards = 1, array(0), "
+                    "filter(sequence(0, shards - 1), x -> x <> shard))")
+    tasks = members.withColumn("shard", shard).select(
+        "m", "v", "node", "shard", F.explode(others).alias("o")).select(
+        "m", "v", "node", F.least("shard", "o").alias("i"), F.greatest("shard", "o").alias("j"))
+    return tasks.join(sets, "node")
+
+
 def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                   words: int = 5, similarity: float = 0.8, radius: int = 5, blocks: int = 7,
-                   shard_rows: int = 4096) -> DataFrame:
-    """As `near_duplicates`, for texts whose `words`-word shingles have a Jaccard similarity of
-    `similarity` or more, directly or over others.
-
-    BK-trees find the texts whose fingerprints of different words are within the radius; sketches
-    of the shingles, with a standard error below 0.04, decide.  root is a number of the group.
-    Nulls, empty texts and repeated rows are treated as there.
+                   words: int = 5, similarity: float = 0.8, bands: int = 20, band_rows: int = 5,
+                   shard_rows: int = 1024) -> DataFrame:
+    """The group of every row (doc_id, text_key, component_id, root, n_rows), of texts whose
+    `words`-word shingles have a Jaccard similarity of `similarity` or more, directly or over
+    others.
+
+    A pair of similarity J is a candidate with probability 1 - (1 - J ** band_rows) ** bands:
+    0.9996 at 0.8.  The exact similarity of the hashed shingles decides.  root is a number of the
+    group.  Nulls, empty texts and repeated rows are treated as by `near_duplicates`.
     """
-    # Half of the bits in which two sketches can differ stand for the dissimilar part.
-    most = round(128 * (1 - similarity) + 2)
-    prints = stored(fingerprints(df, id_column, text_column, 1, True, words).withColumn(
-        "node", F.xxhash64("fp", "sketch")), "fingerprints")
-    return _grouped(prints, radius, blocks, shard_rows, most)
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
+    if min(bands, band_rows) < 1 or bands * band_rows > 256:
+        raise ValueError("bands must have 1 to 256 minimum hashes together")
+    share = (1 - similarity) / 2        # of the bits in which two sketches differ
+    most = round(256 * share + 6 * (256 * share * (1 - share)) ** 0.5 + 2)
+    prints = stored(signatures(df, id_column, text_column, words, bands, band_rows), "signatures")
+    n = prints.count()
+    classes = stored(prints.groupBy("node").agg(
+        F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"),
+        F.any_value("bands").alias("bands"), F.min("text_key").alias("text_key"),
+        F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes", n)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        nodes = rows.column("node").to_numpy()
+        sets = rows.column("hashes").combine_chunks()
+        bounds = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+        a, b = similar_links(
+            sets.flatten().to_numpy().view(np.uint64), bounds,
+            _sketches(rows.column("sketch"), rows.num_rows), similarity, most)
+        return pa.table({"a": nodes[a], "b": nodes[b]})
+
+    found = stored(_candidates(df, text_column, classes, n, words, shard_rows).groupBy(
+        "m", "v", "i", "j").applyInArrow(compare, "a bigint, b bigint"), "similar-links")
+    return _in_groups(prints.select("doc_id", "text_key", "node"), classes, found)
 
 
 def _grouped(prints: DataFrame, radius: int, blocks: int, shard_rows: int, most: int
@@ -371,14 +517,19 @@ def _grouped(prints: DataFrame, radius: int, blocks: int, shard_rows: int, most:
     classes = stored(prints.groupBy("node").agg(
         F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"),
         F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes", prints.count())
-    root = connected_components(links(classes.select("node", "fp", "sketch"), radius, blocks,
-                                      shard_rows, most))
+    return _in_groups(prints, classes, links(classes.select("node", "fp", "sketch"), radius,
+                                             blocks, shard_rows, most)).select(
+        "doc_id", "text_key", "fp", "component_id", "root", "n_rows")
+
+
+def _in_groups(prints: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """`prints` with component_id, root and n_rows of the components of the links."""
+    root = connected_components(found)
     member = (classes.select("node", "first_id", "n").join(root, "node", "left")
               .withColumn("root", F.coalesce("root", "node")))
     group = member.groupBy("root").agg(F.min("first_id").alias("component_id"),
                                        F.sum("n").alias("n_rows"))
-    return prints.join(member.select("node", "root").join(group, "root"), "node").select(
-        "doc_id", "text_key", "fp", "component_id", "root", "n_rows")
+    return prints.join(member.select("node", "root").join(group, "root"), "node").drop("node")
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",

@@ -197,3 +197,50 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(df).count() == 0
     assert simhash.keep_one(df).count() == 0
+
+
+def blocks_and_edits(rng, kind, base, vocabulary, similarity):
+    """A copy of `base` that comes near a five-word Jaccard similarity."""
+    fresh = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    n, lost = len(base), 1 - similarity
+    if kind == "appended":
+        return base + fresh(int(n * lost / similarity) - 4)
+    if kind == "prepended":
+        return fresh(int(n * lost / similarity) - 4) + base
+    if kind == "removed":
+        at = rng.randrange(n // 2)
+        return base[:at] + base[at + int(n * lost) - 4:]
+    out = list(base)
+    for _ in range(int(n * lost / 10)):
+        at = rng.randrange(len(out))
+        if kind == "inserted":
+            out.insert(at, rng.choice(vocabulary))
+        elif kind == "deleted":
+            del out[at]
+        else:
+            out[at] = rng.choice(vocabulary)
+    return out
+
+
+@pytest.mark.parametrize("shard_rows", [1024, 8])
+def test_pairs_are_found_by_every_kind_of_edit(spark, shard_rows):
+    """Of all pairs at 0.8 or more, by brute force, nearly all are grouped, whatever the edit."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    kinds = ["appended", "prepended", "removed", "inserted", "deleted", "replaced"]
+    texts, pairs = {}, []
+    for kind in kinds:
+        for i in range(60):
+            base = [rng.choice(vocabulary[:200] if rng.random() < 0.4 else vocabulary)
+                    for _ in range(rng.randint(120, 700))]
+            copy = blocks_and_edits(rng, kind, base, vocabulary, 0.82 + i % 3 * 0.05)
+            n = len(texts)
+            pairs.append((kind, n, n + 1))
+            texts |= {n: " ".join(base), n + 1: " ".join(copy)}
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()], SCHEMA).repartition(3)
+    of = {r.doc_id: r.component_id for r in
+          simhash.similar_groups(df, shard_rows=shard_rows).collect()}
+    for kind in kinds:
+        close = [(a, b) for k, a, b in pairs if k == kind and jaccard(texts[a], texts[b]) >= 0.8]
+        assert len(close) >= 30
+        assert sum(of[a] == of[b] for a, b in close) >= len(close) - 1
