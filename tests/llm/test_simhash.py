@@ -244,3 +244,40 @@ def test_pairs_are_found_by_every_kind_of_edit(spark, shard_rows):
         close = [(a, b) for k, a, b in pairs if k == kind and jaccard(texts[a], texts[b]) >= 0.8]
         assert len(close) >= 30
         assert sum(of[a] == of[b] for a, b in close) >= len(close) - 1
+
+
+def test_groups_are_those_of_the_exact_similarity(spark):
+    """Pairs just below 0.8 stay apart, pairs at or just above it do not."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts, expected = {}, {}
+    for i in range(200):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(150, 400))]
+        copy = blocks_and_edits(rng, "appended", base, vocabulary, 0.73 + i % 14 * 0.01)
+        n = len(texts)
+        texts |= {n: " ".join(base), n + 1: " ".join(copy)}
+        expected |= {n: n, n + 1: n if jaccard(texts[n], texts[n + 1]) >= 0.8 else n + 1}
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()], SCHEMA).repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, bands=40).collect()}
+    assert got == expected
+    assert 60 < sum(i != c for i, c in expected.items()) < 140
+
+
+def test_spanning_links_equal_brute_force():
+    rng = np.random.default_rng(13)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 62, 60)
+        for _ in range(5):
+            own = np.where(rng.random(60) < 0.07, rng.integers(0, 1 << 62, 60), base)
+            sets.append(np.unique(own.astype(np.uint64)))
+    sketches = np.array([simhash._bits(simhash._least(s)) for s in sets]).astype(np.uint64)
+    a, b = simhash.similar_links(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets]),
+                                 sketches, 0.8, 256)
+    share = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    assert all(share(sets[x], sets[y]) >= 0.8 for x, y in zip(a, b))
+    pairs = [(x, y) for x in range(len(sets)) for y in range(x)
+             if share(sets[x], sets[y]) >= 0.8]
+    label = simhash._spanning(len(sets), *np.array(pairs).T)
+    assert np.array_equal(simhash._spanning(len(sets), a, b), label)
+    assert 0 < len(a) < len(sets) - 40
