@@ -1,9 +1,10 @@
 """Personal data: exact patterns, and a semi-Markov conditional random field that adds to them.
 
-The patterns give the base spans.  The model sees the passages around digits and at signs.  It
-scores whole candidate segments of at most `MOST_TOKENS` tokens by features of the span (its
-shape, digits, separators, checksum, borders), and a dynamic program over segment ends chooses
-borders and kinds of a passage together.  Base spans are held fixed in that choice.
+The patterns give the base spans.  The model sees the passages around digits and at signs, also
+over line breaks, with runs of white space as one space.  It scores whole candidate segments of at
+most `MOST_TOKENS` tokens by features of the span (its shape, digits, separators, checksum,
+borders), and a dynamic program over segment ends chooses borders and kinds of a passage together.
+Base spans are held fixed in that choice.
 
 The weights are fitted to a bounded sample of passages of the corpus (`SAMPLE_PASSAGES`, those with
 the smallest hash) and to `MADE_PASSAGES` made ones, in which spans follow each other as the
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -40,6 +42,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _SPACE = " \t\n\x0b\x0c\r"
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]", re.S)
+_RUN = re.compile(r"[ \t\n\x0b\x0c\r]+|[^ \t\n\x0b\x0c\r]+")
+_UNEVEN = re.compile(r"[\t\n\x0b\x0c\r]|  ")
 _INSIDE = frozenset(" .@-+()%_[]/")
 _SPANS = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
@@ -90,7 +94,8 @@ def base_spans(text: str) -> list[Span]:
 
 
 def passages(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of chunks with a digit or an at sign, one white space between them at most."""
+    """Runs of chunks with a digit or an at sign, white space with one line break at most between
+    them.  An at sign at the border of its chunk brings the chunk beyond that border along."""
     begin = end = -1
     hit = _ANY.search(text)
     while hit:
@@ -99,7 +104,21 @@ def passages(text: str) -> Iterator[tuple[int, int]]:
         right = hit.end()
         while right < len(text) and text[right] not in _SPACE:
             right += 1
-        if begin >= 0 and left <= end + 1 and "\n" not in text[end:left]:
+        if text[left] == "@":
+            before = left
+            while before > max(end, 0) and text[before - 1] in _SPACE:
+                before -= 1
+            if before > max(end, 0) and _one_run(text, before, left):
+                left = max(max(text.rfind(c, max(end, 0), before) for c in _SPACE) + 1, end, 0)
+        if text[right - 1] == "@":
+            after = right
+            while after < len(text) and text[after] in _SPACE:
+                after += 1
+            if after < len(text) and _one_run(text, right, after):
+                right = after
+                while right < len(text) and text[right] not in _SPACE:
+                    right += 1
+        if begin >= 0 and _one_run(text, end, left):
             end = right
         else:
             if begin >= 0:
@@ -110,6 +129,24 @@ def passages(text: str) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
+def _one_run(text: str, start: int, end: int) -> bool:
+    """Whether only white space with one line break at most is between the offsets."""
+    return not text[start:end].strip(_SPACE) and text.count("\n", start, end) <= 1
+
+
+def flattened(passage: str, spans: Sequence[Span]) -> tuple[str, list[Span], Sequence[int]]:
+    """The passage with each run of white space as one space, its spans there, and the offset in
+    the passage of each character."""
+    if not _UNEVEN.search(passage):
+        return passage, list(spans), range(len(passage))
+    text, places = "", []
+    for m in _RUN.finditer(passage):
+        text += " " if m[0][0] in _SPACE else m[0]
+        places += [m.start()] if m[0][0] in _SPACE else range(m.start(), m.end())
+    return text, [(bisect_left(places, a), bisect_left(places, b - 1) + 1, k)
+                  for a, b, k in spans], places
+
+
 def _code(token: str) -> str:
     if token.isdigit():
         n = len(token)
@@ -232,6 +269,7 @@ def variants(text: str, spans: Sequence[Span]) -> Iterator[tuple[str, list[Span]
             name, _, host = span.partition("@")
             yield changed(f"{name} @ {host}", True)
             yield changed(f"{name}@{host.split('.')[0]}", False)
+            yield changed(f"{name} @ {host.split('.')[0]}", False)
         elif kind == 1:
             yield changed(span.replace(".", "[.]"), True)
             yield changed(".".join(str(int(p) + 300) for p in span.split(".")), False)
@@ -359,7 +397,7 @@ def labelled_passages(df: DataFrame, text_column: str = "text",
     found = (df.select(column(text_column).cast("string").alias("text"))
              .mapInArrow(run, "passage string").where("length(passage) <= 400").distinct()
              .orderBy(F.xxhash64("passage"), "passage").limit(most))
-    return [(r["passage"], [s for s in base_spans(r["passage"])]) for r in found.collect()]
+    return [flattened(r["passage"], base_spans(r["passage"]))[:2] for r in found.collect()]
 
 
 def train(df: DataFrame, text_column: str = "text", most: int = SAMPLE_PASSAGES) -> Model:
@@ -387,7 +425,9 @@ def all_spans(text: str, model: Model) -> list[tuple[int, int, int, bool]]:
             at += 1
         inside = [(max(x, a) - a, min(y, b) - a, k) for x, y, k in
                   takewhile(lambda s: s[0] < b, islice(base, at, None)) if y > a]
-        out += [(x + a, y + a, k, False) for x, y, k in model.decode(text[a:b], inside)]
+        flat, fixed, places = flattened(text[a:b], inside)
+        out += [(places[x] + a, places[y - 1] + 1 + a, k, False)
+                for x, y, k in model.decode(flat, fixed)]
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 

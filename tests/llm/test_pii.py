@@ -165,3 +165,32 @@ def test_redacted_text_and_empty_tables(spark):
     model = P.train(df)
     assert P.personal_data(df, model).count() == 0
     assert P.all_spans("1.2.3.4 " + hashlib.sha1(b"").hexdigest(), model) == [(0, 7, 1, True)]
+
+
+@pytest.mark.parametrize("gap", [" ", "  ", "\n", " \r\n"])
+def test_held_out_accuracy_in_running_text(labelled, gap):
+    """Variants inside sentences, their spaces replaced by other white space."""
+    half = len(labelled) // 2
+    model = P.fit(labelled[:half] + P.made_passages())
+    right = found = gold = 0
+    for text, spans in labelled[half:]:
+        for new, labels in P.variants(text, spans):
+            moved = lambda at: 10 + at + new.count(" ", 0, at) * (len(gap) - 1)
+            wanted = {(moved(a), moved(b), k) for a, b, k in labels}
+            running = f"Über x to {new.replace(' ', gap)} then, of."
+            got = {s[:3] for s in P.all_spans(running, model)}
+            right, found, gold = right + len(got & wanted), found + len(got), gold + len(wanted)
+    assert right / found > 0.95 and right / gold > 0.95
+
+
+def test_spaced_and_broken_data_is_found(labelled):
+    model = P.fit(labelled[:300] + P.made_passages())
+    for text, kind in [("john.smith @ mail.example.com", "email"),
+                       ("john @ mail.example.com", "email"), ("(555)\n123-4567", "phone"),
+                       ("4111 1111  1111 1111", "card"), ("4111 1111\n1111 1111", "card")]:
+        got = P.all_spans(f"write to {text} now", model)
+        assert [(a, b, P.KINDS[k]) for a, b, k, _ in got] == [(9, 9 + len(text), kind)], text
+    for text in ("meet @ noon", "one @", "@ two", "lines 12\n34 and 5\n\n67"):
+        assert P.all_spans(text, model) == []
+    assert [t[a:b] for t in ["4111\n\n1111", "a @\n\nb"] for a, b in P.passages(t)] == [
+        "4111", "1111", "a @"]
