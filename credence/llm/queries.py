@@ -26,9 +26,9 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(
         read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"),
-        carry=["doc_id"], with_spans=False).select(
+        carry=["doc_id"]).select(
         "row.doc_id", "n_words", "n_hit", "n_items", "items_sha256",
-        (F.col("n_hit") > 0).alias("contaminated"))
+        (F.size("spans") > 0).alias("contaminated"))
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:

@@ -85,6 +85,21 @@ def test_run_packs_what_the_stages_keep(spark, folder):
     assert sum(p.length for p in pieces) == sum(map(len, wanted.values()))
 
 
+def test_run_returns_the_sequences(spark, folder):
+    """The result holds the ids of which each sequence is made, not only their checksums."""
+    path, _ = folder
+    pieces = corpus_pipeline.run(spark, path).collect()
+    for p in pieces:
+        assert len(p.ids) == p.length
+        assert p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sequences = {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        sequences.setdefault(p.sequence_id, []).extend(p.ids)
+    assert all(len(s) == 2048 for s in list(sequences.values())[:-1])
+    assert tokenizer.decode(sequences[min(sequences)])
+
+
 def test_names():
     assert len(corpus_pipeline.STAGES) == 5
     assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 11))
