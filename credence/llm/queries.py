@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from credence.llm import (chat, decontaminate, html_text, licenses, packing, pii, quality,
-                          sharding, simhash, warc)
+                          sharding, simhash, toxicity, variants, warc, whitening)
 from credence.session import fresh_path
 from credence.sources.tables import read_table
 
@@ -94,6 +94,21 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
         "mask", chat.listed(F.col("mask")))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, folder, "embeddings"))
+
+
+def op12_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(read_table(spark, folder, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, folder, "documents"),
+                             read_table(spark, folder, "labels")).select(
+        "doc_id", "held_out", "score", "predicted",
+        F.concat_ws(",", F.col("neighbours").cast("array<string>")).alias("evidence"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -105,4 +120,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_chat": op10_chat,
+    "op11_whitening": op11_whitening,
+    "op12_variants": op12_variants,
+    "op13_toxicity": op13_toxicity,
 }
