@@ -151,10 +151,50 @@ FROM (SELECT DISTINCT path FROM f) f LEFT JOIN own USING (path) LEFT JOIN near U
 """
 
 
+# Another way than the library's: all deletions of a letter instead of chunks and grams.
+VARIANTS = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)),
+        lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS b))),
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+        AS run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(text,
+        '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents) GROUP BY ALL),
+bytes AS (SELECT *, flatten(list_transform(string_split(
+        coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128
+        THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS b
+        FROM runs),
+hashed AS (SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, b),
+        lambda c, x: xor(c // 256, t[1 + xor(c % 256, x)]))) AS h FROM bytes, crc),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 31 = 0
+        THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+        WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT DISTINCT word, n, p, word[:p - 1] || word[p + 1:] AS d
+        FROM (SELECT *, unnest(range(1, length(word) + 1)) AS p FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b
+            ON a.d = b.d AND a.p = b.p AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.d = b.word
+        UNION SELECT a.word, b.word, b.n FROM words a JOIN cut b ON b.d = a.word),
+best AS (SELECT word, count(*)::BIGINT AS n_near, min((-n, near)) AS b FROM pairs GROUP BY word),
+linked AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN -b[1] >= 10 * w.n THEN b[2] END AS form,
+        CASE WHEN -b[1] >= 10 * w.n THEN -b[1] END AS form_n
+        FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM linked
+        UNION ALL SELECT c.word, l.form FROM chain c JOIN linked l ON l.word = c.root
+        WHERE l.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN linked l ON l.word = c.root
+        WHERE l.form IS NULL)
+SELECT l.word, l.form, e.root, l.n, l.n_near, l.form_n::BIGINT AS form_n
+FROM linked l JOIN ends e USING (word)
+"""
+
+
 ORACLE = {
     "op2_quality": QUALITY,
     "op3_decontaminate": DECONTAMINATE,
     "op4_licenses": _licenses(),
     "op8_warc": WARC,
     "op10_chat": CHAT,
+    "op12_variants": VARIANTS,
 }
