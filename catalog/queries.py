@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from catalog import view
 from credence import settings
 from credence.functions import text as T
+from credence.functions.automaton import KeywordAutomaton
 from credence.functions.coerce import integer, integer_or_null
 from credence.operators import (checks, evidence, explain, features as X, intervals,
                                 normalize as N, ordered, profile as P, ranking as R, rules,
@@ -269,18 +270,18 @@ DOCUMENT_WORDS = {"function": ("the", "and", "that", "with", "der", "les"),
 @register
 def keyword_evidence(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    return low.select("doc_id", *[
-        whole(T.keyword_count("low", w)).alias(f"n_{g}") for g, w in
-        DOCUMENT_WORDS.items()], *[
-        r6(T.evidence("low", w)).alias(f"evidence_{g}") for g, w in
-        DOCUMENT_WORDS.items()])
+    found = docs.select("doc_id", KeywordAutomaton(DOCUMENT_WORDS).counts(
+        F.lower("text")).alias("keywords"))
+    return found.select("doc_id", *[
+        whole(F.col(f"keywords.{g}")).alias(f"n_{g}") for g in DOCUMENT_WORDS], *[
+        r6(F.log1p(F.col(f"keywords.{g}").cast("double"))).alias(f"evidence_{g}")
+        for g in DOCUMENT_WORDS])
 
 
 @register
 def career_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    texts = cand(spark, sf).select("candidate_id", N.career_text(
-        F.col("profile"), F.col("career_history")).alias("career_text"))
+    texts = cand(spark, sf).select("candidate_id", X.keyword_automaton().counts(N.career_text(
+        F.col("profile"), F.col("career_history"))).alias("keywords"))
     return texts.select("candidate_id", *[
         r6(c).alias(n) for n, c in X.evidence_features().items()])
 
@@ -291,11 +292,11 @@ GROUP_WORDS = {"capability": settings.CAPABILITY_GROUPS,
 
 
 def _group_flags(table: DataFrame, keys: list[str]) -> DataFrame:
-    low = table.select(*keys, F.lower("text").alias("low"))
-    return low.select(*keys, *[
-        T.contains_any("low", words).alias(f"{kind}_{name}")
-        for kind, groups in GROUP_WORDS.items() for name, words in groups.items()], *[
-        r6(X.category_share("low", groups)).alias(f"{kind}_share")
+    words = KeywordAutomaton({f"{kind}_{name}": words for kind, groups in GROUP_WORDS.items()
+                              for name, words in groups.items()})
+    found = table.select(*keys, words.counts(F.lower("text")).alias("keywords"))
+    return found.select(*keys, *[(F.col(f"keywords.{n}") > 0).alias(n) for n in words.groups], *[
+        r6(X.category_share(kind, groups)).alias(f"{kind}_share")
         for kind, groups in GROUP_WORDS.items()])
 
 

@@ -1,4 +1,5 @@
-"""Keyword search in text.  Matching is by substring unless `whole_words` is asked for.
+"""Small keyword tests in text; `automaton` searches for large dictionaries.  Matching is by
+substring unless `whole_words` is asked for.
 
 Functions over whole dictionaries take the text as a SQL expression, usually a column name, and
 hand Spark one SQL string: a dictionary makes hundreds of small expressions, and building them
@@ -30,15 +31,6 @@ def _occurs(text: str, keyword: str, whole_words: bool) -> str:
     return f"contains({text}, {sql_text(keyword)})"
 
 
-def _occurrences(text: str, keyword: str, whole_words: bool) -> str:
-    """Number of non-overlapping occurrences.  Byte lengths are stored with the value while
-    character lengths would be counted, hence octet_length."""
-    if whole_words:
-        return f"regexp_count({text}, {_whole_word(keyword)})"
-    return (f"((octet_length({text}) - octet_length(replace({text}, {sql_text(keyword)}, ''))) "
-            f"div {len(keyword.encode())})")
-
-
 def nested_keywords(keywords: Iterable[str]) -> dict[str, list[str]]:
     """Keywords by the shortest listed keyword they contain, which stands for them in a test."""
     groups: dict[str, list[str]] = {}
@@ -51,26 +43,6 @@ def nested_keywords(keywords: Iterable[str]) -> dict[str, list[str]]:
     return groups
 
 
-def keyword_count(text: str, keywords: Iterable[str], whole_words: bool = False) -> Column:
-    """Occurrences of all keywords, each counted on its own.
-
-    Most keywords do not occur.  A cheap containment test comes before the count, and keywords
-    that contain another one ("vector search" contains "search") are only looked at when that
-    one is there.
-    """
-    def guarded(word: str, more: Iterable[str]) -> str:
-        inside = [_occurrences(text, word, whole_words), *[guarded(m, ()) for m in more]]
-        return f"if({_occurs(text, word, whole_words)}, {' + '.join(inside)}, 0)"
-
-    tree = {k: [] for k in sorted(set(keywords))} if whole_words else nested_keywords(keywords)
-    return F.expr(f"coalesce({' + '.join(guarded(k, more) for k, more in tree.items())}, 0)")
-
-
-def evidence(text: str, keywords: Iterable[str], whole_words: bool = False) -> Column:
-    """ln(1 + occurrences), which damps texts that repeat a word."""
-    return F.log1p(keyword_count(text, keywords, whole_words).cast("double"))
-
-
 def any_of(text: str, keywords: Iterable[str], whole_words: bool = False) -> str:
     """SQL condition: any of the keywords occurs.
 

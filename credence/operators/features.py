@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from credence.functions import arrays, text as T
+from credence.functions.automaton import KeywordAutomaton
 from credence.functions.coerce import strip
 from credence.functions.numeric import safe_divide
 from credence.operators import normalize as N
@@ -68,10 +69,19 @@ def skill_features(taxonomy: Taxonomy = Taxonomy()) -> dict[str, Column]:
     }
 
 
-def evidence_features(taxonomy: Taxonomy = Taxonomy(), column: str = "career_text"
+def keyword_automaton(taxonomy: Taxonomy = Taxonomy()) -> KeywordAutomaton:
+    """All dictionaries of the taxonomy, named <kind>_<dictionary>."""
+    kinds = {"evidence": taxonomy.evidence, "capability": taxonomy.capability,
+             "production": taxonomy.production, "quality": taxonomy.quality}
+    return KeywordAutomaton({f"{kind}_{name}": tuple(words) for kind, groups in kinds.items()
+                             for name, words in groups.items()}, taxonomy.whole_words)
+
+
+def evidence_features(taxonomy: Taxonomy = Taxonomy(), keywords: str = "keywords"
                       ) -> dict[str, Column]:
-    return {f"evidence_{name}": T.evidence(column, words, taxonomy.whole_words)
-            for name, words in taxonomy.evidence.items()}
+    """ln(1 + occurrences), which damps texts that repeat a word."""
+    return {f"evidence_{name}": F.log1p(F.col(f"{keywords}.`evidence_{name}`").cast("double"))
+            for name in taxonomy.evidence}
 
 
 def education_features() -> dict[str, Column]:
@@ -154,20 +164,23 @@ def trust_features() -> dict[str, Column]:
     }
 
 
-def group_matches(taxonomy: Taxonomy = Taxonomy(), column: str = "career_text",
-                  names: str | None = "skill_names_lower") -> dict[str, Column]:
-    """Per capability group: any keyword equal to a skill name or contained in the text."""
-    def condition(words) -> str:
-        in_text = T.any_of(column, words, taxonomy.whole_words)
-        return in_text if names is None else \
-            f"{in_text} OR arrays_overlap({names}, {T.sql_array(words)})"
+def skill_keywords(taxonomy: Taxonomy = Taxonomy(), names: str = "skill_names_lower") -> Column:
+    """The skill names that are keywords of a capability group: few, and mostly none."""
+    words = sorted({w for ws in taxonomy.capability.values() for w in ws})
+    return F.filter(names, lambda n: n.isin(*words))
 
-    return {group: F.expr(condition(words)) for group, words in taxonomy.capability.items()}
+
+def group_matches(taxonomy: Taxonomy = Taxonomy(), keywords: str = "keywords",
+                  skills: str = "skill_keywords") -> dict[str, Column]:
+    """Per capability group: any keyword equal to a skill name or contained in the text."""
+    return {group: (F.col(f"{keywords}.`capability_{group}`") > 0)
+            | F.exists(skills, lambda n: n.isin(*words))
+            for group, words in taxonomy.capability.items()}
 
 
-def category_share(text: str, categories, whole_words: bool = False) -> Column:
-    return T.matched_share(T.any_of(text, words, whole_words)
-                           for words in categories.values())
+def category_share(kind: str, categories, keywords: str = "keywords") -> Column:
+    """Share of the dictionaries of a kind with a keyword in the text."""
+    return T.matched_share(f"{keywords}.`{kind}_{name}` > 0" for name in categories)
 
 
 def confidence(trust: Column, n_flags: Column, completeness: Column, capability: Column,
@@ -179,15 +192,13 @@ def confidence(trust: Column, n_flags: Column, completeness: Column, capability:
 
 
 def composite_features(taxonomy: Taxonomy = Taxonomy()) -> dict[str, Column]:
-    """Needs `groups`, `career_text`, trust and signals."""
-    text = "career_text"
+    """Needs `groups`, `keywords`, trust and signals."""
     return {
         "capability_score": T.matched_share(f"groups.`{g}`" for g in taxonomy.capability),
         "pipeline_score": T.matched_share(
             f"groups.`{s}`" if s in taxonomy.capability else "false" for s in taxonomy.stages),
-        "production_score": category_share(text, taxonomy.production, taxonomy.whole_words),
-        "experience_quality_score": category_share(text, taxonomy.quality,
-                                                   taxonomy.whole_words),
+        "production_score": category_share("production", taxonomy.production),
+        "experience_quality_score": category_share("quality", taxonomy.quality),
     }
 
 
@@ -195,12 +206,15 @@ def with_inputs(records: DataFrame, taxonomy: Taxonomy = Taxonomy(),
                 rules: RuleConfig = RuleConfig()) -> DataFrame:
     """Derived properties, trust, and the columns several features read.
 
-    The lowered text is a column of its own, so the many searches over it share one value.
+    The counts of all dictionaries in the lowered text are one column, made in one pass over it.
     """
     prepared = with_trust(N.derive(records), rules).withColumns({
         "core_skills": core_skills(F.col("skills"), taxonomy),
         "career_text": N.career_text(F.col("profile"), F.col("career_history")),
         "skill_names_lower": F.transform("skills", lambda s: strip(F.lower(s["name"]))),
+    }).withColumns({
+        "keywords": keyword_automaton(taxonomy).counts(F.col("career_text")),
+        "skill_keywords": skill_keywords(taxonomy),
     })
     return prepared.withColumn("groups", F.struct(
         *[m.alias(g) for g, m in group_matches(taxonomy).items()]))

@@ -102,18 +102,6 @@ def test_rounding_follows_the_stored_value(spark):
         assert all(r.r == round(r.v, digits) for r in got), digits
 
 
-def test_keyword_counts_equal_str_count(spark):
-    texts = ["semantic search, search and vector search", "", "ragrag storage", "rank-ranking",
-             "é rag é", "html dl ml"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string")
-    for words in settings.EVIDENCE_KEYWORDS.values():
-        for r in rows.select("t", T.keyword_count("t", words).alias("n")).collect():
-            assert r.n == sum(r.t.count(w) for w in words), (r.t, words)
-    whole = rows.select("t", T.keyword_count("t", ("rag", "ml"), True).alias("n")).collect()
-    assert {r.t: r.n for r in whole}["ragrag storage"] == 0
-    assert {r.t: r.n for r in whole}["html dl ml"] == 1
-
-
 @pytest.mark.parametrize("text,word,window,expected", [
     ("Vector SEARCH engines", "search", 3, "...or SEARCH en..."),
     ("search", "search", 40, "search"), ("nothing", "search", 40, ""),
