@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from credence.functions.numeric import round_exact
+from credence.operators.objectives import top_k_by_weights
 from credence.operators.ordered import ranked
-from credence.operators.scoring import COMPONENTS, weighted_sum
-from credence.session import fresh_path
+from credence.operators.scoring import COMPONENTS
 from credence.settings import SCENARIOS, ScoreWeights
 
 SCORE_DIGITS = 4
@@ -98,21 +96,14 @@ def scenario_overlaps(scored: DataFrame, scenarios: dict[str, ScoreWeights] | No
                       key: str = "candidate_id") -> DataFrame:
     """How many of the baseline's top-n each other scenario keeps.
 
-    The components are stored once, as a narrow table.  Each scenario is then one top-k over it:
-    every task keeps k rows, and neither all rows are sorted nor any row is repeated.
+    One pass over the rows: every task keeps the deepest list of each scenario.
     """
     scenarios = scenarios or SCENARIOS
-    deepest = max(cuts)
-    spark = scored.sparkSession
-    path = fresh_path(spark, "components")
-    narrow = scored.select(key, "trust_score", *[f"{c}_score" for c in COMPONENTS])
-    narrow.write.parquet(path)
-    stored = spark.read.schema(narrow.schema).parquet(path)
-    tops = reduce(DataFrame.unionByName, [
-        top_k(stored.select(key, (weighted_sum(w) * F.col("trust_score")).alias("score")),
-              deepest, F.desc("score"), F.asc(key)).select(
-            key, F.lit(name).alias("scenario"), "rank") for name, w in scenarios.items()])
-    # At most `deepest` rows per scenario from here on.
+    tops = top_k_by_weights(
+        scored, [f"{c}_score" for c in COMPONENTS],
+        {n: [getattr(w, c) for c in COMPONENTS] for n, w in scenarios.items()}, "trust_score",
+        max(cuts), key).withColumnRenamed("objective", "scenario")
+    # At most `max(cuts)` rows per scenario from here on.
     ranks = tops.groupBy(key).pivot("scenario", list(scenarios)).agg(F.first("rank"))
     others = [s for s in scenarios if s != baseline]
     counts = ranks.agg(*[
