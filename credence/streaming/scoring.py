@@ -12,8 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from credence.operators import normalize as N
 from credence.operators.rules import anomaly_rules, rule_hits
 from credence.operators.scoring import score_records
-
-SCORE_COLUMNS = ("candidate_id", "raw_score", "trust_score", "final_score")
+from credence.streaming.latest import SCORE_COLUMNS, LatestScores
 
 
 def score_stream(records: DataFrame, target: str, checkpoint: str,
@@ -24,40 +23,28 @@ def score_stream(records: DataFrame, target: str, checkpoint: str,
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def topk_stream(records: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Keep the scores of everything seen, one folder for each batch.
+def topk_stream(records: DataFrame, state: str, checkpoint: str, **limits) -> StreamingQuery:
+    """Keep the latest scores of everything seen; `limits` are those of `LatestScores`.
 
-    A batch is scored and written once, whatever was seen before, so its cost does not grow.  A
-    batch that is run again after a failure overwrites its own folder only.  `current_topk` reads
-    the list at any time.
+    A batch is scored and written once, whatever was seen before.  `current_topk` reads the list
+    at any time.
     """
     def keep(batch: DataFrame, batch_id: int) -> None:
-        (score_records(batch).select(*SCORE_COLUMNS)
-         .withColumn("place", F.monotonically_increasing_id())
-         .write.mode("overwrite").parquet(f"{state}/batch={batch_id}"))
+        LatestScores(batch.sparkSession, state, **limits).add(score_records(batch), batch_id)
 
     return (records.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def latest_scores(spark: SparkSession, state: str, upto: int | None = None) -> DataFrame:
-    """The latest arrival of every id, by batch and place within it.
-
-    One shuffle of narrow rows, combined first: an id that arrives ever again is one row a task.
-    """
-    seen = spark.read.option("basePath", state).parquet(state)
-    if upto is not None:
-        seen = seen.filter(F.col("batch") <= upto)      # prunes folders
-    values = [c for c in SCORE_COLUMNS if c != "candidate_id"]
-    last = F.max_by(F.struct(*values), F.struct("batch", "place")).alias("s")
-    return seen.groupBy("candidate_id").agg(last).select("candidate_id", "s.*")
+    """The latest arrival of every id, by batch and place within it."""
+    return LatestScores(spark, state).latest(upto)
 
 
 def current_topk(spark: SparkSession, state: str, k: int = 100, upto: int | None = None
                  ) -> DataFrame:
     """The exact top k of the latest scores, after the batch `upto` or after all."""
-    return latest_scores(spark, state, upto).orderBy(
-        F.desc("final_score"), F.asc("candidate_id")).limit(k)
+    return LatestScores(spark, state).top(k, upto)
 
 
 def quality_counts(records: DataFrame) -> DataFrame:
