@@ -29,7 +29,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from credence.llm.common import column, stored
 
 CACHED_WORDS = 300_000
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 8 << 20
+MARKS = (".", ",")
+#: Words of letters below U+0180, but for the one whose lower case is two letters.
+PLAIN = (r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}"
+         r"\x{131}-\x{17F}]+$")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: How a byte-level model writes the bytes of a word: as themselves, or from U+0100 on.
 _BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -45,19 +49,25 @@ _PIECES_SQL = ("doc_id bigint, source string, start bigint, length bigint, ids_c
 
 
 class WordTokens:
-    """Token ids of a tokenizer that drops white space, with the ids of frequent words kept.
+    """Token ids of a tokenizer that drops white space, with the ids of known words kept.
 
     No token of such a tokenizer reaches over ASCII white space, so the ids of a text are those
-    of its words one after another.
+    of its words one after another.  A word of letters below U+0180, with a point or comma behind it or
+    not, is one piece for the model in lower case, and the mark another; all other words are
+    encoded in one call.  Words are numbered, cut and lower-cased as Arrow arrays; Python sees
+    each different word of a batch once.
     """
 
     def __init__(self, path: str, end_id: int, kind: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind, self.known, self.code = kind, {}, {"<u2": "H", "<u4": "I"}[kind]
-        self.end, self.width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
-        self.pieces = {p: np.array(self.tokenizer.encode(p, add_special_tokens=False).ids,
-                                   kind).tobytes() for p in ("", ".", ",")}
+        self.kind, self.code = kind, {"<u2": "H", "<u4": "I"}[kind]
+        # Two generations of known words: what is not asked for within one is forgotten.
+        self.known, self.older = {}, {}
+        self.width = np.dtype(kind).itemsize
+        self.ends = [b"", *[np.array(self.tokenizer.encode(p, add_special_tokens=False).ids,
+                                     kind).tobytes() for p in MARKS],
+                     np.array([end_id], kind).tobytes()]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another with the end id behind each, and their counts."""
@@ -69,59 +79,85 @@ class WordTokens:
         return np.concatenate([f for f, _ in found]), np.concatenate([c for _, c in found])
 
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        known, split = self.known, pc.ascii_split_whitespace(texts)
+        split = pc.ascii_split_whitespace(texts)
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(known) > CACHED_WORDS:
-            self.known = known = {w: known[w] for w in words if w in known}
-        new = [w for w in words if w not in known]
-        if new:
-            self._learn(new)
-        pieces = [known[w] for w in words] + [self.end]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
-        codes = np.insert(coded.indices.to_numpy(), ends, len(words))
-        lengths = sizes[codes]
-        upto = np.cumsum(lengths)
-        place = np.repeat((np.cumsum(sizes) - sizes)[codes] - upto + lengths, lengths)
-        ids = np.frombuffer(b"".join(pieces), self.kind)[place + np.arange(len(place))]
+        ids, sizes = self._different(coded.dictionary)
+        codes = np.insert(coded.indices.to_numpy(), ends, len(sizes) - 1)
+        del split, coded
+        ids = _gathered(ids, sizes, codes)
+        upto = np.cumsum(sizes[codes])
         return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
-    def _learn(self, new: list[str]) -> None:
-        known, pieces, odd, typed = self.known, self.pieces, [], {}
-        tokenize = self.tokenizer.model.tokenize
-        for w in new:
-            end = w[-1:] if w[-1:] in (".", ",") else ""
-            base = (w[:-1] if end else w).lower()
-            # Such a word is one piece for the model, and the point or comma another.
-            if base.isascii():
-                plain = base.isalpha()
-            else:
-                plain = base.isalpha() and max(base) < "\u0180"
-                base = base.encode().decode("latin-1").translate(_BYTES)
-            if plain:
-                ids = typed.get(base)
-                if ids is None:
-                    ids = typed[base] = array(self.code, [t.id for t in tokenize(base)]
-                                              ).tobytes()
-                known[w] = ids + pieces[end]
-            elif w:
-                odd.append(w)
-            else:
-                known[w] = b""
+    def _different(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, one after another, and their counts; last the end id."""
+        mark = np.zeros(len(words), np.int64)
+        for i, point in enumerate(MARKS):
+            mark[pc.ends_with(words, point).to_numpy(zero_copy_only=False)] = i + 1
+        cut = pc.utf8_slice_codeunits(words, 0, -1)
+        base = pc.if_else(pa.array(mark > 0), cut, words)
+        plain = pc.match_substring_regex(base, PLAIN)
+        keys = pc.if_else(plain, pc.utf8_lower(base), words).dictionary_encode()
+        plain = plain.to_numpy(zero_copy_only=False)
+        number = keys.indices.to_numpy()
+        whole = np.zeros(len(keys.dictionary), bool)
+        whole[number] = plain
+        pieces = self._pieces(keys.dictionary.to_pylist(), whole) + self.ends
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
+        raw = np.frombuffer(b"".join(pieces), self.kind)
+        # Each word is its piece and its mark, which is none for words encoded as a whole.
+        first = len(keys.dictionary)
+        parts = np.empty(2 * len(words) + 1, np.int64)
+        parts[0:-1:2], parts[1:-1:2] = number, first + np.where(plain, mark, 0)
+        parts[-1] = len(pieces) - 1
+        total = np.add.reduceat(sizes[parts], np.arange(0, len(parts), 2))
+        return _gathered(raw, sizes, parts), total
+
+    def _pieces(self, keys: list[str], plain: np.ndarray) -> list[bytes]:
+        """The ids of each key; unknown ones are learned."""
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        known, older, odd = self.known, self.older, []
+        tokenize, code = self.tokenizer.model.tokenize, self.code
+        found = list(map(known.get, keys))
+        for i, piece in enumerate(found):
+            if piece is not None:
+                continue
+            key = keys[i]
+            piece = older.get(key)
+            if piece is None:
+                if not plain[i]:
+                    if key:
+                        odd.append(i)
+                        continue
+                    piece = b""
+                else:
+                    text = key if key.isascii() else \
+                        key.encode().decode("latin-1").translate(_BYTES)
+                    piece = array(code, [t.id for t in tokenize(text)]).tobytes()
+            known[key] = found[i] = piece
         if odd:
-            self._encode(odd)
+            for i, piece in zip(odd, self._encoded([keys[i] for i in odd])):
+                known[keys[i]] = found[i] = piece
+        return found
 
-    def _encode(self, words: list[str]) -> None:
+    def _encoded(self, words: list[str]) -> Iterator[bytes]:
         """Encode all words in one call and cut the ids at the words' offsets."""
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         starts = np.cumsum([0] + [len(w) + 1 for w in words])
-        ids = np.array(found.ids, self.kind)
+        raw = np.array(found.ids, self.kind).tobytes()
         offsets = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-        cuts = np.searchsorted(offsets, starts).tolist()
-        raw, width = ids.tobytes(), ids.itemsize
-        for w, a, b in zip(words, cuts, cuts[1:]):
-            self.known[w] = raw[a * width:b * width]
+        cuts = (np.searchsorted(offsets, starts) * self.width).tolist()
+        return (raw[a:b] for a, b in zip(cuts, cuts[1:]))
+
+
+def _gathered(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The pieces `codes`, one after another, of pieces that lie behind each other in `ids`."""
+    lengths = sizes[codes]
+    upto = np.cumsum(lengths)
+    place = np.repeat(((np.cumsum(sizes) - sizes)[codes] - upto + lengths), lengths)
+    place += np.arange(len(place))
+    return ids[place]
 
 
 def _tokenizer(path: str, end_id: int, kind: str) -> WordTokens:
