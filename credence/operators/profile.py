@@ -223,19 +223,61 @@ def _merged(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
         np.fmax(a[:, 7], b[:, 7]), np.fmin(a[:, 8], b[:, 8]), np.fmax(a[:, 9], b[:, 9])])
 
 
+def _one_pair(a: np.ndarray, b: np.ndarray) -> tuple:
+    ma, mb = a.mean(), b.mean()
+    da, db = a - ma, b - mb
+    return (len(a), ma, mb, da @ da, db @ db, da @ db, a.min(), a.max(), b.min(), b.max())
+
+
+def _varies(there: np.ndarray, known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By pair, how many rows of both differ from the first value of column i, and that value."""
+    first = x[there.argmax(axis=0), np.arange(x.shape[1])]
+    return ((there & (x != first)).astype(float)).T @ known, first
+
+
 def _batch_moments(x: np.ndarray, places: list[tuple[int, int]]) -> np.ndarray:
-    """Moments of each pair of columns over its own rows, centred on the means of those rows."""
-    there = ~np.isnan(x)
+    """Moments of each pair of columns over the rows where both are known.
+
+    Products of masked matrices give the sums of all pairs at once: with C the values less their
+    column's mean, zero where unknown, and M the mask, they are M'M, C'M, (C*C)'M and C'C.  A pair
+    is computed on its own rows only where that would lose digits (its mean is far from those of
+    its columns), and where the products cannot tell whether a column varies.  A column that varies is
+    marked by infinite ends.
+    """
     out = np.zeros((len(places), 10))
     out[:, 6:] = np.nan
-    for k, (i, j) in enumerate(places):
-        rows = there[:, i] & there[:, j]
-        if rows.any():
-            a, b = x[rows, i], x[rows, j]
-            ma, mb = a.mean(), b.mean()
-            da, db = a - ma, b - mb
-            out[k] = (len(a), ma, mb, da @ da, db @ db, da @ db, a.min(), a.max(), b.min(),
-                      b.max())
+    if not len(places) or not len(x):
+        return out
+    i, j = np.array(places).T
+    there = ~np.isnan(x)
+    known = there.astype(float)
+    with np.errstate(all="ignore"):
+        centre = np.where(there, x, 0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+        finite = np.isfinite(np.where(there, x, 0)).all(axis=0) & np.isfinite(centre)
+        c = np.where(there & finite, x - centre, 0)
+    n, s, q, xy = (known.T @ known)[i, j], c.T @ known, (c * c).T @ known, (c.T @ c)[i, j]
+    rows = np.maximum(n, 1)
+    sx, sy, qx, qy = s[i, j], s[j, i], q[i, j], q[j, i]
+    xx, yy = qx - sx * sx / rows, qy - sy * sy / rows
+    differ, first = _varies(there, known, x)
+    dx, dy = differ[i, j], differ[j, i]
+    moved = np.column_stack([dx > 0, dy > 0])
+    out[:, :6] = np.column_stack([n, centre[i] + sx / rows, centre[j] + sy / rows,
+                                  np.where(moved[:, 0], xx, 0), np.where(moved[:, 1], yy, 0),
+                                  np.where(moved.all(axis=1), xy - sx * sy / rows, 0)])
+    still = np.column_stack([first[i], first[i], first[j], first[j]])
+    ends = np.array([-np.inf, np.inf, -np.inf, np.inf])
+    out[:, 6:] = np.where(moved[:, [0, 0, 1, 1]], ends, still)
+    # A column of one value has exactly that mean.
+    out[:, 1:3] = np.where(moved, out[:, 1:3], still[:, [0, 2]])
+    unsure = (dx == n) | (dy == n) | (moved[:, 0] & (xx < 1e-4 * qx)) | (
+        moved[:, 1] & (yy < 1e-4 * qy)) | ~finite[i] | ~finite[j]
+    for k in np.flatnonzero((n > 0) & unsure):
+        both = there[:, i[k]] & there[:, j[k]]
+        with np.errstate(all="ignore"):
+            out[k] = _one_pair(x[both, i[k]], x[both, j[k]])
+    out[n == 0, 1:6] = 0
+    out[n == 0, 6:] = np.nan
     return out
 
 

@@ -161,3 +161,38 @@ def test_ndcg(spark):
     got = {r.q: r.ndcg for r in R.ndcg_at_k(df, "q", [F.asc("pos")], "gain", 3).collect()}
     assert got["x"] == pytest.approx((1 / np.log2(3)) / (1 + 1 / np.log2(3)))
     assert got["y"] == 0.0
+
+
+def test_pair_moments_equal_those_of_each_pair():
+    rng = np.random.default_rng(8)
+    n = 400
+    x = np.column_stack([
+        rng.normal(size=n), rng.normal(size=n) * 1e-3 + 1e9, np.full(n, 7.0),
+        np.where(np.arange(n) < 200, 1e6, 1.0) + rng.normal(size=n) * 1e-3,
+        np.where(np.arange(n) < 5, 2.0, 3.0), rng.integers(0, 3, n).astype(float),
+        np.full(n, np.nan), np.where(np.arange(n) == 9, np.inf, rng.normal(size=n))])
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:5, 0] = np.nan                       # column 4 is 3 in all rows of column 0
+    x[200:, 5] = np.nan
+    places = [(a, b) for a in range(8) for b in range(8) if a < b]
+    got = P._batch_moments(x, places)
+    for (i, j), row in zip(places, got):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert row[0] == both.sum()
+        if not both.any():
+            assert (row[1:6] == 0).all() and np.isnan(row[6:]).all()
+            continue
+        a, b = x[both, i], x[both, j]
+        for low, high, v in ((row[6], row[7], a), (row[8], row[9], b)):
+            assert (low < high) == (v.min() < v.max())
+        if np.isinf(a).any() or np.isinf(b).any():
+            continue
+        da, db = a - a.mean(), b - b.mean()
+        assert row[1] == pytest.approx(a.mean(), rel=1e-12, abs=1e-12)
+        # A mean is rounded to the digits a double has at its size.
+        ra, rb = (10 * len(v) * np.spacing(abs(v.mean())) ** 2 for v in (a, b))
+        assert row[3] == pytest.approx(da @ da, rel=1e-9, abs=1e-12 + ra)
+        assert row[4] == pytest.approx(db @ db, rel=1e-9, abs=1e-12 + rb)
+        scale = np.sqrt((da @ da) * (db @ db))
+        assert abs(row[5] - da @ db) <= 1e-9 * scale + 1e-12
+    assert P._batch_moments(x[:0], places).shape == (28, 10)
