@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from credence.functions.numeric import sentinel_to_null
+from credence.functions.text import sql_text
 from credence.operators.ordered import running_total
 from credence.session import fresh_path
 
@@ -332,11 +333,14 @@ def correlation(df: DataFrame, columns: list[str], sentinel: float | None = -1,
         return number if sentinel is None else sentinel_to_null(number, sentinel)
 
     pairs = list(combinations(columns, 2))
-    places = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(a).alias("x"), F.lit(b).alias("y"))
-                       for i, (a, b) in enumerate(pairs)])
+    # As SQL text: hundreds of literals made one call at a time take longer than the job.
+    listed = ", ".join(f"({i}, {sql_text(a)}, {sql_text(b)})"
+                       for i, (a, b) in enumerate(pairs)) or "(-1, '', '')"
+    places = df.sparkSession.sql(
+        f"SELECT * FROM VALUES {listed} AS t(pair, x, y) WHERE pair >= 0")
     moments_ = _pair_moments(df.select(*[value(c).alias(c) for c in columns]), pairs)
-    # The plan has one literal row per pair; pairs without a row in common have no moments.
-    table = df.sparkSession.range(1).select(F.inline(places)).join(moments_, "pair", "left").select(
+    # Pairs without a row in common have no moments.
+    table = places.join(moments_, "pair", "left").select(
         F.struct("x", "y").alias("p"), F.when(
             (F.col("n") > 1) & F.col("x_varies") & F.col("y_varies"),
             F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy"))).alias("corr"))
