@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from credence.llm.common import column, stored
 
-CACHED_WORDS = 300_000
-TEXT_BYTES = 8 << 20
+CACHED_WORDS = 200_000
+TEXT_BYTES = 2 << 20
 MARKS = (".", ",")
 #: Words of letters below U+0180, but for the one whose lower case is two letters.
 PLAIN = (r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}"
@@ -85,8 +85,8 @@ class WordTokens:
         ids, sizes = self._different(coded.dictionary)
         codes = np.insert(coded.indices.to_numpy(), ends, len(sizes) - 1)
         del split, coded
-        ids = _gathered(ids, sizes, codes)
         upto = np.cumsum(sizes[codes])
+        ids = _gathered(ids, sizes, codes)
         return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
     def _different(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,9 +154,10 @@ class WordTokens:
 def _gathered(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The pieces `codes`, one after another, of pieces that lie behind each other in `ids`."""
     lengths = sizes[codes]
-    upto = np.cumsum(lengths)
-    place = np.repeat(((np.cumsum(sizes) - sizes)[codes] - upto + lengths), lengths)
-    place += np.arange(len(place))
+    first = (np.cumsum(sizes) - sizes)[codes]
+    first -= np.cumsum(lengths) - lengths
+    place = np.repeat(first.astype(np.int32), lengths)      # fewer than 2**31 ids by chunk
+    place += np.arange(len(place), dtype=np.int32)
     return ids[place]
 
 
