@@ -4,7 +4,11 @@ Every page is parsed once to score its containers: characters of text that is no
 less those of link text.  The best container votes for its generalised path, tags and classes
 from the root with digits as #.  Spark counts the votes by host and path and takes the path with
 the most votes of each host.  Then every page is extracted with the path of its host; a page
-without it uses its own best container.
+uses its own best container where that path gives nothing, or has no first heading and less than
+half of the characters.
+
+A name such as header or widget, or a form, does not make boilerplate alone: an element that
+holds most of the page's sentences is a wrapper and its text stays (`Page._wrappers`).
 
 Votes are rows of (host, path), counted before the shuffle, so a host with a third of all pages
 is no hot group.  The pages are joined with one row per host: broadcast if few, else shuffled,
@@ -16,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from html import unescape
 
 import pyarrow as pa
@@ -32,8 +37,8 @@ _BLOCK = frozenset(
     "thead title tr ul".split())
 #: Elements that hold no text of an article.
 _DROPPED = frozenset(
-    "head title script style noscript template nav menu footer aside form button select textarea "
-    "input iframe object embed svg canvas dialog datalist audio video map xmp noembed noframes"
+    "head title script style noscript template nav menu footer aside label legend button select "
+    "textarea input iframe object embed svg canvas dialog datalist audio video map xmp noembed noframes"
     .split())
 _CONTAINER = frozenset("html body article main section div td center table blockquote".split())
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -45,6 +50,12 @@ _MARKS = frozenset(
     "overlay comment comments disqus respond replies reply discussion share sharing social "
     "related recommended recommendations pagination pager newsletter subscribe subscription "
     "signup login search toolbar widget widgets tags toc".split())
+#: Of these, names of layout too: such an element may be a wrapper of the article.
+_LAYOUT = frozenset("header banner masthead widget widgets toolbar overlay modal popup notice notices "
+                    "alert search login promo promotion tags nav navbar menu sidebar".split())
+#: A header with one of these in its name belongs to the article.
+_ARTICLE = frozenset("article post entry story content news blog".split())
+_LONG_BLOCK = 8     # words from which a block counts as sentences
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog "
                    "menu menubar toolbar".split())
 _NO_MARK = frozenset(("has", "with", "no", "is", "without", "js"))
@@ -119,27 +130,40 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _marked(names: str) -> bool:
+def _marks(names: str) -> set[str]:
+    """The words of boilerplate in classes and ids."""
+    out = set()
     for name in names.lower().split():
         parts = [p for p in re.split(r"[-_:]+", re.sub(r"[0-9]+", "", name)) if p]
-        if parts and parts[0] not in _NO_MARK and (parts[0] in _MARKS or parts[-1] in _MARKS):
-            return True
-    return False
+        if parts and parts[0] not in _NO_MARK:
+            found = _MARKS.intersection((parts[0], parts[-1]))
+            if found != {"header"} or not _ARTICLE.intersection(parts):
+                out |= found
+    return out
+
 
+#: Kinds of elements: text, dropped whatever it holds, boilerplate by name, by a name of layout,
+#: and a discussion, which is one of readers if something in it is boilerplate too.
+_TEXT, _GONE, _NAMED, _WEAK, _TALK = range(5)
 
-def _boilerplate(tag: str, given: dict[str, str], in_article: bool) -> bool:
-    if tag in _DROPPED or tag == "header" and not in_article:
-        return True
+
+def _kind(tag: str, given: dict[str, str], in_article: bool) -> int:
+    if tag in _DROPPED:
+        return _GONE
     if tag in _KEPT or tag in _HEADING:
-        return False
-    if not given:
-        return False
-    if "hidden" in given or given.get("aria-hidden") == "true":
-        return True
+        return _TEXT
     style = given.get("style", "").replace(" ", "").lower()
-    return ("display:none" in style or "visibility:hidden" in style
-            or given.get("role", "").lower() in _ROLES
-            or _marked(given.get("class", "") + " " + given.get("id", "")))
+    if ("hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style
+            or "visibility:hidden" in style or given.get("role", "").lower() in _ROLES):
+        return _GONE
+    marks = _marks(given.get("class", "") + " " + given.get("id", "")) if given else set()
+    if marks and tag not in _BLOCK:
+        return _GONE        # inside a line nothing is a wrapper
+    if marks == {"discussion"}:
+        return _TALK
+    if marks - _LAYOUT:
+        return _NAMED
+    return _WEAK if marks or tag == "form" or tag == "header" and not in_article else _TEXT
 
 
 def generalised(tag: str, classes: str) -> str:
@@ -160,6 +184,7 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []     # element, text, characters in links
         self._stack, self._texts, self._links, self._linked = [0], [], 0, 0
         self._skip = 0      # open elements from the first dropped one on
+        self._kinds: dict[int, int] = {}                # elements that may be boilerplate
         for kind, value, _ in _tags(html):
             if not kind:
                 if not self._skip:
@@ -169,6 +194,8 @@ class Page:
             else:
                 self._open(kind, value)
         self._flush()
+        if self._kinds:
+            self._drop()
 
     def _add(self, raw: str) -> None:
         text = unescape(raw) if "&" in raw else raw
@@ -244,7 +271,7 @@ class Page:
         given = _attributes(text) if text.strip() else {}
         up = self._stack[-1]
         article = self.article[up] or tag in ("article", "main")
-        dropped = _boilerplate(tag, given, article)
+        what = _kind(tag, given, article)
         path = self.path[up]
         if tag in _CONTAINER or tag in _BLOCK:
             key = (path, generalised(tag, given.get("class", "")))
@@ -253,7 +280,9 @@ class Page:
                 self._up.append(key)
         self._push(tag, path, article)
         self._linked += tag == "a"
-        if dropped:
+        if what > _GONE:
+            self._kinds[len(self.tag) - 1] = what
+        elif what == _GONE:
             if tag in _BLOCK:
                 self._flush()
             self._skip = 1
@@ -266,6 +295,54 @@ class Page:
         self._count[tag] += 1
         self._stack.append(len(self.tag) - 1)
 
+    def _drop(self) -> None:
+        """Take away the blocks of boilerplate."""
+        kinds, n = self._kinds, len(self.tag)
+        inner = [False] * n         # whether a marked element is inside
+        for k in range(n - 1, 0, -1):
+            if inner[k] or k in kinds:
+                inner[self.parent[k]] = True
+        marked = {k for k, what in kinds.items() if what != _TALK or inner[k]}
+        owner = [0] * n             # the marked element that is next above, or the element
+        for k in range(1, n):
+            owner[k] = k if k in marked else owner[self.parent[k]]
+        kept = self._wrappers(sorted(marked), owner)
+        self.blocks = [b for b in self.blocks if owner[b[0]] in kept]
+
+    def _wrappers(self, marked: list[int], owner: list[int]) -> set[int]:
+        """0 and the marked elements that hold the article: those with a name of layout, or
+        forms, with more than twice the sentences (blocks of eight words) outside of marked
+        elements.  One without a first heading is none if there is such a heading outside.
+        """
+        own, first = Counter(), set()
+        for element, text, links in self.blocks:
+            if text.count(" ") >= _LONG_BLOCK - 1:
+                own[owner[element]] += max(0, len(text) - 2 * links)
+            if self.tag[element] == "h1":
+                first.add(owner[element])
+        weight, below, heading = Counter(own), {}, set(first)
+        for m in reversed(marked):
+            up = owner[self.parent[m]]
+            below.setdefault(up, []).append(m)
+            if self._kinds[m] == _WEAK:
+                weight[up] += weight[m]
+                if m in heading:
+                    heading.add(up)
+        free, kept, heap = own[0], {0}, []
+        new, has_first = 0, 0 in first
+        while True:
+            for m in below.get(new, ()):
+                if self._kinds[m] == _WEAK:
+                    heappush(heap, (-weight[m], m))
+            while heap and has_first and heap[0][1] not in heading:
+                heappop(heap)
+            if not heap or -heap[0][0] <= 2 * free:
+                return kept
+            new = heappop(heap)[1]
+            kept.add(new)
+            free += own[new]
+            has_first |= new in first
+
     def scores(self) -> list[tuple[int, bool]]:
         """Of each element: characters of text less twice those in links, and whether a first
         heading is inside."""
@@ -279,14 +356,33 @@ class Page:
         return list(zip(score, heading))
 
     def best(self) -> int:
-        """The container of the article: among those with nine tenths of the best score an
-        article or main element, then one with the first heading, then the innermost."""
+        """The container of the article.
+
+        Among those with nine tenths of the best score it is an article or main element, then one
+        with the first heading, then the innermost.  Unless it is such an element, it grows to the
+        outermost of them that has paragraphs or headings of its own next to it: a lead or a
+        closing paragraph belongs to the article, a container beside it does not.
+        """
         scores = {k: s for k, s in enumerate(self.scores())
                   if k == 0 or self.tag[k] in _CONTAINER and s != (0, False)}
         most = max(s for s, _ in scores.values())
         enough = most - 0.1 * abs(most)
-        return max((k for k, (s, _) in scores.items() if s >= enough), key=lambda k: (
+        best = max((k for k, (s, _) in scores.items() if s >= enough), key=lambda k: (
             self.tag[k] in ("article", "main"), scores[k][1], k))
+        if self.tag[best] in ("article", "main"):
+            return best
+        flows = set()               # containers with text outside of inner containers
+        for element, text, links in self.blocks:
+            if 2 * links < len(text):
+                while element and self.tag[element] not in _CONTAINER:
+                    element = self.parent[element]
+                flows.add(element)
+        at = best
+        while at:
+            at = self.parent[at]
+            if at in flows and at in scores and scores[at][0] >= enough:
+                best = at
+        return best
 
     def vote(self) -> str:
         steps, at = [], self.path[self.best()]
@@ -305,13 +401,18 @@ class Page:
     def text(self, path: str | None) -> str:
         """Blocks inside the elements with this path, or else inside the best container."""
         found = self._inside(self._elements(path)) if path is not None else []
-        return "\n".join(found or self._inside({self.best()}))
-
-    def _inside(self, chosen: set[int]) -> list[str]:
+        if any(self.tag[element] == "h1" for element, _, _ in found):
+            own = []
+        else:
+            own = self._inside({self.best()})
+        size = lambda blocks: sum(len(t) for _, t, _ in blocks)
+        return "\n".join(t for _, t, _ in (own if 2 * size(found) < size(own) else found))
+
+    def _inside(self, chosen: set[int]) -> list[tuple[int, str, int]]:
         inside = [False] * len(self.tag)
         for k, up in enumerate(self.parent):
             inside[k] = k in chosen or k > 0 and inside[up]
-        return [t for element, t, _ in self.blocks if inside[element]]
+        return [b for b in self.blocks if inside[b[0]]]
 
 
 def main_text(html: str, path: str | None = None) -> str:
@@ -336,7 +437,7 @@ def _texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def consensus_paths(pages: DataFrame) -> DataFrame:
-    """host -> path with the most votes; of equal ones the longer, then the first by name."""
+    """host -> path with the most votes; of equal ones the longer, then the larger hash."""
     votes = pages.where("html <> ''").select("host", "html").mapInArrow(
         _votes, "host string, path string").groupBy("host", "path").agg(
         F.count("*").alias("n"))
@@ -349,8 +450,8 @@ def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url",
     """One row per row: page_id, url, text, host_path.
 
     Blocks are joined in page order by one line feed; white space inside a block is one space.  A
-    null or empty page has an empty text and no vote; pages without a URL are one host.  Repeated
-    rows vote and are extracted each; other columns are ignored.
+    null or empty page has an empty text and no vote; pages without a URL are one host.  Paths with
+    equal votes are told apart by length, then by hash.  Repeated rows vote and are extracted each; other columns are ignored.
     """
     url = column(url_column).cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z+.-]+://([^/?#]*)", 1))

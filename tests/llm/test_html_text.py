@@ -106,10 +106,71 @@ def test_odd_markup():
     assert H.main_text("<article><header><h1>A</h1></header><p>b</article>") == "A\nb"
 
 
+PARAGRAPHS = [f"Paragraph {i} of the article has a number of words that make one sentence."
+              for i in range(4)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+WHOLE = "\n".join(["Title", *PARAGRAPHS])
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<form id=aspnetForm><label>Search</label>{}</form>", "<div class='header-fixed'>{}</div>",
+    "<div class='page-widget'>{}</div>", "<header>{}</header>",
+    "<form><div class=widget><div id=main-header>{}</div></div></form><p>made by x</p>"])
+def test_a_wrapper_is_no_boilerplate(wrapper):
+    noise = ("<nav><a href=/>home</a></nav><div class=comments><p>" + "I say a long thing. " * 60
+             + "</p></div><form><p>Write to us</p><input></form><div class=cookie-notice>"
+             "<p>We use cookies on this site for many good reasons.</p></div>")
+    html = f"<html><body>{wrapper.format('<h1>Title</h1>' + BODY + noise)}</body></html>"
+    assert H.main_text(html) == WHOLE or H.main_text(html) == WHOLE + "\nmade by x"
+
+
+@pytest.mark.parametrize("box", [
+    "<form>{}</form>", "<header>{}</header>", "<div class=widget>{}</div>"])
+def test_long_boilerplate_beside_the_article_is_none_of_it(box):
+    """It has more sentences, but the first heading is outside."""
+    html = "<body><div id=c><h1>Title</h1><p>Short.</p></div>" + box.format(BODY) + "</body>"
+    assert H.main_text(html) == "Title\nShort."
+    assert H.main_text("<body>" + box.format("<b>Log in</b> name") + "</body>") == ""
+
+
+def test_lead_and_closing_paragraphs():
+    inner = f"<div class=text>{BODY}</div>"
+    html = f"<body><div class=content><p>Lead.</p>{inner}<p>Closing.</p></div><div>x y</div></body>"
+    assert H.main_text(html) == "\n".join(["Lead.", *PARAGRAPHS, "Closing."])
+    assert H.Page(html).vote() == "html/body/div.content".removeprefix("html/")
+    quote = f"<body><div><p>Before.</p><blockquote>{BODY}</blockquote><p>After.</p></div></body>"
+    assert H.main_text(quote) == "\n".join(["Before.", *PARAGRAPHS, "After."])
+
+
+def test_article_headers_and_discussions():
+    head = "<div class='article-header'><h1>Title</h1><p>A lead.</p></div>"
+    assert H.main_text(f"<body><div class=c>{head}{BODY}</div></body>") == \
+        WHOLE.replace("Title", "Title\nA lead.")
+    part = f"<section id=discussion><h2>Discussion</h2>{BODY}</section>"
+    assert H.main_text(f"<article><h1>Title</h1>{BODY}{part}</article>") == "\n".join(
+        [WHOLE, "Discussion", *PARAGRAPHS])
+    readers = "<section id=discussion><div class=comment><p>No!</p></div><p>Yes</p></section>"
+    assert H.main_text(f"<article><h1>Title</h1>{BODY}{readers}</article>") == WHOLE
+
+
+def test_a_small_box_on_the_path_of_the_host_is_no_article():
+    html = f"<body><div class=box>ok</div><div class=other><h1>Title</h1>{BODY}</div></body>"
+    assert H.main_text(html, "body/div.box") == WHOLE
+    assert H.main_text(html, "body/div.none") == WHOLE
+    assert H.main_text(html, "body/div.other") == WHOLE
+
+
+def test_many_nested_and_sibling_wrappers():
+    deep = "<div class=widget>" * 400 + BODY + "</div>" * 400
+    assert H.main_text(f"<body>{deep}</body>") == "\n".join(PARAGRAPHS)
+    two = f"<body><div class=widget>{BODY}{BODY}</div><div class=widget>{BODY}</div></body>"
+    assert H.main_text(two) == "\n".join(PARAGRAPHS * 2)
+
+
 @pytest.mark.parametrize("html", [
     "<" * 200_000, "<a href='" * 50_000, "<div>" * 30_000 + "x", "<i>" * 30_000 + "</b>" * 30_000,
     "<p><b>" * 30_000 + "y", "<td>" * 30_000, "&" * 200_000, "<script>" * 30_000,
-    "<!--" * 50_000, "<li><i>" * 20_000, "<title>" * 30_000, "<div class='a b'><p>t" * 20_000])
+    "<!--" * 50_000, "<div class=widget><form>" * 15_000, "<form>a b c d e f g h</form>" * 15_000, "<li><i>" * 20_000, "<title>" * 30_000, "<div class='a b'><p>t" * 20_000])
 def test_time_is_linear_for_broken_pages(html):
     begin = time.process_time()
     H.main_text(html)
