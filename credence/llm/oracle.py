@@ -80,25 +80,29 @@ FROM p JOIN f ON p.html = f.html
 """
 
 CHAT = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
-        replace(coalesce(text, ''), '<|', '<\|') AS said, coalesce(text, '') AS raw,
-        floor(turn / 128)::BIGINT AS win FROM conversations),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, win ORDER BY turn NULLS FIRST, role, raw)
-        AS n FROM c),
-t AS (SELECT *, coalesce(win, -1) * 1048576 + (n - 1) // 128 AS part FROM r),
-s AS (SELECT DISTINCT conv_id, part, role AS speaker FROM t WHERE role <> 'system'),
-e AS (SELECT s.conv_id, s.part, speaker, n, role = speaker AS own,
+WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS raw
+        FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn NULLS FIRST, role, sha256(raw)) - 1 AS pos FROM c),
+ends AS (SELECT conv_id, max(pos) // 128 AS last FROM r GROUP BY conv_id),
+u AS (SELECT conv_id, pos // 128 AS part, pos, role, raw, false AS again FROM r
+    UNION ALL SELECT r.conv_id, unnest(range(1, last + 1)), pos, role, raw, true
+        FROM r JOIN ends ON r.conv_id IS NOT DISTINCT FROM ends.conv_id
+        WHERE pos < 128 AND role = 'system'),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM c WHERE role <> 'system'),
+e AS (SELECT s.conv_id, part, speaker, pos, again, role = speaker AS own,
         CASE WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
              WHEN role = speaker THEN '<|im_start|>assistant' || chr(10)
              ELSE '<|im_start|>user name=' || regexp_replace(replace(role, '<|', '<\|'),
                 '[\r\n]+', ' ', 'g') || chr(10) END AS head,
-        said || '<|im_end|>' || chr(10) AS body
-        FROM s JOIN t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.part = t.part),
+        replace(raw, '<|', '<\|') || '<|im_end|>' || chr(10) AS body
+        FROM s JOIN u ON s.conv_id IS NOT DISTINCT FROM u.conv_id),
 o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker
-        ORDER BY n)::BIGINT AS upto FROM e)
-SELECT conv_id, part::BIGINT AS part, speaker, count(*)::BIGINT AS n_turns,
-    (count(*) FILTER (own))::BIGINT AS n_own, string_agg(head || body, '' ORDER BY n) AS text,
-    coalesce(string_agg((upto - length(body))::VARCHAR || ':' || upto::VARCHAR, ',' ORDER BY n)
+        ORDER BY pos)::BIGINT AS upto FROM e)
+SELECT conv_id, part::BIGINT AS part, speaker, (count(*) FILTER (NOT again))::BIGINT AS n_turns,
+    (count(*) FILTER (again))::BIGINT AS n_repeated,
+    (count(*) FILTER (own))::BIGINT AS n_own, string_agg(head || body, '' ORDER BY pos) AS text,
+    coalesce(string_agg((upto - length(body))::VARCHAR || ':' || upto::VARCHAR, ',' ORDER BY pos)
         FILTER (own), '') AS mask
 FROM o GROUP BY conv_id, part, speaker
 """
