@@ -3,6 +3,7 @@
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
 _PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LETTER = r"[A-Za-z\x{80}-\x{10FFFF}]"
 _LEADS = " || ' ' || ".join(["w"] + [f"lead(w, {i}) OVER o" for i in range(1, 8)])
 
 QUALITY = rf"""
@@ -21,13 +22,20 @@ l AS (SELECT *, trim(regexp_replace(regexp_replace(translate(line, '{_UPPER}', '
             '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
         len(regexp_extract_all(line, '{_WORD}')) AS n FROM raw
         WHERE regexp_matches(line, '{_WORD}')),
+prose AS (SELECT * FROM l WHERE len(list_filter(regexp_extract_all(line, '{_WORD}'),
+            lambda w: regexp_matches(w, '{_LETTER}'))) >= 3
+        AND 5 * len(regexp_extract_all(line, '{_LETTER}'))
+            >= 3 * length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rid),
 hosts AS (SELECT source, count(DISTINCT (text, missing)) AS documents FROM d GROUP BY source),
-over AS (SELECT l.source, norm FROM l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-        GROUP BY l.source, norm, h.documents
-        HAVING count(DISTINCT (text, missing)) >= 20
-            AND count(DISTINCT (text, missing)) > 0.01::DOUBLE * h.documents),
-gone AS (SELECT rid, sum(n)::BIGINT AS n FROM l JOIN over o
+copies AS (SELECT DISTINCT source, norm, n, text, missing FROM prose),
+holders AS (SELECT source, norm, n, count(*) AS held FROM copies GROUP BY source, norm, n),
+often AS (SELECT norm FROM holders GROUP BY norm HAVING sum(held) >= 5
+        AND sum(held) > 0.01::DOUBLE * (SELECT sum(documents) FROM hosts)),
+over AS (SELECT h.source, norm FROM holders h JOIN hosts ON h.source IS NOT DISTINCT FROM hosts.source
+        WHERE held >= 5 AND held > 0.01::DOUBLE * documents OR n >= 8 AND held >= 100
+            OR norm IN (SELECT norm FROM often)),
+gone AS (SELECT rid, sum(n)::BIGINT AS n FROM prose l JOIN over o
         ON l.norm = o.norm AND l.source IS NOT DISTINCT FROM o.source GROUP BY rid),
 s AS (SELECT d.doc_id, len(words)::BIGINT AS n_words,
         length(array_to_string(words, ''))::BIGINT AS word_chars,

@@ -1,10 +1,19 @@
 """Quality rules with the frequency of lines across documents.
 
-Lines are normalised (ASCII lower case, runs of white space as one space, digits as 0) and
-hashed.  For every host the documents that hold a line are counted, copies of one text once.  A
-line is boilerplate if it is in at least `min_documents` documents and in more than
-`max_share` of the documents of its host.  Such lines are removed, and a document is depleted if
-more than `max_removed` of its words go with them.
+Lines of prose are normalised (ASCII lower case, runs of white space as one space, digits as 0)
+and hashed.  A line is prose if at least three of its words have a letter (A-Z, a-z or beyond
+ASCII) and three fifths of the characters of its words are letters; figures, brackets and most
+code are never boilerplate.  For every host, and over all hosts, the documents that hold a line
+are counted, copies of one text once.  A line is boilerplate
+
+* in a host where it is in more than `max_share` of the documents, and in `min_documents`;
+* in every host, if both hold for the documents of all hosts together;
+* in a host where it has at least `long_words` words and is in at least `long_documents`
+  documents: such lines do not recur by chance, however large the host is.
+
+The share is the same in small and large hosts; `min_documents` only keeps a single repeat in a
+host of a few documents from counting.  Boilerplate is removed, and a document is depleted if more
+than `max_removed` of its words go with it.
 
 Only narrow rows (host, text key, line hash, words) are shuffled.  They are made distinct before
 they are counted, so a text with a third of all rows counts once, and the count of a line or
@@ -30,6 +39,8 @@ _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _KEYS = ("doc_id", "text_key", "host")
 _SQL = ", ".join(f"{n} bigint" for n in _KEYS + _STATS) + \
     ", lines array<bigint>, line_words array<bigint>"
+_LETTERS = bytes(c for c in range(256) if c >= 0x80 or 65 <= c <= 90 or 97 <= c <= 122)
+_PROSE_WORDS = 3
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 
 
@@ -66,12 +77,22 @@ def text_stats(text: bytes) -> tuple[int, int, int, int, int]:
             len(lines) - len(set(lines)), repeated_words(words))
 
 
+def _prose(words: list[bytes]) -> bool:
+    """Whether the words of a line are prose: three with a letter, three fifths letters."""
+    if len(words) < _PROSE_WORDS:
+        return False
+    whole = b"".join(words).translate(None, _TAILS)
+    if 5 * (len(whole) - len(whole.translate(None, _LETTERS))) < 3 * len(whole):
+        return False
+    return sum(len(w.translate(None, _LETTERS)) < len(w) for w in words) >= _PROSE_WORDS
+
+
 def text_lines(text: bytes) -> list[tuple[int, int]]:
-    """Hash of the normalised form and number of words of every line that has a word."""
+    """Hash of the normalised form and number of words of every line of prose."""
     out = []
     for line in text.translate(_NORMAL).split(b"\n"):
         words = line.split()
-        if words:
+        if _prose(words):
             out.append((xxhash.xxh64_intdigest(b" ".join(words), 42), len(words)))
     return out
 
@@ -94,8 +115,8 @@ def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def quality(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             host_column: str = "source", min_words: int = 20, max_repeat_percent: int = 30,
-            min_documents: int = 20, max_share: float = 0.01, max_removed: float = 0.5
-            ) -> DataFrame:
+            min_documents: int = 5, max_share: float = 0.01, long_words: int = 8,
+            long_documents: int = 100, max_removed: float = 0.5) -> DataFrame:
     """One row per row: doc_id, text_key, host, the base statistics, n_removed_words,
     removed_lines (hashes), base_failed, kept.
 
@@ -111,13 +132,24 @@ def quality(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                                                  F.any_value("line_words").alias("words"))
     lines = texts.select("host", "text_key", F.explode(F.arrays_zip("lines", "words"))
                          .alias("l")).select("host", "text_key", "l.lines", "l.words")
-    often = (rows.select("host", "text_key", F.explode("lines").alias("lines")).distinct()
-             .groupBy("host", "lines").agg(F.count("*").alias("n"))
-             .where(F.col("n") >= min_documents))
-    documents = rows.select("host", "text_key").distinct().groupBy("host").agg(
-        F.count("*").alias("documents"))
-    over = stored(often.join(documents, "host").where(F.col("n") > max_share * F.col("documents"))
-                  .select("host", "lines"), "boilerplate", n)
+    documents = stored(rows.select("host", "text_key").distinct().groupBy("host").agg(
+        F.count("*").alias("documents")), "host-documents", n)
+    in_all = documents.agg(F.sum("documents")).first()[0] or 0
+    share = F.col("n") > max_share * F.col("documents")
+    long = (F.col("words") >= long_words) & (F.col("n") >= long_documents)
+    counted = stored(join_checked(
+        lines.distinct().groupBy("host", "lines", "words").agg(F.count("*").alias("n")),
+        documents, ["host"], "inner").where(share | long), "line-counts", n)
+    of_host = counted.where(share & (F.col("n") >= min_documents) | long)
+    # A line with that share of all documents has it in one host at least.
+    seen = stored(counted.where(share).select("lines").distinct(), "line-candidates", n)
+    spread = join_checked(lines, seen, ["lines"], "left_semi").select(
+        "host", "text_key", "lines").distinct()
+    common = spread.groupBy("lines").agg(F.count("*").alias("n")).where(
+        (F.col("n") >= min_documents) & (F.col("n") > max_share * in_all)).select("lines")
+    of_all = spread.select("host", "lines").distinct().join(common, "lines")
+    over = stored(of_host.select("host", "lines").union(of_all.select("host", "lines"))
+                  .distinct(), "boilerplate", n)
     removed = stored(join_checked(lines, over, ["host", "lines"], "inner")
                      .groupBy("host", "text_key").agg(
                          F.sum("words").alias("n_removed_words"),

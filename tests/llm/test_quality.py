@@ -24,21 +24,35 @@ def plain_normal(line):
     return " ".join(re.findall(WORD, line))
 
 
-def plain_quality(rows, least, share, most):
+def plain_prose(line):
+    words = re.findall(WORD, line)
+    letter = lambda c: "a" <= c <= "z" or "A" <= c <= "Z" or ord(c) >= 128
+    chars = "".join(words)
+    return (sum(any(map(letter, w)) for w in words) >= 3
+            and 5 * sum(map(letter, chars)) >= 3 * len(chars))
+
+
+def plain_quality(rows, least, share, most, long_words=8, long_documents=100):
     documents = defaultdict(set)
     holders = defaultdict(set)
     for _, text, host, *_ in rows:
         documents[host].add(text)
         for line in (text or "").split("\n"):
-            if plain_normal(line):
+            if plain_prose(line):
                 holders[host, plain_normal(line)].add(text)
-    over = {k for k, v in holders.items() if len(v) >= least
-            and len(v) > share * len(documents[k[0]])}
+    in_all = sum(map(len, documents.values()))
+    of_all = Counter()
+    for (_, line), held in holders.items():
+        of_all[line] += len(held)
+    over = {k for k, v in holders.items()
+            if len(v) >= least and len(v) > share * len(documents[k[0]])
+            or len(v) >= long_documents and len(k[1].split(" ")) >= long_words
+            or of_all[k[1]] >= least and of_all[k[1]] > share * in_all}
     out = []
     for doc, text, host, *_ in rows:
         stats = plain_stats(text or "")
         gone = sum(len(plain_normal(line).split(" ")) for line in (text or "").split("\n")
-                   if (host, plain_normal(line)) in over)
+                   if plain_prose(line) and (host, plain_normal(line)) in over)
         failed = stats[0] < 20 or 100 * stats[4] > 30 * stats[0]
         out.append((doc, *stats, gone, failed, not failed and gone <= most * stats[0]))
     return sorted(out, key=str), over
@@ -73,9 +87,9 @@ def test_statistics_equal_the_definition():
 
 def test_verdicts_equal_brute_force(spark):
     rows = table()
-    expected, over = plain_quality(rows, 5, 0.1, 0.5)
+    expected, over = plain_quality(rows, 5, 0.1, 0.5, 9, 6)
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    got = Q.quality(df, min_documents=5, max_share=0.1).select(
+    got = Q.quality(df, min_documents=5, max_share=0.1, long_words=9, long_documents=6).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "n_removed_words", "base_failed", "kept")
     assert sorted(map(tuple, got.collect()), key=str) == expected
@@ -94,9 +108,69 @@ def test_clean_removes_lines_and_keeps_columns(spark):
     assert Counter(str(r.doc_id) for r in out) == kept
     for r in out:
         assert r.n_chars == len(r.text)
-        assert not any((r.source, plain_normal(x)) in over for x in r.text.split("\n"))
+        assert not any(plain_prose(x) and (r.source, plain_normal(x)) in over
+                       for x in r.text.split("\n"))
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert Q.quality(df).count() == 0 and Q.clean(df).count() == 0
+
+
+def removed(spark, texts):
+    """Number of texts that lose words, with production parameters."""
+    rows = [(i, t, h) for i, (h, t) in enumerate(texts)]
+    out = Q.quality(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    return out.where("n_removed_words > 0").count()
+
+
+def own(i, n=6):
+    rng = random.Random(i)
+    return "\n".join(" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(9))
+                     for _ in range(n))
+
+
+def test_the_same_rate_has_the_same_verdict_in_small_large_and_hot_hosts(spark):
+    """One page in ten has the line, then one in a thousand of a host with 120 000 pages."""
+    short, long = "Read more here", "This passage of the site has a good many words in it"
+    for size in (150, 1500):
+        texts = [("h", own(i) + f"\n{short}" * (i % 10 == 0)) for i in range(size)]
+        others = [("g", own(size + i)) for i in range(size)]
+        assert removed(spark, texts + others) == size // 10
+    texts = [("hot", own(i, 1) + f"\n{long}" * (i % 1000 == 0)
+              + f"\n{short}" * (i % 1000 == 1)) for i in range(120_000)]
+    assert removed(spark, texts) == 120
+
+
+def test_many_small_hosts_are_counted_together(spark):
+    texts = [(f"h{i}", own(i) + "\nall rights are reserved here" * (i % 10 == 0))
+             for i in range(100)]
+    assert removed(spark, texts) == 10
+    assert removed(spark, texts[:31]) == 0      # four documents are too few
+
+
+def test_figures_and_code_are_no_boilerplate(spark):
+    figures = [("h", own(i) + f"\n{1000 + i} {10 + i / 10}\n}}\nint f() {{\n"
+                "for (int i = 0; i < n; i++) {\nRow 12 3.50 7.25 8.00") for i in range(300)]
+    assert removed(spark, figures) == 0
+    texts = [("h", own(i) + f"\nPosted by admin on {i}.") for i in range(300)]
+    assert removed(spark, texts) == 300         # digits are one in lines of words
+
+
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    from credence.llm.oracle import QUALITY
+    rows = [r[:3] for r in table()[:190]] + [
+        (1000 + i, own(i) + "\nThis passage has eight words or more\n12 34 ab", f"h{i % 40}")
+        for i in range(200)] + [
+        (2000 + i, own(i) + "\nA sentence that one host has over and over", "h0")
+        for i in range(110)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Q.quality(df)
+    db = duckdb.connect()
+    db.register("documents", df.toArrow())
+    want = db.sql(QUALITY)
+    assert want.filter("n_removed_words > 0").shape[0] > 100
+    got = got.select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
