@@ -102,7 +102,7 @@ def test_run_returns_the_sequences(spark, folder):
 
 def test_names():
     assert len(corpus_pipeline.STAGES) == 5
-    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 14))
 
 
 def test_empty_documents(spark, folder, tmp_path):
