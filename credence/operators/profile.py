@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from credence.functions.numeric import sentinel_to_null
 from credence.functions.text import sql_text
-from credence.operators.ordered import running_total
 from credence.session import fresh_path
 
 # --- missing values, keys ---------------------------------------------------------------------
@@ -114,41 +114,129 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
         "bin", "low", "high", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
+_DIGIT = 16     # bits of the sort key that one pass over the rows settles
+_TALLY = "field int, bucket bigint, n bigint, low double, high double"
+
+
+def _buckets(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Buckets with their counts, smallest and largest values, each bucket once."""
+    bucket, n, low, high = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(bucket, kind="stable")
+    bucket, first = np.unique(bucket[order], return_index=True)
+    return (bucket, np.add.reduceat(n[order], first), np.minimum.reduceat(low[order], first),
+            np.maximum.reduceat(high[order], first))
+
+
+def _tally(shift: int, wanted: list[np.ndarray] | None):
+    """Counts of the values by the upper bits of their sort key, column after column.
+
+    The key of a double is its 64 bits with those below the sign turned for negative numbers: keys
+    sort as the numbers do.  `wanted` restricts a column to buckets of the pass before.  A task
+    keeps at most 2 ** _DIGIT buckets of each wanted one.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for batch in batches:
+            for c, column in enumerate(batch.columns):
+                values = column.to_numpy(zero_copy_only=False)
+                values = np.sort(values[~np.isnan(values)]) + 0.0       # one zero only
+                bits = values.view(np.int64)
+                keys = bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+                if wanted is not None:
+                    inside = np.isin(keys >> (shift + _DIGIT), wanted[c])
+                    keys, values = keys[inside], values[inside]
+                if not len(keys):
+                    continue
+                bucket, first, n = np.unique(keys >> shift, return_index=True, return_counts=True)
+                parts = held.setdefault(c, [])
+                parts.append((bucket, n.astype(np.int64), values[first], values[first + n - 1]))
+                if len(parts) == 64:
+                    held[c] = [_buckets(parts)]
+        for c, parts in held.items():
+            bucket, n, low, high = _buckets(parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(bucket), c, np.int32)), pa.array(bucket), pa.array(n),
+                 pa.array(low), pa.array(high)], names=["field", "bucket", "n", "low", "high"])
+    return run
+
+
+def _selected(df: DataFrame, columns: list[str], probabilities: list[float]
+              ) -> list[tuple[str, float, float]]:
+    """Exact quantiles by selection: which bucket holds a wanted position, then what is in it."""
+    numbers = df.select(*[known(c).alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def counts(shift: int, wanted: list[np.ndarray] | None) -> DataFrame:
+        return numbers.mapInArrow(_tally(shift, wanted), _TALLY).groupBy("field", "bucket").agg(
+            F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+    def positions(tally: DataFrame, group: list, base: Column, ranks: Column) -> list:
+        """The buckets that hold the ranks; a group has at most 2 ** _DIGIT buckets."""
+        whole = Window.partitionBy(*group)
+        upto = F.sum("n").over(whole.orderBy("bucket")) + base
+        return (tally.withColumn("total", F.sum("n").over(whole)).withColumn("upto", upto)
+                .withColumn("rank", F.explode(ranks))
+                .where((F.col("upto") - F.col("n") <= F.col("rank")) & (
+                    F.col("rank") < F.col("upto"))).drop("n").collect())
+
+    at = [float(p) * (F.col("total") - 1) for p in probabilities]
+    shift = 64 - _DIGIT
+    found = positions(counts(shift, None), ["field"], F.lit(0),
+                      F.array_distinct(F.array(*[f(x).cast("bigint") for x in at
+                                                 for f in (F.floor, F.ceil)])))
+    totals = {r.field: r.total for r in found}
+    value: dict[tuple[int, int], float] = {}
+    while True:
+        value |= {(r.field, r.rank): r.low for r in found if r.low == r.high}
+        # One row per wanted position: columns times probabilities, twice at most.
+        open_ = [r for r in found if r.low != r.high]
+        if not open_:
+            break
+        ranks: dict[tuple[int, int], list[int]] = {}
+        for r in open_:
+            ranks.setdefault((r.field, r.bucket), []).append(r.rank)
+        ends = {(r.field, r.bucket): r.upto for r in open_}     # values up to the bucket's end
+        shift -= _DIGIT
+        wanted = [np.array([b for f, b in ranks if f == c], np.int64)
+                  for c in range(len(columns))]
+        tally = counts(shift, wanted).withColumn("prefix", F.shiftright("bucket", _DIGIT))
+        known_ = df.sparkSession.createDataFrame(
+            [(f, b, ends[f, b], ranks[f, b]) for f, b in ranks],
+            "field int, prefix bigint, ends bigint, ranks array<bigint>")
+        found = positions(
+            tally.join(F.broadcast(known_), ["field", "prefix"]), ["field", "prefix"],
+            F.col("ends") - F.sum("n").over(Window.partitionBy("field", "prefix")),
+            F.col("ranks"))
+    out = []
+    for c, total in totals.items():
+        for p in probabilities:
+            place = float(p) * (total - 1)
+            a, b = value[c, math.floor(place)], value[c, math.ceil(place)]
+            out.append((columns[c], float(p), a + (b - a) * (place - math.floor(place))))
+    return out
+
+
 def quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
               exact: bool = True) -> DataFrame:
     """(field, probability, value) with linear interpolation between neighbouring values.
 
-    The exact form counts equal values first, sorts the distinct values in range slices and
-    looks up the wanted positions; no task holds all values of a column.  `exact=False` uses
-    sketches of bounded size.
+    The exact form selects instead of sorting: tasks count the values of all columns by the upper
+    16 bits of their sort key, the buckets with a wanted position are counted by the next 16 bits,
+    and so on until a bucket has one value.  That takes two or three passes over the rows as a
+    rule, four at most, run while the DataFrame is built; only bucket counts are shuffled.
+    `exact=False` uses sketches of bounded size.  A column without values has no rows.
     """
+    if exact:
+        return df.sparkSession.createDataFrame(
+            _selected(df, columns, probabilities), "field string, probability double, value double")
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("field"), known(c).alias("v"))
         for c in columns])).alias("x")).select("x.*").filter("v is not null")
-    if not exact:
-        sketch = F.percentile_approx("v", probabilities, 10000)
-        pairs = F.arrays_zip(F.array(*[F.lit(p) for p in probabilities]).alias("probability"),
-                             F.col("q").alias("value"))
-        return (long.groupBy("field").agg(sketch.alias("q"))
-                .select("field", F.explode(pairs).alias("p"))
-                .select("field", "p.probability", "p.value"))
-    counts = long.groupBy("field", "v").agg(F.count("*").alias("n"))
-    placed = running_total(counts, "n", F.asc("field"), F.asc("v"), name="before")
-    # One row per column: first position and number of its values.
-    sizes = placed.groupBy("field").agg(F.min("before").alias("start"), F.sum("n").alias("total"))
-    wanted = sizes.select("field", "start", F.explode(F.array(*[
-        F.struct(F.lit(float(p)).alias("probability"),
-                 (F.lit(float(p)) * (F.col("total") - 1)).alias("at"))
-        for p in probabilities])).alias("w")).select("field", "start", "w.*")
-    hits = placed.join(F.broadcast(wanted), "field").withColumn(
-        "rank", F.col("before") - F.col("start"))
-    holds = lambda p: (F.col("rank") <= p) & (p < F.col("rank") + F.col("n"))
-    lower, upper = F.floor("at"), F.ceil("at")
-    ends = hits.filter(holds(lower) | holds(upper)).groupBy("field", "probability", "at").agg(
-        F.max(F.when(holds(lower), F.col("v"))).alias("a"),
-        F.max(F.when(holds(upper), F.col("v"))).alias("b"))
-    return ends.select("field", "probability", (
-        F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))
+    sketch = F.percentile_approx("v", probabilities, 10000)
+    pairs = F.arrays_zip(F.array(*[F.lit(p) for p in probabilities]).alias("probability"),
+                         F.col("q").alias("value"))
+    return (long.groupBy("field").agg(sketch.alias("q"))
+            .select("field", F.explode(pairs).alias("p"))
+            .select("field", "p.probability", "p.value"))
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -103,6 +103,51 @@ def test_quantiles(skewed, exact):
                                         abs=1e-12 if exact else 1.0)
 
 
+def test_quantiles_select_any_doubles(spark):
+    """Signs, zeros, infinities, numbers that differ in the last bit, columns with few values."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    near = np.full(n, 1.5).view(np.int64) + rng.integers(0, 400, n)
+    frame = pd.DataFrame({
+        "wide": rng.normal(size=n) * 10.0 ** rng.integers(-300, 300, n),
+        "near": near.view(np.float64), "zero": rng.choice([0.0, -0.0, -1e-320, 1e-320], n),
+        "ends": rng.choice([-np.inf, -1.0, 2.0], n), "one": np.where(np.arange(n) == 5, 7.25, np.nan),
+        "none": np.full(n, np.nan), "same": np.full(n, -3.0)})
+    df = spark.createDataFrame(frame).withColumn(
+        "one", F.when(~F.isnan("one"), F.col("one"))).repartition(5)
+    chances = [0.0, 0.1, 0.333, 0.5, 0.999, 1.0]
+    got = {(r.field, r.probability): r.value
+           for r in P.quantiles(df, list(frame.columns), chances).collect()}
+    assert {f for f, _ in got} == set(frame.columns) - {"none"}
+    for (field, p), value in got.items():
+        values = np.sort(frame[field].dropna().to_numpy())
+        at = p * (len(values) - 1)
+        a, b = values[int(np.floor(at))], values[int(np.ceil(at))]
+        with np.errstate(invalid="ignore"):
+            want = a + (b - a) * (at - np.floor(at))
+        assert value == want or np.isnan(value) and np.isnan(want), (field, p)
+
+
+def test_quantiles_sort_no_rows(spark, monkeypatch):
+    """The rows are read and counted; only bucket counts are shuffled, and no row is multiplied."""
+    plans = []
+    kept = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: (
+        plans.append(self._jdf.queryExecution().executedPlan().toString()), kept(self))[1])
+    df = spark.range(50_000).selectExpr("cast(id % 997 as double) as a", "id * 0.37 as b")
+    rows = P.quantiles(df, ["a", "b"], [0.5, 0.99])
+    assert 1 <= len(plans) <= 4
+    for plan in plans:
+        assert "rangepartitioning" not in plan and plan.count("MapInArrow") == 1
+        # What is broadcast is one row per wanted bucket.
+        below = plan[plan.index("MapInArrow"):].replace("BroadcastExchange", "")
+        assert "Exchange" not in below and "Generate" not in below
+    assert {(r.field, r.probability): r.value for r in kept(rows)}["a", 0.5] == np.quantile(
+        np.arange(50_000) % 997, 0.5)
+    empty = P.quantiles(df.limit(0), ["a"], [0.5])
+    assert kept(empty) == []
+
+
 def test_describe_ignores_nulls(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (None,), (100.0,)], "x double")
     row = P.describe(df, ["x"]).head()
