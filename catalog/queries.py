@@ -338,7 +338,8 @@ def _assessments(spark: SparkSession, sf: str) -> DataFrame:
 def anti_membership(spark: SparkSession, sf: str) -> DataFrame:
     experts = P.entries(cand(spark, sf), "skills").filter(
         "proficiency = 'expert' and endorsements < 1")
-    return (experts.join(_assessments(spark, sf), ["candidate_id", "name"], "left_anti")
+    tested = _assessments(spark, sf).hint("merge")      # as in `lookup_default`
+    return (experts.join(tested, ["candidate_id", "name"], "left_anti")
             .select("candidate_id", whole("pos").alias("pos"), "name"))
 
 
@@ -346,7 +347,8 @@ def anti_membership(spark: SparkSession, sf: str) -> DataFrame:
 def lookup_default(spark: SparkSession, sf: str) -> DataFrame:
     last = (P.entries(cand(spark, sf), "skills").groupBy("candidate_id", "name")
             .agg(F.max_by("endorsements", "pos").alias("endorsements")))
-    return (_assessments(spark, sf).join(last, ["candidate_id", "name"], "left")
+    # The size that Spark reckons for exploded entries is that of the orders: never broadcast.
+    return (_assessments(spark, sf).join(last.hint("merge"), ["candidate_id", "name"], "left")
             .select("candidate_id", "name", r6("score").alias("score"),
                     F.coalesce("endorsements", F.lit(0)).cast("bigint").alias("endorsements")))
 

@@ -27,3 +27,9 @@ def test_entry(spark):
     rows = entry.entry(spark)
     assert rows.columns == ["candidate_id", "rank", "score", "reasoning"]
     assert rows.count() == 100
+
+
+@pytest.mark.parametrize("name", ["lookup_default", "anti_membership"])
+def test_exploded_entries_are_not_broadcast(spark, name):
+    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
