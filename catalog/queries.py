@@ -18,7 +18,7 @@ from credence.plans import audit, rank_records
 from credence.session import fresh_path
 from credence.sources import documents as D, sinks
 from credence.sources.csv_cells import read_csv_cells
-from credence.sources.tables import read_table, spread
+from credence.sources.tables import parts_for, read_table, spread
 from credence.streaming import scoring as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,7 +85,11 @@ def json_props_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 def _damaged(spark: SparkSession, sf: str) -> DataFrame:
     """The documents with some of them cut short, without an id, or with a bad number."""
-    lines = view.as_json(view.load(spark, sf, raw=True)).withColumn(
+    return _with_damage(view.as_json(view.load(spark, sf, raw=True)))
+
+
+def _with_damage(lines: DataFrame) -> DataFrame:
+    lines = lines.withColumn(
         "k", F.regexp_extract("value", r'"candidate_id":"[A-Z]+_([0-9]+)"', 1).cast("bigint"))
     k = F.col("k")
     value = (F.when(k % 97 == 6, F.substring("value", 1, 60))
@@ -130,15 +134,16 @@ def mixed_layout_rejects(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def json_array_records(spark: SparkSession, sf: str) -> DataFrame:
     """Lists of up to 4 000 documents in two layouts, each with an element that is none."""
-    raw = view.load(spark, sf, raw=True)
-    lines = view.as_json(raw.filter(_number() % 2 == 0)).unionByName(
-        view.as_json(raw.filter(_number() % 2 == 1), "platform_signals"))
+    orders = view.orders(spark, sf).withColumn("bucket", F.floor(F.col("o_orderkey") / 4000))
+    # The narrow orders are dealt to the lists, so that no document is shuffled.
+    raw = view.records(orders.repartition(parts_for(orders), "bucket"), raw=True,
+                       keep=("bucket",))
+    lines = raw.select("bucket", F.when(_number() % 2 == 0, view.document(raw)).otherwise(
+        view.document(raw, "platform_signals")).alias("value"))
     folder = fresh_path(spark, "lists")
-    bucket = F.floor(F.regexp_extract("value", '"candidate_id":"[A-Z]+_([0-9]+)"', 1)
-                     .cast("bigint") / 4000).alias("bucket")
-    (lines.groupBy(bucket).agg(F.array_join(F.collect_list("value"), ",\n").alias("l"))
+    (lines.groupBy("bucket").agg(F.array_join(F.collect_list("value"), ",\n").alias("l"))
      .select("bucket", F.concat(F.lit('["oops",\n'), "l", F.lit("]")).alias("value"))
-     .write.partitionBy("bucket").text(folder))
+     .write.partitionBy("bucket").option("compression", "gzip").text(folder))
     records = D.read_json_array(spark, folder, ("signals", "platform_signals"))
     return records.select("candidate_id", whole("signals.connection_count").alias("connections"),
                           whole(F.size("skills")).alias("n_skills"))
@@ -148,7 +153,7 @@ def json_array_records(spark: SparkSession, sf: str) -> DataFrame:
 def read_limit(spark: SparkSession, sf: str) -> DataFrame:
     """The sampling form of the reader: which rows it takes is open, how many is not."""
     folder = fresh_path(spark, "lines")
-    view.as_json(view.load(spark, sf, raw=True)).write.text(folder)
+    view.as_json(view.load(spark, sf, raw=True)).write.option("compression", "gzip").text(folder)
     some = D.read_records(spark, folder, "signals", limit=100)
     return some.agg(F.count("*").alias("n"), F.count_distinct("candidate_id").alias("n_ids"))
 
@@ -955,12 +960,18 @@ def running_total(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams ------------------------------------------------------------------------------------
 
 def _order_stream(spark: SparkSession, sf: str, parts: int = 5) -> DataFrame:
-    """All orders as files that arrive one after another: a micro-batch each."""
-    orders = read_table(spark, sf, "orders")
+    """All orders as files that arrive one after another, in `parts` micro-batches.  A file is one
+    task of its batch, so a batch is many files."""
     folder = fresh_path(spark, "arriving")
-    orders.repartition(parts, "o_orderkey").write.parquet(folder)
-    return view.records(spark.readStream.schema(orders.schema).format("parquet")
-                        .option("maxFilesPerTrigger", 1).load(folder))
+    orders = view.orders(spark, sf)
+    files = parts_for(orders)
+    orders.repartition(parts * files, "o_orderkey").write.parquet(folder)
+    return view.records(_arriving(spark, folder, orders, files))
+
+
+def _arriving(spark: SparkSession, folder: str, like: DataFrame, files: int) -> DataFrame:
+    return (spark.readStream.schema(like.schema).format("parquet")
+            .option("maxFilesPerTrigger", files).load(folder))
 
 
 @register
@@ -987,16 +998,21 @@ def stream_topk_updates(spark: SparkSession, sf: str) -> DataFrame:
     out of the list, others move up."""
     target = fresh_path(spark, "stream-updates")
     folder = fresh_path(spark, "arriving")
-    records = cand(spark, sf)
-    again = records.filter(F.regexp_extract("candidate_id", "([0-9]+)$", 1).cast("bigint") % 10
-                           == 3).withColumn("signals", F.col("signals").withField(
-                               "open_to_work_flag", F.lit(False)).withField(
-                               "recruiter_response_rate", F.lit(0.0)))
-    records.repartition(4, "candidate_id").write.parquet(f"{folder}")
-    arriving = lambda: (spark.readStream.schema(records.schema).format("parquet")
-                        .option("maxFilesPerTrigger", 1).load(folder))
+    orders = view.orders(spark, sf).withColumn("again", F.lit(False))
+    files = parts_for(orders)
+
+    def arriving() -> DataFrame:
+        records = view.records(_arriving(spark, folder, orders, files), keep=("again",))
+        signals = lambda name, value: F.when(F.col("again"), F.lit(value)).otherwise(
+            F.col("signals")[name])
+        return records.withColumn("signals", F.col("signals").withField(
+            "open_to_work_flag", signals("open_to_work_flag", False)).withField(
+            "recruiter_response_rate", signals("recruiter_response_rate", 0.0))).drop("again")
+
+    orders.repartition(4 * files, "o_orderkey").write.parquet(folder)
     stream.topk_stream(arriving(), f"{target}/scores", f"{target}/state").awaitTermination()
-    again.write.mode("append").parquet(folder)
+    (orders.filter("o_orderkey % 10 = 3").withColumn("again", F.lit(True))
+     .repartition(files, "o_orderkey").write.mode("append").parquet(folder))
     stream.topk_stream(arriving(), f"{target}/scores", f"{target}/state").awaitTermination()
     top = stream.current_topk(spark, f"{target}/scores")
     return top.select("candidate_id", r6("final_score").alias("final_score"))
@@ -1015,8 +1031,12 @@ def stream_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     """Running totals of the damaged documents, in five micro-batches."""
     target = fresh_path(spark, "stream-arrivals")
     folder = fresh_path(spark, "arriving")
-    _damaged(spark, sf).repartition(5).write.text(folder)
-    lines = D.read_line_stream(spark, folder, files_per_batch=1)
+    # The narrow orders are dealt to the files, not the documents.
+    orders = view.orders(spark, sf)
+    files = 5 * parts_for(orders)
+    _with_damage(view.as_json(view.records(orders.repartition(files, "o_orderkey"), raw=True))) \
+        .write.option("compression", "gzip").text(folder)
+    lines = D.read_line_stream(spark, folder, files_per_batch=files // 5)
     stream.arrival_stream(D.parse_lines(lines), f"{target}/counts",
                           f"{target}/state").awaitTermination()
     return stream.last_counts(spark, f"{target}/counts")

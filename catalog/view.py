@@ -59,8 +59,9 @@ def padded_id(k: Column, prefix: str = "CAND_") -> Column:
                     .otherwise(digits))
 
 
-def records(orders: DataFrame, raw: bool = False) -> DataFrame:
-    """Typed records.  `raw` keeps a notice period of 0, as before the contract's defaults."""
+def records(orders: DataFrame, raw: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed records.  `raw` keeps a notice period of 0, as before the contract's defaults; `keep`
+    names columns of the orders that ride along."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     day = F.col("o_orderdate").cast("date")
     shift = lambda d, n: F.date_add(d, n.cast("int")).cast("string")
@@ -125,7 +126,7 @@ def records(orders: DataFrame, raw: bool = False) -> DataFrame:
     open_to_work = k % 3 == 1
 
     staged = orders.select("o_orderkey", "o_custkey", "o_totalprice", jobs.alias("jobs"),
-                           F.col("o_orderdate"))
+                           F.col("o_orderdate"), *keep)
     current = F.get(F.filter("jobs", lambda j: j["is_current"]), F.lit(0))
     title = F.when((k % 11 == 0) | current.isNull(), _pick(TITLES, k)).otherwise(current["title"])
     profile = {
@@ -183,7 +184,7 @@ def records(orders: DataFrame, raw: bool = False) -> DataFrame:
             F.lit("Cloud").alias("name"), F.lit("Org").alias("issuer"),
             (2015 + k % 8).alias("year"))).alias("certifications"),
         empty("array<struct<language: string, proficiency: string>>").alias("languages"),
-        F.struct(*[whole(n, v).alias(n) for n, v in signals.items()]).alias("signals"))
+        F.struct(*[whole(n, v).alias(n) for n, v in signals.items()]).alias("signals"), *keep)
 
 
 _WHOLE = {"profile_views_received_30d", "applications_submitted_30d", "connection_count",
@@ -191,19 +192,27 @@ _WHOLE = {"profile_views_received_30d", "applications_submitted_30d", "connectio
           "saved_by_recruiters_30d"}
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `records` needs of the orders."""
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey",
+                                                      "o_totalprice", "o_orderdate")
+
+
 def load(spark: SparkSession, sf_dir: str, raw: bool = False) -> DataFrame:
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey",
-                                                        "o_totalprice", "o_orderdate")
-    return records(spread(orders), raw)
+    return records(spread(orders(spark, sf_dir)), raw)
 
 
 def as_json(typed: DataFrame, signals_key: str = "signals") -> DataFrame:
     """Records as JSON documents in the input layout: one `value` per record."""
+    return typed.select(document(typed, signals_key).alias("value"))
+
+
+def document(typed: DataFrame, signals_key: str = "signals") -> Column:
     salary = F.struct(F.col("signals.expected_salary.min_lpa").alias("min"),
                       F.col("signals.expected_salary.max_lpa").alias("max"))
     names = [f for f in typed.schema["signals"].dataType.fieldNames() if f != "expected_salary"]
-    return typed.select(F.to_json(F.struct(
+    return F.to_json(F.struct(
         "candidate_id", "profile", "career_history", "education", "skills", "certifications",
         "languages",
         F.struct(*[F.col(f"signals.{n}") for n in names],
-                 salary.alias("expected_salary_range_inr_lpa")).alias(signals_key))).alias("value"))
+                 salary.alias("expected_salary_range_inr_lpa")).alias(signals_key)))

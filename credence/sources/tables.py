@@ -9,10 +9,19 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a narrow input that arrives in fewer splits than there are cores.
+#: Rows of a task that does much for each: a task stays short however large the table is.
+ROWS_PER_TASK = 100_000
+
+
+def parts_for(df: DataFrame, rows: int = ROWS_PER_TASK) -> int:
+    """Partitions for work on a stored table: one for each core, and one for `rows` rows."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+def spread(df: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """Use all cores, in tasks of bounded size, for a narrow input that arrives in fewer splits.
 
     A table of many files already has more splits and is left as it is: no shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = parts_for(df, rows)
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df

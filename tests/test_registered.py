@@ -1,8 +1,14 @@
 """A fast part of the comparison with SQL; `oracle_check.py` runs all of it."""
 
+import glob
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from catalog import queries, view
+from credence.sources.tables import spread
 from oracle_check import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -33,3 +39,44 @@ def test_entry(spark):
 def test_exploded_entries_are_not_broadcast(spark, name):
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def _sizes(folder, pattern):
+    return sorted(os.path.getsize(p) for p in glob.glob(f"{folder}/{pattern}", recursive=True))
+
+
+def test_documents_are_written_compressed_and_not_shuffled(spark, tmp_path, monkeypatch):
+    """Lists and lines of a run take less than half of their bytes as plain text."""
+    folders = {}
+    monkeypatch.setattr(queries, "fresh_path", lambda _, label: folders.setdefault(
+        label, str(tmp_path / label)))
+    plain = view.as_json(view.load(spark, FOLDER, raw=True)).agg(
+        F.sum(F.octet_length("value"))).first()[0]
+    for name, label in (("json_array_records", "lists"), ("stream_arrivals", "arriving"),
+                        ("read_limit", "lines")):
+        assert entry.queries()[name](spark, FOLDER).count() > 0
+        assert 0 < sum(_sizes(folders[label], "**/part-*")) < plain / 2, name
+
+
+def test_a_micro_batch_is_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "fresh_path", lambda _, label: str(tmp_path / label))
+    for name in ("stream_quality", "stream_topk_updates"):
+        folder = tmp_path / name
+        monkeypatch.setattr(queries, "fresh_path", lambda _, label: str(folder / label))
+        entry.queries()[name](spark, FOLDER)
+        parts = 5
+        files = _sizes(folder / "arriving", "part-*")
+        assert len(files) == parts * spark.sparkContext.defaultParallelism
+
+
+def test_tasks_stay_short_on_larger_tables(spark):
+    assert spread(spark.range(1000), rows=100).rdd.getNumPartitions() == 10
+    assert spread(spark.range(10), rows=100).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("name", [
+    "json_array_records", "stream_arrivals", "stream_topk_updates", "stream_score", "stream_topk",
+    "stream_quality", "read_limit", "load_stats"])
+def test_rewritten_input_equals_sql(spark, name):
+    assert compare(spark, connect(FOLDER), entry.queries()[name], entry.oracle_sql()[name],
+                   FOLDER) == []
