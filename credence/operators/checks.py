@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from credence.functions.coerce import number_or_null, strip
 from credence.operators.ordered import ranked, with_next
-from credence.session import fresh_path
+from credence.session import fresh_path, kept
 from credence.settings import ID_PATTERN, RANKED_COLUMNS
 
 _EMPTY = "check string, place bigint, detail string"
@@ -26,6 +26,7 @@ def check_table(df: DataFrame, expected_rows: int = 100,
     if tuple(df.columns) != tuple(columns):
         return spark.createDataFrame(
             [("columns", None, f"Columns are {df.columns}, expected {list(columns)}.")], _EMPTY)
+    df = kept(df, "checked")        # counted, sampled and sorted: made once
     ids, rank, score, text = [F.col(c) for c in columns]
     totals = df.agg(
         F.count("*").alias("n"), F.count_distinct(ids).alias("n_ids"),

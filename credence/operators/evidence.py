@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from credence.functions import text as T
+from credence.session import kept
 from credence.settings import EVIDENCE_KEYWORDS
 
 AUDITED_DOMAINS = ("retrieval", "ranking", "recommendation", "search", "evaluation",
@@ -55,6 +56,7 @@ def deep_audit(ranked: DataFrame, top: int = 50, snippets: int = 5) -> DataFrame
 
     Snippets are in text order; the number per record is bounded by its own text.
     """
+    ranked = kept(ranked, "audited")        # read twice: made once
     found = (evidence_audit(ranked, top).groupBy("candidate_id")
              .agg(F.array_join(F.slice(F.array_sort(F.collect_set("source_text_snippet")), 1,
                                        snippets), " || ").alias("top_career_snippets")))

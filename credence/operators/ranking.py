@@ -8,6 +8,7 @@ from credence.functions.numeric import round_exact
 from credence.operators.objectives import top_k_by_weights
 from credence.operators.ordered import ranked
 from credence.operators.scoring import COMPONENTS
+from credence.session import kept
 from credence.settings import SCENARIOS, ScoreWeights
 
 SCORE_DIGITS = 4
@@ -128,7 +129,8 @@ def ablation(scored: DataFrame, k: int = 100, key: str = "candidate_id") -> Data
 def fell_out(scored: DataFrame, k: int = 100, show: int = 5, key: str = "candidate_id"
              ) -> DataFrame:
     """Rows in the top-k by raw score that trust pushed out of the final top-k."""
-    columns = scored.select(key, "raw_score", "final_score", "trust_score")
+    # Both lists read the scores, which are made once.
+    columns = kept(scored.select(key, "raw_score", "final_score", "trust_score"), "scores")
     raw = top_by(columns, "raw_score", k, key)
     final = top_by(columns, "final_score", k, key).select(key)
     lost = raw.join(F.broadcast(final), key, "left_anti").drop("rank")

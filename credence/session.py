@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g"
@@ -49,3 +49,15 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` once below the shared folder and read it from there, for narrow rows that cost much
+    and are read several times (a range sort reads its input twice).  The files go when the
+    session's JVM ends."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -80,3 +80,32 @@ def test_tasks_stay_short_on_larger_tables(spark):
 def test_rewritten_input_equals_sql(spark, name):
     assert compare(spark, connect(FOLDER), entry.queries()[name], entry.oracle_sql()[name],
                    FOLDER) == []
+
+
+@pytest.mark.parametrize("name,steps", [("ranked_deduplicated", 1), ("trust_fell_out", 0),
+                                        ("deep_audit", 0), ("output_check_table", 0)])
+def test_scores_are_made_once(spark, name, steps):
+    """None is left in a plan that reads what was kept."""
+    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == steps
+
+
+def test_all_ranks_read_their_scores_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(i):
+        seen.add(1)
+        return float(i)
+
+    monkeypatch.setattr(queries, "scores", lambda *_: spark.range(50, numPartitions=3).select(
+        F.col("id").cast("string").alias("candidate_id"), counted("id").alias("final_score")))
+    assert queries.rank_all_scored(spark, FOLDER).count() == 50
+    assert seen.value == 50
+
+
+@pytest.mark.parametrize("name", ["ranked_deduplicated", "trust_fell_out", "deep_audit",
+                                  "output_check_table", "rank_all_scored"])
+def test_scored_once_equals_sql(spark, name):
+    assert compare(spark, connect(FOLDER), entry.queries()[name], entry.oracle_sql()[name],
+                   FOLDER) == []
