@@ -42,6 +42,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _VECTORS = pa.schema([("doc_id", pa.int64()), ("terms", pa.list_(pa.int32())),
                       ("counts", pa.list_(pa.int32()))])
 _VECTORS_SQL = "doc_id bigint, terms array<int>, counts array<int>"
+#: Tasks that add up counts, and tasks in which the examples are judged.
+_SUMS = 8
+_JUDGES = 64
 _SCORES = pa.schema([("doc_id", pa.int64()), ("share", pa.float64()), ("score", pa.float64()),
                      ("neighbours", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))])
 _SCORES_SQL = ("doc_id bigint, share double, score double, neighbours array<bigint>, "
@@ -263,20 +266,43 @@ def _monotone(shares: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.array([s / n for s, _, n in pools]), rates
 
 
+def document_counts(rows: DataFrame, n_terms: int) -> np.ndarray:
+    """In how many of the stored vectors each word is.
+
+    A task adds up its own vectors, so one row of counts leaves it, however many words a text has.
+    """
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_terms, np.int64)
+        for part in parts:
+            total += np.bincount(part.column(0).flatten().to_numpy(zero_copy_only=False),
+                                 minlength=n_terms)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], ["n"])
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_terms, np.int64)
+        for part in parts:
+            total += part.column(0).flatten().to_numpy().reshape(-1, n_terms).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], ["n"])
+
+    if not n_terms:
+        return np.zeros(0, np.int64)
+    sums = rows.select("terms").mapInArrow(count, "n array<bigint>").repartition(
+        _SUMS).mapInArrow(add, "n array<bigint>").collect()
+    return np.sum([np.zeros(n_terms, np.int64), *(np.array(r["n"]) for r in sums)], axis=0)
+
+
 def fit(rows: DataFrame, sample: DataFrame, n_terms: int, examples: int = EXAMPLES,
         neighbours: int = NEIGHBOURS) -> Model:
     """Index and curve from the stored vectors of all documents and the sampled labels."""
-    counts = {r["t"]: r["n"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(
-        F.count("*").alias("n")).collect()}
-    n = rows.count()
-    idf = np.array([math.log((1 + n) / (1 + counts.get(t, 0))) + 1 for t in range(n_terms)])
+    counts, n = document_counts(rows, n_terms).tolist(), rows.count()
+    idf = np.array([math.log((1 + n) / (1 + c)) + 1 for c in counts])
     known = stored(rows.join(F.broadcast(sample), "doc_id").orderBy(
         F.xxhash64("doc_id"), "doc_id").limit(examples), "examples", examples)
     index = BlockMaxIndex([tuple(r) for r in known.where(F.size("terms") > 0).select(
         "doc_id", "toxic", "terms", "counts").collect()], idf)
     blank = Model(index, neighbours, np.array([0.0, 1.0]), np.array([0.0, 1.0]), 0.0)
     # Every example is judged by the others.
-    got = _voted(known, blank, leave_out=True).select("doc_id", "share").join(
+    got = _voted(known.repartition(_JUDGES), blank, leave_out=True).select("doc_id", "share").join(
         F.broadcast(sample), "doc_id").select("share", "toxic").collect()
     none = [r["toxic"] for r in got if r["share"] is None]
     voted = [r for r in got if r["share"] is not None]

@@ -123,3 +123,15 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
         df, spark.createDataFrame(some, "doc_id long, toxic int")).collect())
         for some in (labels, turned)]
     assert scores[0] == scores[1] and not any(math.isnan(s) for _, s in scores[0])
+
+
+def test_words_are_counted_inside_the_tasks(spark):
+    """One row of counts leaves a task, whatever the number of words of a text."""
+    rng = random.Random(9)
+    rows = [(i, sorted(rng.sample(range(40), rng.randint(0, 40)))) for i in range(300)]
+    rows = [(i, t, [1] * len(t)) for i, t in rows]
+    df = spark.createDataFrame(rows, T._VECTORS_SQL).repartition(6)
+    expected = [sum(t in terms for _, terms, _ in rows) for t in range(41)]
+    assert T.document_counts(df, 41).tolist() == expected
+    assert T.document_counts(df.limit(0), 3).tolist() == [0, 0, 0]
+    assert T.document_counts(df, 0).tolist() == []
