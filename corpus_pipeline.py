@@ -19,8 +19,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (a similarity of 0.8 in five-word shingles):
-    that with the smallest doc_id."""
+    """One document of each group of near-duplicates: that with the smallest doc_id.
+
+    SimHash fingerprints of the five-word shingles near each other are found in BK-trees; those
+    with an exact similarity of 0.8 are linked."""
     return simhash.keep_one(docs)
 
 

@@ -27,6 +27,7 @@ def unpacked(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 ROWS_PER_FILE = 50_000
+ROWS_AT_A_TIME = 512
 
 
 def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
@@ -59,8 +60,18 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "l
 
 
 def records(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    """The rows of an Arrow batch, as tuples of the named columns."""
-    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
+    """The rows of an Arrow batch, as tuples of the named columns.  Few of them are Python objects at
+    a time, so a batch of long texts is not held twice."""
+    columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+    for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
+        yield from zip(*(c.slice(at, ROWS_AT_A_TIME).to_pylist() for c in columns))
+
+
+def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut, for steps that put out much for each row."""
+    for part in parts:
+        for at in range(0, part.num_rows, ROWS_AT_A_TIME):
+            yield part.slice(at, ROWS_AT_A_TIME)
 
 
 def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096

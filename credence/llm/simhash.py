@@ -13,15 +13,16 @@ own, and in a second step every pair of shards of that bucket meets in a task of
 task holds more than two shards.  Tasks put out spanning links only, never all pairs.
 
 `near_duplicates` links fingerprints of word shingles by their distance alone.  `similar_groups` is
-for a Jaccard similarity of texts, for which no radius of 64 bits is wide enough: its candidates
-share a band of minimum hashes of the shingles, whatever the kind of edit, and the decision is the
-exact Jaccard similarity of the hashed shingles.  Of the buckets with the same members one is
-taken, and texts without a candidate send no shingles.
+for a Jaccard similarity of texts: its candidates are the fingerprints of the distinct shingles
+within a wide radius, found in BK-trees, and an exact check of the hashed shingles follows.  With
+such a radius no choice of bit blocks is equal in both ends of a link, so the trees are sharded by
+bands of minimum hashes of the same shingles, in which both ends meet whatever the kind of edit.
+Of the shards with the same members one is taken, and texts without a partner send no shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from credence.llm.common import column, join_checked, packed, records, stored, unpacked
+from credence.llm.common import (column, join_checked, packed, pieces, records, stored,
+                                 unpacked)
 from credence.llm.components import connected_components
 
 _SKETCH_LONGS = 4       # 256 bits
@@ -38,8 +40,8 @@ _FOUND = pa.schema([("m", pa.int32()), ("v", pa.int64()), ("shard", pa.int32()),
                     ("sketch", pa.list_(pa.int64()))])
 _FOUND_SQL = "m int, v bigint, shard int, a bigint, b bigint, fp bigint, sketch array<bigint>"
 _PAIR_BLOCK = 2_000_000     # (query, node) visits that are held at a time
+_SEARCH_BLOCK = 250_000     # the same where the hashes of a shard are held beside them
 _CHUNK = 65_536             # bucket rows per step of a task
-_EDGES = 65                 # distances 0 to 64
 _SHARD_HASHES = 1 << 20     # shingles of a shard of a bucket of similar texts
 
 
@@ -64,6 +66,10 @@ def fingerprint(text: bytes, words: int = 3, distinct: bool = False) -> int:
     hashes = _hashes(text, words)
     if distinct:
         hashes = list(set(hashes))
+    return _majority(hashes)
+
+
+def _majority(hashes: list[int] | np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):   # a very long text is unpacked piece by piece
         part = np.array(hashes[at:at + (1 << 16)], np.uint64).astype(">u8").view(np.uint8)
@@ -105,29 +111,28 @@ def _bands(least: np.ndarray, bands: int, band_rows: int) -> list[int]:
 def signatures(df: DataFrame, id_column: str, text_column: str, words: int, bands: int,
                band_rows: int) -> DataFrame:
     """One row per row: doc_id, text_key, node (a hash of the set of shingles), size (of that
-    set), sketch and bands.  A null text has no shingles and no bands."""
+    set), fp (its fingerprint) and bands.  A null text has no shingles and no bands."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in pieces(parts):
             rows = []
             for (text,) in records(part, "text"):
                 found = np.unique(np.array(_hashes(text or b"", words), np.uint64))
-                least = _least(found)
                 rows.append((xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), 7) - (1 << 63),
-                             len(found), _bits(least),
-                             _bands(least, bands, band_rows) if len(found) else []))
-            node, size, drawn, keys = zip(*rows) if rows else [[]] * 4
+                             len(found), _majority(found),
+                             _bands(_least(found), bands, band_rows) if len(found) else []))
+            node, size, prints, keys = zip(*rows) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [part.column(part.schema.get_field_index("doc_id")),
                  part.column(part.schema.get_field_index("text_key")),
                  pa.array(node, pa.int64()), pa.array(size, pa.int64()),
-                 pa.array(drawn, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "node", "size", "sketch", "bands"])
+                 pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "node", "size", "fp", "bands"])
 
     text = column(text_column).cast("string")
     return df.select(column(id_column).cast("bigint").alias("doc_id"),
                      F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text")
                      ).mapInArrow(run, "doc_id bigint, text_key bigint, node bigint, "
-                                       "size bigint, sketch array<bigint>, bands array<bigint>")
+                                       "size bigint, fp bigint, bands array<bigint>")
 
 
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -155,16 +160,27 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
                                        "sketch array<bigint>")
 
 
+def _width(prints: np.ndarray) -> int:
+    """How many distances there are: 65 for 64 bits."""
+    return 64 * (prints.shape[1] if prints.ndim > 1 else 1) + 1
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    bits = np.bitwise_count(a ^ b)
+    return (bits if bits.ndim == 1 else bits.sum(1)).astype(np.int64)
+
+
 def bk_tree(prints: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A forest over uint64 fingerprints; roots[i] is the index of the root of i's tree.
+    """A forest over fingerprints; roots[i] is the index of the root of i's tree.
 
-    Returns the sorted edge numbers parent * 65 + distance and the child at each edge.  All rows
-    descend together, one level a step; the first to come to an empty edge becomes its child.
+    A fingerprint is a uint64, or a row of them.  Returns the sorted edge numbers parent * width +
+    distance (width: 65 for one uint64) and the child at each edge.  All rows descend together, one
+    level a step; the first to come to an empty edge becomes its child.
     """
-    going = np.flatnonzero(roots != np.arange(len(prints)))
+    going, width = np.flatnonzero(roots != np.arange(len(prints))), _width(prints)
     at, edges, children = roots[going], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     while len(going):
-        edge = at * _EDGES + np.bitwise_count(prints[going] ^ prints[at])
+        edge = at * width + _distances(prints[going], prints[at])
         taken, first = np.unique(edge, return_index=True)
         edges.append(taken)
         children.append(going[first])
@@ -179,22 +195,18 @@ def bk_tree(prints: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def bk_search(queries: np.ndarray, starts: np.ndarray, prints: np.ndarray, edges: np.ndarray,
               children: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) index pairs within the radius; query i begins at the root starts[i]."""
-    ask, node, hits = np.arange(len(queries)), starts, []
+    ask, node, hits, width = np.arange(len(queries)), starts, [], _width(prints)
     while len(ask):
-        distance = np.bitwise_count(queries[ask] ^ prints[node]).astype(np.int64)
+        distance = _distances(queries[ask], prints[node])
         near = distance <= radius
         hits.append((ask[near], node[near]))
-        if not len(edges):
-            break
-        asks, nodes = [], []
-        for step in range(-radius, radius + 1):
-            along = distance + step
-            edge = node * _EDGES + along
-            place = np.minimum(np.searchsorted(edges, edge), len(edges) - 1)
-            there = (along >= 0) & (along < _EDGES) & (edges[place] == edge)
-            asks.append(ask[there])
-            nodes.append(children[place[there]])
-        ask, node = np.concatenate(asks), np.concatenate(nodes)
+        # The edges of a node lie side by side, by their distance.
+        first = np.searchsorted(edges, node * width + np.maximum(distance - radius, 0))
+        last = np.searchsorted(edges, node * width + np.minimum(distance + radius, width - 1),
+                               "right")
+        count = last - first
+        place = np.repeat(last - np.cumsum(count), count) + np.arange(count.sum())
+        ask, node = np.repeat(ask, count), children[place]
     return (np.concatenate([h[0] for h in hits] or [np.empty(0, np.int64)]),
             np.concatenate([h[1] for h in hits] or [np.empty(0, np.int64)]))
 
@@ -394,23 +406,53 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return _grouped(prints, radius, blocks, shard_rows, 0)
 
 
-def similar_links(hashes: np.ndarray, bounds: np.ndarray, sketches: np.ndarray,
-                  similarity: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _searched(prints: np.ndarray, radius: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A function of a row and other rows: those whose fingerprints are within the radius.
+
+    Equal fingerprints are one node of the BK-tree.  Searches run in blocks of nodes, each when it
+    is first asked for.
+    """
+    distinct, of = np.unique(prints if prints.shape[1] > 1 else prints[:, 0], axis=0,
+                             return_inverse=True)
+    of, roots = of.reshape(-1), np.zeros(len(distinct), np.int64)
+    edges, children = bk_tree(distinct, roots)
+    step = max(1, _SEARCH_BLOCK // max(1, len(distinct)))
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def within(at: int, others: np.ndarray) -> np.ndarray:
+        block, place = divmod(int(of[at]), step)
+        if block not in held:
+            some = distinct[block * step:(block + 1) * step]
+            query, node = bk_search(some, roots[:len(some)], distinct, edges, children, radius)
+            order = np.argsort(query, kind="stable")
+            held[block] = (np.searchsorted(query[order], np.arange(len(some) + 1)),
+                           node[order].astype(np.int32))
+        starts, nodes = held[block]
+        near = np.zeros(len(distinct), bool)
+        near[nodes[starts[place]:starts[place + 1]]] = True
+        return np.flatnonzero(near[of[others]])
+
+    return within
+
+
+def similar_links(hashes: np.ndarray, bounds: np.ndarray, prints: np.ndarray,
+                  similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that span each group of sets with a Jaccard similarity of `similarity` or more.
 
-    Set i is hashes[bounds[i]:bounds[i + 1]], sorted and without repeats.  Sketches that differ in
-    more than `most` bits are not compared.  Each set is compared with those not yet reached.
+    Set i is hashes[bounds[i]:bounds[i + 1]], sorted and without repeats, and prints[i] its
+    fingerprint, one uint64 or more.  Each set is compared with those not yet reached whose
+    fingerprints a BK-tree finds within the radius.
     """
-    sizes = np.diff(bounds)
+    sizes, within = np.diff(bounds), _searched(prints, radius)
     left, a, b = np.arange(len(sizes)), [], []
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             at = front.pop()
             own = hashes[bounds[at]:bounds[at + 1]]
-            far = np.bitwise_count(sketches[left] ^ sketches[at]).sum(1, dtype=np.int64)
-            small, large = np.minimum(sizes[left], sizes[at]), np.maximum(sizes[left], sizes[at])
-            asked = np.flatnonzero((far <= most) & (small / large >= similarity))
+            asked = within(at, left)
+            small = np.minimum(sizes[left[asked]], sizes[at])
+            asked = asked[small / np.maximum(sizes[left[asked]], sizes[at]) >= similarity]
             if not len(asked):
                 continue
             some = left[asked]
@@ -430,7 +472,7 @@ def similar_links(hashes: np.ndarray, bounds: np.ndarray, sketches: np.ndarray,
 
 def _candidates(df: DataFrame, text_column: str, classes: DataFrame, n: int, words: int,
                 shard_rows: int) -> DataFrame:
-    """One row for each text and task that compares it: m, v, i, j, node, sketch, hashes.
+    """One row for each text and task that compares it: m, v, i, j, node, fp, hashes.
 
     A bucket is the texts with the hash v in band m.  One beyond `shard_rows` texts or
     _SHARD_HASHES shingles is cut into shards, and tasks compare each pair (i, j) of them.
@@ -447,24 +489,24 @@ def _candidates(df: DataFrame, text_column: str, classes: DataFrame, n: int, wor
         "buckets", n)
     members = stored(join_checked(keyed, buckets, ["m", "v"], "inner").select(
         "m", "v", "node", "shards"), "members")
-    wanted = stored(classes.select("node", "text_key", "sketch").join(
+    wanted = stored(classes.select("node", "text_key", "fp").join(
         members.select("node").distinct(), "node", "left_semi"), "wanted", n)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in pieces(parts):
             hashes = [np.unique(np.array(_hashes(text, words), np.uint64)).view(np.int64)
                       for (text,) in records(part, "text")]
             yield pa.RecordBatch.from_arrays(
                 [part.column(part.schema.get_field_index("node")),
-                 part.column(part.schema.get_field_index("sketch")),
-                 pa.array(hashes, pa.list_(pa.int64()))], names=["node", "sketch", "hashes"])
+                 part.column(part.schema.get_field_index("fp")),
+                 pa.array(hashes, pa.list_(pa.int64()))], names=["node", "fp", "hashes"])
 
     text = column(text_column).cast("string")
     texts = df.select(F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text"))
     sets = join_checked(texts, wanted, ["text_key"], "inner").select(
-        "node", "sketch", "text").mapInArrow(
-        run, "node bigint, sketch array<bigint>, hashes array<bigint>").groupBy("node").agg(
-        F.any_value("sketch").alias("sketch"), F.any_value("hashes").alias("hashes"))
+        "node", "fp", "text").mapInArrow(
+        run, "node bigint, fp bigint, hashes array<bigint>").groupBy("node").agg(
+        F.any_value("fp").alias("fp"), F.any_value("hashes").alias("hashes"))
     shard = F.pmod(F.xxhash64("node", "m"), "shards").cast("int")
     others = F.expr("if(shards = 1, array(0), "
                     "filter(sequence(0, shards - 1), x -> x <> shard))")
@@ -475,26 +517,25 @@ def _candidates(df: DataFrame, text_column: str, classes: DataFrame, n: int, wor
 
 
 def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                   words: int = 5, similarity: float = 0.8, bands: int = 20, band_rows: int = 5,
-                   shard_rows: int = 1024) -> DataFrame:
+                   words: int = 5, similarity: float = 0.8, radius: int = 24, bands: int = 20,
+                   band_rows: int = 5, shard_rows: int = 1024) -> DataFrame:
     """The group of every row (doc_id, text_key, component_id, root, n_rows), of texts whose
     `words`-word shingles have a Jaccard similarity of `similarity` or more, directly or over
     others.
 
-    A pair of similarity J is a candidate with probability 1 - (1 - J ** band_rows) ** bands:
-    0.9996 at 0.8.  The exact similarity of the hashed shingles decides.  root is a number of the
-    group.  Nulls, empty texts and repeated rows are treated as by `near_duplicates`.
+    A pair of similarity J meets in a shard with probability 1 - (1 - J ** band_rows) ** bands:
+    0.9996 at 0.8.  In the BK-tree of the shard it is a candidate if the fingerprints of its
+    distinct shingles differ in at most `radius` of 64 bits: 9.7 are expected at 0.8, 12 for texts
+    of a few shingles.  The exact similarity of the hashed shingles decides.  root is a number of the group.  Nulls, empty texts and repeated rows are treated as by `near_duplicates`.
     """
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     if min(bands, band_rows) < 1 or bands * band_rows > 256:
         raise ValueError("bands must have 1 to 256 minimum hashes together")
-    share = (1 - similarity) / 2        # of the bits in which two sketches differ
-    most = round(256 * share + 6 * (256 * share * (1 - share)) ** 0.5 + 2)
     prints = stored(signatures(df, id_column, text_column, words, bands, band_rows), "signatures")
     n = prints.count()
     classes = stored(prints.groupBy("node").agg(
-        F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"),
+        F.any_value("size").alias("size"), F.any_value("fp").alias("fp"),
         F.any_value("bands").alias("bands"), F.min("text_key").alias("text_key"),
         F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes", n)
 
@@ -504,7 +545,7 @@ def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
         bounds = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
         a, b = similar_links(
             sets.flatten().to_numpy().view(np.uint64), bounds,
-            _sketches(rows.column("sketch"), rows.num_rows), similarity, most)
+            rows.column("fp").to_numpy().view(np.uint64)[:, None], similarity, radius)
         return pa.table({"a": nodes[a], "b": nodes[b]})
 
     found = stored(_candidates(df, text_column, classes, n, words, shard_rows).groupBy(

@@ -281,3 +281,24 @@ def test_spanning_links_equal_brute_force():
     label = simhash._spanning(len(sets), *np.array(pairs).T)
     assert np.array_equal(simhash._spanning(len(sets), a, b), label)
     assert 0 < len(a) < len(sets) - 40
+
+
+def test_candidates_are_the_fingerprints_that_the_trees_find(spark, monkeypatch):
+    """Texts meet by their SimHash fingerprints in a BK-tree; the exact check comes behind it."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join(words[:150] + ["x"] + words[150:]), " ".join(words[::-1])]
+    prints = [simhash.fingerprint(t.encode(), 5, distinct=True) for t in texts]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = simhash.signatures(df, "doc_id", "text", 5, 20, 5).collect()
+    assert {r.doc_id: r.fp for r in got} == dict(enumerate(prints))
+    far = bin((prints[0] ^ prints[1]) % 2 ** 64).count("1")
+    assert 0 < far <= 24
+    for radius, groups in ((far, [0, 0, 2]), (far - 1, [0, 1, 2])):
+        found = simhash.similar_groups(df, radius=radius).collect()
+        assert [r.component_id for r in sorted(found, key=lambda r: r.doc_id)] == groups
+    sets = [np.unique(np.array(simhash._hashes(t.encode(), 5), np.uint64)) for t in texts]
+    searches, search = [], simhash.bk_search
+    monkeypatch.setattr(simhash, "bk_search", lambda *a: searches.append(a[5]) or search(*a))
+    a, b = simhash.similar_links(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets]),
+                                 np.array(prints, np.int64).astype(np.uint64)[:, None], 0.8, 24)
+    assert (a.tolist(), b.tolist()) == ([1], [0]) and set(searches) == {24}
