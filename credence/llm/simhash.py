@@ -526,7 +526,8 @@ def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
     A pair of similarity J meets in a shard with probability 1 - (1 - J ** band_rows) ** bands:
     0.9996 at 0.8.  In the BK-tree of the shard it is a candidate if the fingerprints of its
     distinct shingles differ in at most `radius` of 64 bits: 9.7 are expected at 0.8, 12 for texts
-    of a few shingles.  The exact similarity of the hashed shingles decides.  root is a number of the group.  Nulls, empty texts and repeated rows are treated as by `near_duplicates`.
+    of a few shingles.  The exact similarity of the hashed shingles decides.  root is a number of the
+    group.  Nulls, empty texts and repeated rows are treated as by `near_duplicates`.
     """
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
