@@ -81,6 +81,14 @@ def test_file_as_a_whole(spark, tmp_path):
         spark, write(tmp_path / "q.csv", [quoted])))}
 
 
+def test_file_is_parsed_once(spark, tmp_path):
+    """The checks read the parsed rows; the plan that joins them holds no CSV parser."""
+    checked = checks.check_file(spark, write(tmp_path / "once.csv", ["CAND_0000001,1,0.5,x"]))
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert "_noted(" not in plan and "_parsed(" not in plan
+    assert ("row_count", None) in codes(checked)
+
+
 def test_repeated_ids_in_the_list(many):
     twice = many.unionByName(many.filter("candidate_id = 'CAND_0000119'"))
     ids = lambda df: [r.candidate_id for r in df.collect()]
