@@ -7,9 +7,14 @@ and feature occurs in some of them.  `catalog.oracle` states the same records in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Callable
 
-from credence.schema import PROFILE_TEXT
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from credence.schema import PROFILE_TEXT, RECORD_DDL
 from credence.sources.tables import read_table, spread
 
 TITLES = ("Search Engineer", "Recommendation Systems Engineer", "NLP Engineer",
@@ -59,55 +64,99 @@ def padded_id(k: Column, prefix: str = "CAND_") -> Column:
                     .otherwise(digits))
 
 
+def array_builders() -> dict[str, Callable[..., Column]]:
+    """Functions of the entries' number and the columns they follow from to an array column.
+
+    The entries of a batch are made at once: as lambdas of `transform` Spark would interpret their
+    expressions entry by entry, which took most of the time a record takes.  Everything is local,
+    so that a worker needs no module of the catalog.
+    """
+    kinds = {f.name: f.dataType for f in T.StructType.fromDDL(RECORD_DDL).fields}
+    texts = {"titles": TITLES, "fields": FIELDS, "sizes": SIZES, "phrases": PHRASES,
+             "skills": SKILLS, "levels": LEVELS, "degrees": DEGREES, "tiers": TIERS,
+             "companies": tuple(f"Co{i}" for i in range(63)),
+             "schools": tuple(f"Univ{i}" for i in range(37))}
+
+    def numbers(values: pa.Array, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The column for each entry, 0 where it is null, and where it is null."""
+        missing = np.asarray(values.is_null())[parent]
+        return np.asarray(values.fill_null(0), np.int64)[parent], missing
+
+    def spread_out(n: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Row and position of each entry, and the offsets of the lists; no number, no list."""
+        sizes = np.asarray(n.fill_null(0), np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        parent = np.repeat(np.arange(len(sizes)), sizes)
+        return (parent, np.arange(offsets[-1]) - offsets[parent],
+                pa.array(offsets, pa.int32(), mask=np.append(np.asarray(n.is_null()), False)))
+
+    def pick(name: str, index: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+        return pa.array(texts[name]).take(pa.array(index % len(texts[name]), mask=missing))
+
+    def lists(offsets: pa.Array, **columns: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(
+            list(columns.values()), list(columns)))
+
+    @F.arrow_udf(kinds["career_history"])
+    def jobs(n: pa.Array, k: pa.Array, c: pa.Array, day: pa.Array) -> pa.Array:
+        parent, i, offsets = spread_out(n)
+        last = np.asarray(n.fill_null(0), np.int64)[parent] - 1
+        (k, _), (c, no_c) = numbers(k, parent), numbers(c, parent)
+        day, no_day = numbers(day.cast(pa.int32()), parent)
+        current = ((i == last) & (k % 3 != 0)) | ((k % 43 == 11) & (i == 0))
+        start = day + i * 400 - 1600 - k % 50
+        date = lambda d, missing: pa.array(d.astype(np.int32), pa.int32(), mask=missing).cast(
+            pa.date32()).cast(pa.string())
+        return lists(
+            offsets, company=pick("companies", c + i, no_c), title=pick("titles", k + i),
+            start_date=date(start, no_day),
+            end_date=date(start + (k + i * 3) % 24 * 30, no_day | current),
+            duration_months=pa.array(np.where((k % 71 == 3) & (i == 0), -1,
+                                              3 + (k + i * 5) % 40)),
+            is_current=pa.array(current), industry=pick("fields", c + i, no_c),
+            company_size=pick("sizes", k + i * 2),
+            description=pc.binary_join_element_wise(
+                pc.binary_join_element_wise(pick("phrases", k + i),
+                                            pick("phrases", k * 5 + i * 7 + 7), " and "),
+                pick("phrases", c + i * 11, no_c), ", later "))
+
+    @F.arrow_udf(kinds["skills"])
+    def skills(n: pa.Array, k: pa.Array, c: pa.Array) -> pa.Array:
+        parent, j, offsets = spread_out(n)
+        (k, _), (c, no_c) = numbers(k, parent), numbers(c, parent)
+        unnamed, first = (k % 89 == 4) & (j == 0), (k % 83 == 1) & (j == 0)
+        slot = np.where(k % 17 == 0, j // 2, j)
+        return lists(
+            offsets, name=pc.if_else(unnamed, "", pick("skills", k * 3 + c + slot * 5, no_c)),
+            proficiency=pc.if_else(k % 103 == 6, "guru", pick("levels", k + j)),
+            endorsements=pa.array(np.where(first, -1, (c + j * 7) % 60), mask=no_c & ~first),
+            duration_months=pa.array((k + j * 11) % 60 + np.where((k + j) % 29 == 0, 100, 0)))
+
+    @F.arrow_udf(kinds["education"])
+    def education(n: pa.Array, k: pa.Array) -> pa.Array:
+        parent, j, offsets = spread_out(n)
+        k, _ = numbers(k, parent)
+        begin = 1995 + k % 20 + j * np.where(k % 4 == 2, 3, 5)
+        return lists(
+            offsets, institution=pick("schools", k + j), degree=pick("degrees", k + j),
+            field_of_study=pick("fields", k + j * 2),
+            start_year=pa.array(begin, mask=(k % 61 == 5) & (j == 0)),
+            end_year=pa.array(begin + 4 - np.where(k % 41 == 0, 5, 0)
+                              + np.where(k % 37 == 0, 10, 0)),
+            grade=pa.nulls(len(j), pa.string()), tier=pick("tiers", k + j))
+
+    return {"career_history": jobs, "skills": skills, "education": education}
+
+
 def records(orders: DataFrame, raw: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed records.  `raw` keeps a notice period of 0, as before the contract's defaults; `keep`
     names columns of the orders that ride along."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     day = F.col("o_orderdate").cast("date")
-    shift = lambda d, n: F.date_add(d, n.cast("int")).cast("string")
-
-    n_jobs = F.when(k % 59 == 7, 0).otherwise(1 + k % 4)
-
-    def job(i: Column) -> Column:
-        current = ((i == n_jobs - 1) & (k % 3 != 0)) | ((k % 43 == 11) & (i == 0))
-        start = F.date_add(day, (i * 400 - 1600 - k % 50).cast("int"))
-        return F.struct(
-            F.concat(F.lit("Co"), ((c + i) % 63).cast("string")).alias("company"),
-            _pick(TITLES, k + i).alias("title"), start.cast("string").alias("start_date"),
-            F.when(~current, shift(start, ((k + i * 3) % 24) * 30)).alias("end_date"),
-            F.when((k % 71 == 3) & (i == 0), F.lit(-1).cast("bigint"))
-            .otherwise(3 + (k + i * 5) % 40).alias("duration_months"),
-            current.alias("is_current"),
-            _pick(FIELDS, c + i).alias("industry"), _pick(SIZES, k + i * 2).alias("company_size"),
-            F.concat(_pick(PHRASES, k + i), F.lit(" and "), _pick(PHRASES, k * 5 + i * 7 + 7),
-                     F.lit(", later "), _pick(PHRASES, c + i * 11)).alias("description"))
-
     n_skills = F.when(k % 101 > 95, 2).otherwise(3 + c % 10)
-    slot = lambda j: F.when(k % 17 == 0, F.floor(j / 2)).otherwise(j)
-    skill_name = lambda j: _pick(SKILLS, k * 3 + c + slot(j) * 5)
-
-    def skill(j: Column) -> Column:
-        return F.struct(
-            F.when((k % 89 == 4) & (j == 0), F.lit("")).otherwise(skill_name(j)).alias("name"),
-            F.when(k % 103 == 6, F.lit("guru")).otherwise(_pick(LEVELS, k + j))
-            .alias("proficiency"),
-            F.when((k % 83 == 1) & (j == 0), F.lit(-1).cast("bigint"))
-            .otherwise((c + j * 7) % 60).alias("endorsements"),
-            ((k + j * 11) % 60 + F.when((k + j) % 29 == 0, 100).otherwise(0))
-            .alias("duration_months"))
-
-    def school(j: Column) -> Column:
-        begin = 1995 + k % 20 + j * F.when(k % 4 == 2, 3).otherwise(5)
-        return F.struct(
-            F.concat(F.lit("Univ"), ((k + j) % 37).cast("string")).alias("institution"),
-            _pick(DEGREES, k + j).alias("degree"), _pick(FIELDS, k + j * 2).alias("field_of_study"),
-            F.when((k % 61 == 5) & (j == 0), F.lit(None).cast("bigint")).otherwise(begin)
-            .alias("start_year"),
-            (begin + 4 - F.when(k % 41 == 0, 5).otherwise(0)
-             + F.when(k % 37 == 0, 10).otherwise(0)).alias("end_year"),
-            F.lit(None).cast("string").alias("grade"), _pick(TIERS, k + j).alias("tier"))
-
-    jobs = F.transform(_upto(n_jobs, 4), job)
+    first_slot_name = _pick(SKILLS, k * 3 + c)
+    entries = array_builders()
+    jobs = entries["career_history"](F.when(k % 59 == 7, 0).otherwise(1 + k % 4), k, c, day)
     months = lambda a: F.aggregate(a, F.lit(0).cast("bigint"),
                                    lambda t, e: t + e["duration_months"])
     signup = F.date_add(F.lit("2024-01-01").cast("date"), (k % 400).cast("int"))
@@ -115,8 +164,7 @@ def records(orders: DataFrame, raw: bool = False, keep: tuple[str, ...] = ()) ->
               .when(k % 13 == 0, F.date_add(signup, -10))
               .otherwise(F.date_add(signup, (k % 500).cast("int"))))
     low = F.when(k % 19 != 0, (10 + k % 30).cast("double"))
-    first_skill = F.when(k % 89 == 4, F.lit("")).otherwise(
-        skill_name(F.lit(0).cast("bigint")))
+    first_skill = F.when(k % 89 == 4, F.lit("")).otherwise(first_slot_name)
     score_of = lambda name, value: F.create_map(name, value.cast("double"))
     scores = (F.when((k % 8 == 0) & (first_skill != "SQL"), F.map_concat(
                 score_of(first_skill, 50 + k % 51), score_of(F.lit("SQL"), 60 + k % 41)))
@@ -178,8 +226,8 @@ def records(orders: DataFrame, raw: bool = False, keep: tuple[str, ...] = ()) ->
         .otherwise(padded_id(k)).alias("candidate_id"),
         F.struct(*[profile[n].alias(n) for n in order]).alias("profile"),
         F.col("jobs").alias("career_history"),
-        F.transform(_upto(k % 3, 2), school).alias("education"),
-        F.transform(_upto(n_skills, 12), skill).alias("skills"),
+        entries["education"](k % 3, k).alias("education"),
+        entries["skills"](n_skills, k, c).alias("skills"),
         F.transform(_upto(k % 2, 1), lambda j: F.struct(
             F.lit("Cloud").alias("name"), F.lit("Org").alias("issuer"),
             (2015 + k % 8).alias("year"))).alias("certifications"),

@@ -109,3 +109,33 @@ def test_all_ranks_read_their_scores_once(spark, monkeypatch):
 def test_scored_once_equals_sql(spark, name):
     assert compare(spark, connect(FOLDER), entry.queries()[name], entry.oracle_sql()[name],
                    FOLDER) == []
+
+
+def test_entries_are_made_by_the_batch(spark):
+    """No entry of a record is made by an interpreted lambda, and only the wanted arrays are made."""
+    records = view.load(spark, FOLDER)
+    plan = lambda *names: records.select(*names)._jdf.queryExecution().executedPlan().toString()
+    made = plan("career_history", "skills", "education")
+    assert "lambdafunction" not in made and "jobs(" in made
+    assert "jobs(" not in plan("skills") and "Python" not in plan("candidate_id")
+
+
+def test_entries_of_one_order(spark):
+    """The first skill of this order has no name; an order without number has no entries."""
+    orders = spark.sql("SELECT * FROM VALUES (2407L, 24L, 1.5D, TIMESTAMP '1995-02-27 00:00:00'), "
+                       "(CAST(NULL AS BIGINT), 24L, 1.5D, TIMESTAMP '1995-02-27 00:00:00') "
+                       "AS t(o_orderkey, o_custkey, o_totalprice, o_orderdate)")
+    rows = {r.candidate_id: r for r in view.records(orders).collect()}
+    row = rows["CAND_0002407"]
+    job = row.career_history[3]
+    assert [j.company for j in row.career_history] == ["Co24", "Co25", "Co26", "Co27"]
+    assert (job.title, job.start_date, job.end_date, job.duration_months, job.is_current) == (
+        "Product Manager", "1994-01-16", None, 25, True)
+    assert job.description == ("owned end-to-end deployment on Kubernetes and RAG with LangChain, "
+                               "later production serving at scale")
+    assert [s.name for s in row.skills] == ["", "RAG", "BM25", "Statistics", "Excel", "PEFT",
+                                            "FAISS"]
+    assert tuple(row.skills[4]) == ("Excel", "expert", 52, 51)
+    assert [tuple(e) for e in row.education] == [
+        ("Univ2", "PhD", "Economics", 2002, 2006, None, "tier_2")]
+    assert rows[None].career_history is None and rows[None].education is None
