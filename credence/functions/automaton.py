@@ -92,11 +92,11 @@ class KeywordAutomaton:
             -1, 2)
         hits = hits[self._kept(joined, hits)]
         place = np.searchsorted(ends, hits[:, 0], side="right") * len(self.words) + hits[:, 1]
-        cells, n = np.unique(place, return_counts=True)
-        out = np.zeros((len(texts), len(self.groups)), np.int64)
-        np.add.at(out, cells // len(self.words),
-                  n[:, None] * self._membership[cells % len(self.words)])
-        return out
+        text, word = np.divmod(place, len(self.words))
+        member = self._membership
+        return np.stack([np.bincount(text[held], minlength=len(texts)) for held in (
+            member[word, g] > 0 for g in range(len(self.groups)))], axis=1) \
+            if len(self.groups) else np.zeros((len(texts), 0), np.int64)
 
     def _kept(self, joined: str, hits: np.ndarray) -> np.ndarray:
         """Without hits that overlap the same word's last, or inside words if those must be whole."""
